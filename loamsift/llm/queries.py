@@ -7,13 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, neardup
+from . import history, knn, leak, neardup, split
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _splits(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    files = table(spark, sf_dir, "source_files").select("doc_id", F.when(F.coalesce(F.col("clean_text"), F.lit("")) == "", F.col("raw_content")).otherwise(F.col("clean_text")).alias("text"))
+    return split.split_texts(files, "doc_id", "text", table(spark, sf_dir, "chunking_config"), with_text)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files longer than a configuration's size, and whether a cut inside a run without blanks was forced."""
+    return _splits(spark, sf_dir, False).select("doc_id", "config_id", "forced").distinct()
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces themselves; a repeated file gives its pieces once."""
+    each = _splits(spark, sf_dir, True).dropDuplicates(["doc_id", "config_id"])
+    return each.select("doc_id", "config_id", F.posexplode(F.arrays_zip("starts", "ends", "texts")).alias("piece", "p")).select("doc_id", "config_id", "piece", F.col("p.starts").alias("begin"), F.col("p.ends").alias("end"), F.col("p.texts").alias("text"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one is among the five nearest of the other, with a cosine of at least 0.9."""
+    near = knn.nearest_vectors(table(spark, sf_dir, "vector_store"), "vec_id", "embedding")
+    return near.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
+
+
+def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of each vector whose vec_id is divisible by 20, at any cosine."""
+    v = table(spark, sf_dir, "vector_store")
+    near = knn.nearest_of_queries(v, v.where(F.col("vec_id") % 20 == 0), "vec_id", "embedding")
+    return near.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbor"), F.round("cosine", 4).alias("cosine"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks with a similarity of at least 0.6."""
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "content").select(F.col("chunk_id_a").alias("chunk_a"), F.col("chunk_id_b").alias("chunk_b")).distinct()
@@ -39,11 +68,27 @@ def p5_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.join(counts, "doc_id", "left").select("doc_id", "batch_no", F.coalesce("duplicates", F.lit(0)).alias("duplicates"), F.coalesce("accepted", F.lit(0)).alias("accepted"))
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of test items, exact or near."""
+    return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "golden_questions"), "id", ["question", "answer"]).withColumnRenamed("id", "question_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least 12 consecutive words of a question or answer."""
+    return p7_leaks(spark, sf_dir).where(F.col("kind") == "exact").select("doc_id", "question_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_neighbors": p2_neighbors,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p5_duplicates": p5_duplicates,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 
 #: Sets of three-word sequences of ``{table}``, a row per sequence, and their sizes.
@@ -57,7 +102,22 @@ def shingle_sql(t: str, table: str, where: str = "") -> str:
     return SHINGLES.format(t=t, table=table, where=where)
 
 
+#: The usable vectors, once each.
+UNIT = """e AS (SELECT DISTINCT vec_id AS id, embedding::DOUBLE[] AS v FROM vector_store WHERE embedding IS NOT NULL),
+u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM e WHERE list_dot_product(v, v) > 0)"""
+
 SQL: dict[str, str] = {
+    "p1_found": """WITH t AS (SELECT DISTINCT doc_id, CASE WHEN coalesce(clean_text, '') = '' THEN raw_content ELSE clean_text END AS text FROM source_files),
+l AS (SELECT doc_id, length(text) AS n, list_max(list_transform(regexp_split_to_array(text, '[ \\t\\r\\n]'), lambda x: length(x))) AS run FROM t WHERE text IS NOT NULL)
+SELECT doc_id, config_id, CASE WHEN run > chunk_size THEN 1 ELSE 0 END::INTEGER AS forced FROM l JOIN chunking_config ON n > chunk_size""",
+    "p2_found": f"""WITH {UNIT},
+near AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.v, y.v) / (x.l * y.l) AS c FROM u x JOIN u y ON x.id <> y.id),
+top AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM near)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM top WHERE r <= 5 AND c >= 0.9""",
+    "p2_neighbors": f"""WITH {UNIT},
+near AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.v, y.v) / (x.l * y.l) AS c FROM u x JOIN u y ON x.id <> y.id WHERE x.id % 20 = 0),
+top AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM near)
+SELECT a AS vec_id, b AS neighbor, round(c, 4) AS cosine FROM top WHERE r <= 5""",
     "p3_found": f"""WITH {shingle_sql("c", "chunks")},
 hits AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(*) AS k FROM s_c x JOIN s_c y ON x.s = y.s AND x.chunk_id < y.chunk_id GROUP BY 1, 2)
 SELECT a AS chunk_a, b AS chunk_b FROM hits JOIN n_c p ON p.chunk_id = a JOIN n_c q ON q.chunk_id = b WHERE k >= 0.6 * (p.n + q.n - k)""",
@@ -85,4 +145,9 @@ walk AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS accepted
 final AS (SELECT unnest(accepted) AS chunk_id FROM (SELECT accepted FROM walk ORDER BY r DESC LIMIT 1)),
 m AS (SELECT a, b FROM old UNION SELECT a, b FROM new WHERE b IN (SELECT chunk_id FROM final))
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM m""",
+    "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+q AS (SELECT DISTINCT id, regexp_extract_all(lower(unnest([question, answer])), '[\\p{L}\\p{N}]+') AS w FROM golden_questions),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+qg AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM q WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, id AS question_id FROM dg JOIN qg USING (g)""",
 }
