@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, knn, leak, neardup, split
+from . import history, knn, leak, neardup, pairs, residue, split
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).where(F.col("kind") == "exact").select("doc_id", "question_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that are no proper answers, with their defect."""
+    return pairs.flag_pairs(table(spark, sf_dir, "eval_results"), "result_id", "question", "golden_answer", "generated_answer").distinct()
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with unfilled template parts, filler, error messages or script notices."""
+    return p8_residue(spark, sf_dir).select("doc_id").distinct()
+
+
+def p8_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the kind of residue."""
+    return residue.find_residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -85,10 +100,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_neighbors": p2_neighbors,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_duplicates": p5_duplicates,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_residue": p8_residue,
 }
 
 #: Sets of three-word sequences of ``{table}``, a row per sequence, and their sizes.
