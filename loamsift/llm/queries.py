@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, knn, leak, neardup, pairs, residue, split
+from . import history, knn, leak, neardup, packing, pairs, residue, split
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,23 @@ def p5_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.join(counts, "doc_id", "left").select("doc_id", "batch_no", F.coalesce("duplicates", F.lit(0)).alias("duplicates"), F.coalesce("accepted", F.lit(0)).alias("accepted"))
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of every capacity; a document has one token per UTF-8 byte and an end token."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text") + 1, table(spark, sf_dir, "pack_capacity"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be split."""
+    return p6_packing(spark, sf_dir).where("pieces > 1").select("capacity_id", "doc_id").distinct()
+
+
+def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used for each capacity, the least number that could do, and how full they are."""
+    p = p6_packing(spark, sf_dir).groupBy("capacity_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    c = table(spark, sf_dir, "pack_capacity")
+    return p.join(c, "capacity_id").select("capacity_id", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("bound"), F.round(F.col("tokens") / F.col("capacity_tokens") / F.col("containers"), 4).alias("fill"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages of test items, exact or near."""
     return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "golden_questions"), "id", ["question", "answer"]).withColumnRenamed("id", "question_id")
@@ -103,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_duplicates": p5_duplicates,
+    "p6_found": p6_found,
+    "p6_packing": p6_packing,
+    "p6_usage": p6_usage,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
@@ -163,6 +183,7 @@ walk AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS accepted
 final AS (SELECT unnest(accepted) AS chunk_id FROM (SELECT accepted FROM walk ORDER BY r DESC LIMIT 1)),
 m AS (SELECT a, b FROM old UNION SELECT a, b FROM new WHERE b IN (SELECT chunk_id FROM final))
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM m""",
+    "p6_found": """SELECT DISTINCT capacity_id, doc_id FROM documents, pack_capacity WHERE strlen(text) + 1 > capacity_tokens""",
     "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 q AS (SELECT DISTINCT id, regexp_extract_all(lower(unnest([question, answer])), '[\\p{L}\\p{N}]+') AS w FROM golden_questions),
 dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
