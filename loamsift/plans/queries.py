@@ -1,2 +1,414 @@
-QUERIES = {}
-SQL = {}
+"""The queries of the reference's operators over the driver's tables, each with the SQL that checks it where SQL can say it.
+
+Conventions of these queries: golden question number n has the vector of ``embeddings`` with vec_id n modulo 500, and a chunk the one
+with the smallest vec_id in ``vector_store``; repeated rows of a table count once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.vectors import hash_embedding
+from ..operators import answers as A
+from ..operators import bm25, chunking, dedup, dense, fusion, index, metrics, rerank
+from ..sources import golden
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "golden_questions").select(F.col("id").alias("query_id"), "category", "question", "answer", "source_sections").dropDuplicates(["query_id"])
+
+
+def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = questions(spark, sf_dir).withColumn("vec_id", F.pmod(F.substring("query_id", 2, 9).cast("long"), F.lit(500)))
+    return q.join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "vector_store").where("embedding IS NOT NULL")
+    return v.groupBy("chunk_id").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "eval_results").dropDuplicates(["result_id"])
+
+
+def tok(x: str) -> str:
+    """SQL for the tokens of x."""
+    return rf"list_filter(string_split_regex(regexp_replace(lower({x}), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda t: t <> '')"
+
+
+def without(x: str, stop: list[str]) -> str:
+    return f"list_filter({tok(x)}, lambda t: NOT list_contains([{', '.join(repr(w) for w in stop)}], t))"
+
+
+def sent(x: str) -> str:
+    """SQL for the sentences of x."""
+    return rf"""list_filter(list_transform(flatten(list_transform(string_split(regexp_replace({x}, '([.!?])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: string_split(s, chr(10)))), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
+
+
+# The tables behind most of the SQL.
+Q = "q AS (SELECT id AS query_id, any_value(category) AS category, any_value(question) AS question, any_value(answer) AS answer, any_value(source_sections) AS source_sections FROM golden_questions GROUP BY id)"
+C = "c AS (SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(content) AS content, any_value(source_file) AS source_file, any_value(section_heading) AS section_heading FROM chunks GROUP BY chunk_id)"
+R = "r AS (SELECT DISTINCT ON (result_id) * FROM eval_results)"
+
+
+def bm25_sql(source: str, key: str, text: str) -> str:
+    """SQL of the BM25 ranking of ``source`` for all questions: CTEs up to ``s`` (query_id, key, score, rank), rank up to 20."""
+    return f"""{Q},
+t AS (SELECT {key} AS k, {tok(text)} AS t FROM {source}),
+st AS (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS avgdl FROM t),
+tf AS (SELECT k, dl, token, count(*) AS tf FROM (SELECT k, len(t) AS dl, unnest(t) AS token FROM t) GROUP BY 1, 2, 3),
+raw AS (SELECT token, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY 1),
+idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+qt AS (SELECT query_id, token, count(*) AS qn FROM (SELECT query_id, unnest({tok("question")}) AS token FROM q) GROUP BY 1, 2),
+hit AS (SELECT query_id, k, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))) AS score FROM tf JOIN idf USING (token) JOIN qt USING (token) GROUP BY 1, 2),
+every AS (SELECT query_id, k, coalesce(score, 0.0) AS score FROM (SELECT query_id, {key} AS k FROM (SELECT DISTINCT query_id FROM qt), {source}) LEFT JOIN hit USING (query_id, k)),
+s AS (SELECT * FROM (SELECT query_id, k, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, k) AS rank FROM every) WHERE rank <= 20)"""
+
+
+def dense_sql(vectors: str, asked: str, limit: int) -> str:
+    """SQL of the cosine ranking of (k, v) ``vectors`` for (query_id, v) ``asked``: CTEs up to ``d``."""
+    return f"""vv AS (SELECT k, v, sqrt(list_dot_product(v, v)) AS l FROM ({vectors})), qv AS (SELECT query_id, v, sqrt(list_dot_product(v, v)) AS l FROM ({asked})),
+d AS (SELECT * FROM (SELECT query_id, k, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k) AS rank
+  FROM (SELECT query_id, k, CASE WHEN vv.l * qv.l = 0 THEN 0.0 ELSE list_dot_product(vv.v, qv.v) / (vv.l * qv.l) END AS score FROM vv, qv)) WHERE rank <= {limit})"""
+
+
+CHUNK_VECTORS = "SELECT chunk_id AS k, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM vector_store WHERE embedding IS NOT NULL GROUP BY 1"
+QUESTION_VECTORS = "SELECT query_id, embedding::DOUBLE[] AS v FROM q JOIN embeddings ON vec_id = substr(query_id, 2)::BIGINT % 500"
+FUSED = f"""{bm25_sql("c", "chunk_id", "content")}, {dense_sql(CHUNK_VECTORS, QUESTION_VECTORS, 20)},
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, dr NULLS LAST, sr NULLS LAST) AS rank
+  FROM (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.k, s.k) AS k, d.rank AS dr, s.rank AS sr, coalesce(0.7 / (60 + d.rank), 0.0) + coalesce(0.3 / (60 + s.rank), 0.0) AS raw FROM d FULL JOIN s ON d.query_id = s.query_id AND d.k = s.k))"""
+
+
+def lexical_sql(source: str) -> str:
+    """SQL that reranks ``source`` (query_id, k, rank) over the chunks ``c``: CTEs up to ``ranked``."""
+    stop = X.RERANK_STOPWORDS
+    return f"""qq AS (SELECT query_id, {without("question", stop)} AS qt FROM q), cc AS (SELECT chunk_id AS k, {without("coalesce(content, '')", stop)} AS ct FROM c),
+l AS (SELECT query_id, k, rank AS before, CASE WHEN len(qt) > 0 AND len(ct) > 0
+  THEN len(list_filter(qt, lambda t: list_contains(ct, t))) / len(qt) + 0.1::DOUBLE * coalesce(list_sum(list_transform(qt, lambda t: len(list_filter(ct, lambda y: y = t)))), 0) ELSE 0.0 END AS score FROM {source} JOIN qq USING (query_id) JOIN cc USING (k)),
+ranked AS (SELECT query_id, k, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM l)"""
+
+
+@query(f"SELECT doc_id, len({tok('text')})::INTEGER AS tokens, len(list_distinct({tok('text')}))::INTEGER AS distinct_tokens FROM documents WHERE text IS NOT NULL")
+def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.tokens("text")
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(t).alias("tokens"), F.size(F.array_distinct(t)).alias("distinct_tokens"))
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 'text')} SELECT token, df, round(idf, 6) AS idf FROM idf")
+def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return bm25.term_stats(bm25.postings(d, "doc_id", "text"), bm25.corpus_stats(d, "text")).select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 'text')} SELECT query_id, k AS doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM s WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = bm25.topk(table(spark, sf_dir, "documents"), "doc_id", "text", questions(spark, sf_dir), "query_id", "question", 10)
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {Q}, {dense_sql(CHUNK_VECTORS, QUESTION_VECTORS, 10)} SELECT query_id, k AS chunk_id, round(score, 4) AS score, rank::INTEGER AS rank FROM d")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.topk(chunk_vectors(spark, sf_dir), "chunk_id", "embedding", vector_questions(spark, sf_dir), "query_id", "vector", 10)
+
+
+@query(f"WITH {Q}, {dense_sql('SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 3', QUESTION_VECTORS, 5)} SELECT query_id, k AS vec_id, round(score, 4) AS score, rank::INTEGER AS rank FROM d")
+def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.topk(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vector_questions(spark, sf_dir), "query_id", "vector", 5, {"label": 3})
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q = vector_questions(spark, sf_dir)
+    d = dense.topk(chunk_vectors(spark, sf_dir), "chunk_id", "embedding", q, "query_id", "vector", 20)
+    return d, bm25.topk(chunks(spark, sf_dir), "chunk_id", "content", q, "query_id", "question", 20), q
+
+
+@query(f"WITH {C}, {FUSED} SELECT query_id, k AS chunk_id, round(raw, 6) AS rrf_score, rank::INTEGER AS rank FROM f")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, s, _ = _lists(spark, sf_dir)
+    return fusion.rrf(d, s, "query_id", "chunk_id").select("query_id", "chunk_id", "rrf_score", "rank")
+
+
+@query(f"WITH {C}, {FUSED}, f20 AS (SELECT query_id, k, rank FROM f WHERE rank <= 20 AND k IN (SELECT chunk_id FROM c)), {lexical_sql('f20')} SELECT query_id, k AS chunk_id, round(score, 6) AS rerank_score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
+def hybrid_lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, s, q = _lists(spark, sf_dir)
+    best = fusion.hybrid(d, s, chunks(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit(""))), q, "query_id", "question", "chunk_id", "content")
+    return best.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@query(f"WITH {C}, {bm25_sql('c', 'chunk_id', 'content')}, {lexical_sql('s')} SELECT query_id, k AS chunk_id, round(score, 6) AS rerank_score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
+def retrieve_sparse_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = questions(spark, sf_dir), chunks(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
+    few = bm25.topk(c, "chunk_id", "content", q, "query_id", "question", 20).join(c.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+    return rerank.lexical(few, "query_id", "question", "content").where("rank <= 10").select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@query(f"WITH {C} SELECT chunk_id, min(chunk_id) OVER (PARTITION BY content) AS first_key, count(*) OVER (PARTITION BY content) AS copies FROM c WHERE content IS NOT NULL")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_duplicates(chunks(spark, sf_dir), "chunk_id", "content")
+
+
+VEC = "u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM (SELECT DISTINCT vec_id AS id, embedding::DOUBLE[] AS v FROM vector_store WHERE embedding IS NOT NULL) WHERE list_dot_product(v, v) > 0), p AS (SELECT x.id AS a, y.id AS b, round(list_dot_product(x.v, y.v) / (x.l * y.l), 4) AS s FROM u x JOIN u y ON x.id <> y.id WHERE round(list_dot_product(x.v, y.v) / (x.l * y.l), 4) > 0.95)"
+
+
+@query(f"WITH {VEC} SELECT a, b, s AS similarity FROM p WHERE a < b")
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "vector_store").dropDuplicates(["vec_id"])
+    return dedup.similar_pairs(v, v, "vec_id", "embedding", 64).where("a < b")
+
+
+@query(f"""WITH RECURSIVE {VEC}, o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS r FROM (SELECT DISTINCT vec_id FROM vector_store)),
+e AS (SELECT o.r, o.id, coalesce((SELECT list(b) FROM p WHERE a = o.id AND b < o.id), []) AS before FROM o),
+w AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT e.r, CASE WHEN len(list_intersect(w.kept, e.before)) > 0 THEN w.kept ELSE list_append(w.kept, e.id) END FROM w JOIN e ON e.r = w.r + 1),
+k AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM w ORDER BY r DESC LIMIT 1)),
+t AS (SELECT a AS id, arg_min(b, (-s, b)) AS duplicate_of, max(s) AS similarity FROM p WHERE b < a AND b IN (SELECT id FROM k) AND a NOT IN (SELECT id FROM k) GROUP BY 1)
+SELECT o.id AS vec_id, o.id IN (SELECT id FROM k) AS kept, duplicate_of, similarity AS duplicate_similarity FROM o LEFT JOIN t ON t.id = o.id""")
+def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "vector_store").dropDuplicates(["vec_id"]).withColumn("ord", F.col("vec_id"))
+    return dedup.greedy_duplicates(v, "vec_id", "ord", "embedding", 64).select("vec_id", "kept", F.when(~F.col("kept"), F.col("duplicate_of")).alias("duplicate_of"), F.when(~F.col("kept"), F.col("duplicate_similarity")).alias("duplicate_similarity"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "source_files").dropDuplicates(["doc_id"])
+    return f.select("doc_id", F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.col("raw_content")).alias("text"))
+
+
+@query()
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(_files(spark, sf_dir), "doc_id", "text", chunking.ChunkingConfig())
+
+
+@query()
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(_files(spark, sf_dir), "doc_id", "text", chunking.ChunkingConfig(strategy="recursive"))
+
+
+def _embed(texts: list[str]) -> list[list[float]]:
+    return [hash_embedding(t, 64) for t in texts]
+
+
+@query()
+def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(_files(spark, sf_dir), "doc_id", "text", chunking.ChunkingConfig(strategy="semantic"), _embed)
+
+
+@query(r"""WITH f AS (SELECT DISTINCT doc_id, CASE WHEN coalesce(clean_text, '') = '' THEN raw_content ELSE clean_text END AS text FROM source_files),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM f WHERE text IS NOT NULL)
+SELECT doc_id, line_no::INTEGER AS line_no, len(regexp_extract(line, '^(#{1,6})\s+(.+)$', 1))::INTEGER AS level, trim(regexp_extract(line, '^(#{1,6})\s+(.+)$', 2), E' \t\r') AS heading FROM l WHERE regexp_matches(line, '^(#{1,6})\s+(.+)$')""")
+def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _files(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    m = r"^(#{1,6})\s+([\s\S]+)$"
+    return lines.where(F.col("line").rlike(m)).select("doc_id", "line_no", F.length(F.regexp_extract("line", m, 1)).alias("level"), F.regexp_replace(F.regexp_extract("line", m, 2), r"^[ \t\r]+|[ \t\r]+$", "").alias("heading"))
+
+
+@query("""WITH c AS (SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(source_file) AS source_file, any_value(chunking_strategy) AS chunking_strategy FROM chunks GROUP BY 1)
+SELECT coalesce(doc_id, 'unknown') AS doc_id, arg_min(source_file, chunk_id) AS source_file, count(*) AS chunk_count, array_to_string(list_sort(list_distinct(list(chunking_strategy))), ',') AS strategies FROM c GROUP BY 1""")
+def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.list_documents(chunks(spark, sf_dir))
+
+
+@query("SELECT DISTINCT chunk_id, doc_id FROM incoming_chunks WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks)")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.insert_if_absent(table(spark, sf_dir, "incoming_chunks"), table(spark, sf_dir, "chunks"), "chunk_id").select("chunk_id", "doc_id")
+
+
+@query("WITH f AS (SELECT min(doc_id) AS d FROM chunks) SELECT DISTINCT chunk_id, doc_id FROM chunks WHERE doc_id <> (SELECT d FROM f)")
+def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks(spark, sf_dir)
+    return index.delete_document(c, c.agg(F.min("doc_id")).first()[0]).select("chunk_id", "doc_id")
+
+
+@query("SELECT *, dense_count = sparse_count AS in_sync FROM (SELECT count(DISTINCT chunk_id) AS dense_count FROM vector_store), (SELECT count(DISTINCT chunk_id) AS sparse_count FROM chunks)")
+def sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.sync_status(table(spark, sf_dir, "vector_store"), table(spark, sf_dir, "chunks"), "chunk_id")
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 'text')} SELECT query_id, coalesce(left(replace(trim(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g')), chr(10), ' '), 120) || ' [1]', '{A.DECLINE.replace(chr(39), chr(39) * 2)}') AS answer FROM q LEFT JOIN (SELECT * FROM s WHERE rank = 1) USING (query_id) LEFT JOIN documents ON doc_id = k")
+def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, q = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    return A.extractive(bm25.topk(d, "doc_id", "text", q, "query_id", "question", 1).join(d.select("doc_id", "text"), "doc_id"), q, "query_id", "text")
+
+
+@query()
+def grounded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
+    ranked = bm25.topk(c, "chunk_id", "content", q, "query_id", "question", 3).join(c.select("chunk_id", "content", "source_file", "section_heading"), "chunk_id")
+    return A.messages(ranked, q, "query_id", "question", "content", "source_file", "section_heading").select("query_id", "context")
+
+
+@query(rf"""WITH {R}, s AS (SELECT result_id, unnest(s) AS claim, generate_subscripts(s, 1) - 1 AS sentence_pos FROM (SELECT result_id, {sent("generated_answer")} AS s FROM r)),
+n AS (SELECT result_id, sentence_pos, claim, regexp_extract_all(claim, '\[(\d+)\]', 1) AS n FROM s)
+SELECT result_id, sentence_pos::INTEGER AS sentence_pos, (generate_subscripts(n, 1) - 1)::INTEGER AS cite_pos, unnest(n)::INTEGER AS number, claim FROM n""")
+def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.citations(results(spark, sf_dir), "result_id", "generated_answer")
+
+
+@query(rf"""WITH {R}, s AS (SELECT result_id, {sent("coalesce(generated_answer, '')")} AS s FROM r)
+SELECT result_id, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '\[\d+\]'))) / len(s) ELSE 0.0 END, 6) AS coverage FROM s""")
+def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).withColumn("generated_answer", F.coalesce("generated_answer", F.lit(""))).select("result_id", F.round(A.coverage("generated_answer"), 6).alias("coverage"))
+
+
+@query(rf"""WITH {R}, n AS (SELECT result_id, unnest(regexp_extract_all(generated_answer, '\[(\d+)\]', 1))::INTEGER AS n FROM r)
+SELECT result_id, count(*) AS total, 0::BIGINT AS supported, count_if(n <> 1) AS unsupported, 0.0::DOUBLE AS accuracy FROM n GROUP BY 1""")
+def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a judge: the golden answer is block 1, every other number was not provided."""
+    r = results(spark, sf_dir)
+    v = A.verify(A.citations(r, "result_id", "generated_answer"), r.select("result_id", F.lit(1).alias("rank"), "golden_answer"), "result_id", "golden_answer")
+    return A.citation_report(v, "result_id")
+
+
+COMPLETE = f"""CASE WHEN trim(coalesce(generated_answer, '')) = '' THEN 0.0 WHEN contains(lower(generated_answer), 'i don''t have enough information') OR contains(lower(generated_answer), 'i don''t know') THEN 0.1
+  WHEN coalesce(len(qt), 0) = 0 THEN 1.0 ELSE len(list_filter(qt, lambda t: list_contains(a, t))) / len(qt) END"""
+CONFIDENCE = rf"""{R}, t AS (SELECT *, {without("question", X.CONFIDENCE_STOPWORDS)} AS qt, {without("generated_answer", X.CONFIDENCE_STOPWORDS)} AS a, {sent("coalesce(generated_answer, '')")} AS s FROM r),
+k AS (SELECT *, {COMPLETE} AS complete, CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '\[\d+\]'))) / len(s) ELSE 0.0 END AS covered FROM t),
+conf AS (SELECT *, 0.4 * greatest(0.0, least(1.0, coalesce(retrieval_relevance, 0.0))) + 0.3 * covered + 0.3 * complete AS confidence FROM k)"""
+
+
+def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir)
+    cov = r.withColumn("generated_answer", F.coalesce("generated_answer", F.lit("")))
+    c = A.composite(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("retrieval_relevance", F.lit(0.0)))), A.coverage("generated_answer"), A.completeness("question", "generated_answer"))
+    return cov.withColumn("confidence", c)
+
+
+@query(f"WITH {CONFIDENCE} SELECT result_id, round(confidence, 6) AS confidence FROM conf")
+def confidence_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confidence(spark, sf_dir).select("result_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {CONFIDENCE} SELECT coalesce(category, 'unknown') AS category, count_if(confidence >= 0.5) AS answered, count_if(confidence < 0.5) AS declined FROM conf GROUP BY 1")
+def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _confidence(spark, sf_dir).withColumn("ok", A.can_answer("confidence", 0.5))
+    return c.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count_if("ok").alias("answered"), F.count_if(~F.col("ok")).alias("declined"))
+
+
+@query(rf"""WITH {R}, f AS (SELECT *, trim(regexp_replace(coalesce(golden_answer, ''), '\s+', ' ', 'g')) AS g FROM r),
+t AS (SELECT result_id, {without("question", X.CONFIDENCE_STOPWORDS)} AS q, regexp_extract_all(lower(coalesce(generated_answer, '')), '[a-z0-9]+') AS a, lower(left(g, 120) || CASE WHEN length(g) > 120 THEN '...' ELSE '' END) AS found FROM f)
+SELECT result_id, array_to_string(list_filter(q, lambda t: NOT list_contains(a, t) AND NOT contains(found, t)), ' ') AS gaps FROM t""")
+def answer_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir).withColumn("found", F.array(A.snippet("golden_answer")))
+    return r.select("result_id", F.array_join(A.gaps("question", "generated_answer", "found"), " ").alias("gaps"))
+
+
+@query(f"""WITH {C}, {bm25_sql("c", "chunk_id", "content")}, {lexical_sql("s")},
+d AS (SELECT query_id, coalesce(doc_id, source_file, 'unknown') AS doc_id, max(score) AS score, min(rank) AS seen FROM ranked JOIN c ON chunk_id = k WHERE rank <= 10 GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 6) AS score, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS place FROM d) WHERE place <= 3""")
+def candidate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = questions(spark, sf_dir), chunks(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
+    few = bm25.topk(c, "chunk_id", "content", q, "query_id", "question", 20).join(c.select("chunk_id", "content", "doc_id", "source_file"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+    none = F.lit(None).cast("double")
+    ranked = rerank.lexical(few, "query_id", "question", "content").where("rank <= 10").withColumn("rrf_score", none).withColumn("dense_score", none)
+    return A.candidate_documents(ranked, "query_id", "doc_id", "source_file").select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
+
+
+def ev(x: str) -> str:
+    return f"list_distinct({without(f'coalesce({x}, {chr(39) * 2})', X.EVAL_STOPWORDS)})"
+
+
+DECLINED = "(" + " OR ".join("contains(lower(coalesce(generated_answer, '')), '" + p.replace("'", "''") + "')" for p in X.DECLINES) + ")"
+
+
+@query(f"""WITH {R}, t AS (SELECT *, {ev("golden_answer")} AS g, {ev("generated_answer")} AS a FROM r),
+j AS (SELECT *, len(list_intersect(g, a)) / len(list_distinct(list_concat(g, a))) AS j FROM t)
+SELECT result_id, round(CASE WHEN len(g) = 0 THEN 1.0 WHEN len(a) = 0 THEN 0.0 WHEN category = 'no_answer' THEN CASE WHEN {DECLINED} THEN 1.0 ELSE least(j + 0.2, 0.5) END ELSE j END, 6) AS score FROM j""")
+def metric_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("result_id", F.round(metrics.correctness("category", "golden_answer", "generated_answer"), 6).alias("score"))
+
+
+@query(f"""WITH {R}, s AS (SELECT result_id, lower(coalesce(golden_answer, '')) AS c, {sent("coalesce(generated_answer, '')")} AS s FROM r),
+e AS (SELECT result_id, c, unnest(s) AS x FROM s), t AS (SELECT result_id, c, {ev("x")} AS t FROM e),
+g AS (SELECT result_id, avg(CASE WHEN len(t) = 0 OR len(list_filter(t, lambda y: contains(c, y))) / len(t) >= 0.4 THEN 1.0 ELSE 0.0 END) AS score FROM t GROUP BY 1)
+SELECT result_id, round(coalesce(score, 1.0), 6) AS score FROM r LEFT JOIN g USING (result_id)""")
+def metric_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("result_id", F.round(metrics.faithfulness("generated_answer", "golden_answer"), 6).alias("score"))
+
+
+@query(f"""WITH {R}, {Q}, t AS (SELECT result_id, lower(coalesce(generated_answer, '')) AS c, {ev("golden_answer")} AS g, source_sections AS s FROM r JOIN q ON query_id = question_id)
+SELECT result_id, round(CASE WHEN c = '' THEN 0.0 ELSE 0.5 * CASE WHEN coalesce(len(s), 0) = 0 THEN 1.0 ELSE len(list_filter(s, lambda x: contains(c, lower(x)))) / len(s) END
+  + 0.5 * CASE WHEN len(g) = 0 THEN 1.0 ELSE len(list_filter(g, lambda x: contains(c, x))) / len(g) END END, 6) AS score FROM t""")
+def metric_retrieval_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir).join(questions(spark, sf_dir).select(F.col("query_id").alias("question_id"), "source_sections"), "question_id")
+    return r.select("result_id", F.round(metrics.retrieval_relevance("golden_answer", "source_sections", "generated_answer"), 6).alias("score"))
+
+
+@query(rf"""WITH {R}, t AS (SELECT result_id, category, len(regexp_extract_all(coalesce(generated_answer, ''), '\[\d+\]')) AS n FROM r)
+SELECT result_id, CASE WHEN category = 'no_answer' THEN CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END WHEN n = 0 THEN CASE WHEN category = 'ambiguous' THEN 1.0 ELSE 0.5 END ELSE 0.5 END::DOUBLE AS score FROM t""")
+def metric_citation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("result_id", metrics.citation_accuracy("category", "generated_answer").alias("score"))
+
+
+LONG = f"""{R}, l AS (SELECT strategy, coalesce(category, 'unknown') AS category, unnest(['correctness', 'faithfulness', 'retrieval_relevance', 'citation_accuracy']) AS metric, unnest([correctness, faithfulness, retrieval_relevance, citation_accuracy]) AS score FROM r),
+g AS (SELECT strategy, category, metric, round(coalesce(avg(score), 0), 4) AS mean, round(coalesce(median(score), 0), 4) AS median, round(coalesce(min(score), 0), 4) AS min, round(coalesce(max(score), 0), 4) AS max, count(score) AS n FROM l GROUP BY GROUPING SETS ((strategy, metric), (strategy, category, metric))),
+m AS (SELECT strategy, metric, mean FROM g WHERE category IS NULL)"""
+
+
+@query("WITH " + LONG.replace(", 4)", ", 9)") + " SELECT * FROM g")
+def eval_report_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To nine digits: at four, the median of two scores may lie just between."""
+    return metrics.report(results(spark, sf_dir), 9)
+
+
+@query(f"WITH {LONG}, b AS (SELECT *, max(mean) OVER (PARTITION BY metric) AS best FROM m) SELECT metric, max(best) AS best, string_agg(strategy, '+' ORDER BY mean DESC, strategy) AS winner FROM b WHERE abs(mean - best) <= 0.01 + 1e-9 GROUP BY 1")
+def strategy_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.winners(metrics.strategy_means(results(spark, sf_dir)))
+
+
+@query(f"WITH {LONG}, s AS (SELECT strategy, sum(mean) / 4 AS average FROM m GROUP BY 1) SELECT strategy, round(average, 6) AS average, (row_number() OVER (ORDER BY average DESC, strategy))::INTEGER AS place FROM s")
+def strategy_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.overall(metrics.strategy_means(results(spark, sf_dir)))
+
+
+@query(f"WITH {LONG} SELECT category, metric, strategy AS winner, mean FROM (SELECT *, row_number() OVER (PARTITION BY category, metric ORDER BY mean DESC, strategy) AS p FROM g WHERE category IS NOT NULL) WHERE p = 1")
+def category_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.category_winners(metrics.report(results(spark, sf_dir)))
+
+
+@query(f"WITH {LONG}, p AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean DESC, strategy) AS p FROM m) SELECT x.metric, x.strategy AS winner, y.strategy AS runner_up, round((x.mean - y.mean) / nullif(y.mean, 0) * 100, 1) AS gain_percent FROM p x LEFT JOIN p y ON x.metric = y.metric AND y.p = 2 WHERE x.p = 1")
+def strategy_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.gains(metrics.strategy_means(results(spark, sf_dir)))
+
+
+@query(f"WITH {R} SELECT strategy, count(*) AS questions, count_if(error IS NOT NULL) AS errors FROM r GROUP BY 1")
+def eval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.errors(results(spark, sf_dir))
+
+
+@query("""WITH k AS (SELECT unnest(['lookup', 'multi_hop', 'no_answer', 'ambiguous']) AS category), n AS (SELECT category, count(*) AS n FROM golden_questions GROUP BY 1)
+SELECT category, coalesce(n, 0) AS n FROM k LEFT JOIN n USING (category) UNION ALL SELECT 'total', count(*) FROM golden_questions""")
+def golden_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.counts(table(spark, sf_dir, "golden_questions"))
+
+
+@query("""WITH i AS (SELECT id, unnest(list_filter([CASE WHEN trim(coalesce(id, '')) = '' THEN 'empty id' END, CASE WHEN category IS NULL OR category NOT IN ('lookup', 'multi_hop', 'no_answer', 'ambiguous') THEN 'bad category' END,
+  CASE WHEN trim(coalesce(question, '')) = '' THEN 'empty question' END, CASE WHEN trim(coalesce(answer, '')) = '' THEN 'empty answer' END,
+  CASE WHEN category IN ('lookup', 'multi_hop') AND coalesce(len(source_documents), 0) = 0 THEN 'missing source documents' END, CASE WHEN category IN ('lookup', 'multi_hop') AND coalesce(len(source_sections), 0) = 0 THEN 'missing source sections' END,
+  CASE WHEN category = 'no_answer' AND len(source_documents) > 0 THEN 'unexpected source documents' END], lambda x: x IS NOT NULL)) AS issue FROM golden_questions)
+SELECT * FROM i UNION ALL SELECT id, 'duplicate id' FROM golden_questions WHERE trim(coalesce(id, '')) <> '' GROUP BY id HAVING count(*) > 1""")
+def golden_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.validate(table(spark, sf_dir, "golden_questions"))
