@@ -16,6 +16,11 @@ def cosine(a: str, b: str) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.zeros(len(x))
+        sizes = {-1 if v is None else len(v) for c in (x, y) for v in c}
+        if len(sizes) == 1 and min(sizes) > 0:
+            a, b = np.stack(x.to_list()).astype(np.float64), np.stack(y.to_list()).astype(np.float64)
+            n = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+            return pd.Series(np.divide(np.einsum("ij,ij->i", a, b), n, out=out, where=n > 0))
         for i, (p, q) in enumerate(zip(x, y)):
             if p is not None and q is not None and len(p) == len(q) and len(p):
                 p, q = np.asarray(p, dtype=np.float64), np.asarray(q, dtype=np.float64)

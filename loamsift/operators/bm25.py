@@ -1,13 +1,27 @@
-"""Okapi BM25 as joins of postings, for a batch of queries at once."""
+"""Okapi BM25 for a batch of queries at once.
+
+Document frequencies are a plain aggregation. The scores of a batch of documents for a block of queries are one matrix product, term weights by
+query weights, of which each batch keeps its own k best; a frequent term thus costs no more than a rare one and no row per document and query is shuffled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.layout import spread
 from ..functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries are scored in blocks of so many; every block is a pass over the documents.
+QUERY_BLOCK = 1000
+DOC_BATCH = 1000
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,38 +35,83 @@ def corpus_stats(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.greatest(F.size(tokens(F.coalesce(F.col(text), F.lit("")))), F.lit(0)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
+def term_stats(df: DataFrame, text: str) -> DataFrame:
     """(token, df, idf): negative idf becomes a quarter of the vocabulary's mean raw idf."""
-    d = post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
+    n = df.agg(F.count("*").alias("n"))
+    d = df.select(F.explode(F.array_distinct(tokens(text))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     d = d.withColumn("raw", raw)
     mean = d.agg(F.avg("raw").alias("mean"))
     return d.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query: str) -> DataFrame:
-    """(query_key, key, score) of all documents that share a token with a query; repeated query tokens count repeatedly."""
-    post = postings(df, key, text)
-    stats = corpus_stats(df, text)
-    asked = queries.select(query_key, F.explode(tokens(query)).alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("qn"))
-    idf = term_stats(post, stats)
-    # Terms that no query holds need no postings; the semi join lets them go before the large shuffle.
-    wanted = post.join(asked.select("token").distinct(), "token", "left_semi")
-    weight = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return wanted.join(idf, "token").join(asked, "token").crossJoin(F.broadcast(stats.select("avgdl"))).groupBy(query_key, key).agg(F.sum(weight).alias("score"))
+def _scores(docs: DataFrame, key: str, block: list[tuple[object, list[str]]], idf: dict[str, float], avgdl: float, query_key: str, k: int, schema: T.StructType) -> DataFrame:
+    """The documents that share a token with a query of the block; of each batch the k best of each query and what ties with them."""
+    place = {t: i for i, t in enumerate(sorted(idf))}
+    weight = np.zeros((len(place), len(block)))
+    for j, (_, words) in enumerate(block):
+        for t in words:
+            if t in place:
+                weight[place[t], j] += idf[t]
+    ids = pa.array([q for q, _ in block])
+    asked = (weight != 0).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOC_BATCH):
+                b = batch.slice(at, DOC_BATCH)
+                tf = np.zeros((b.num_rows, len(place)))
+                dl = np.zeros(b.num_rows)
+                for i, words in enumerate(b.column(1).to_pylist()):
+                    dl[i] = len(words)
+                    for t in words:
+                        p = place.get(t)
+                        if p is not None:
+                            tf[i, p] += 1
+                w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[:, None] / avgdl))
+                s = w @ weight
+                s[(tf > 0).astype(np.float32) @ asked == 0] = -np.inf
+                m = min(k, len(s))
+                tied = np.round(s, 9)
+                least = -np.partition(-tied, m - 1, axis=0)[m - 1]
+                i, j = np.nonzero((tied >= least) & (s > -np.inf))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), b.column(0).take(pa.array(i)), pa.array(s[i, j])], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def topk(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query: str, k: int = 10) -> DataFrame:
-    """(query_key, key, score, rank): the k best documents of each query; ties to the smaller key.
+    """(query_key, key, score, rank): the k best documents of each query; scores equal to nine digits tie, and ties go to the smaller key.
 
-    Documents without any of the tokens score 0 and fill up the k. Queries without tokens have no rows. NULL texts score 0; ``key`` must be unique.
+    Repeated query tokens count repeatedly. Documents without any of the tokens score 0 and fill up the k. Queries without tokens have no
+    rows. NULL texts score 0; ``key`` must be unique.
     """
-    s = scores(df, key, text, queries, query_key, query)
-    # Sums of one set of terms may differ in the last bits; scores equal to nine digits tie.
+    df = spread(df.select(key, text))
+    stats = corpus_stats(df, text).first()
+    docs = df.select(key, tokens(text).alias("t")).where(F.size("t") > 0)
+    terms = term_stats(df, text)
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, df.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    asked = queries.select(query_key, tokens(query).alias("t")).where(F.size("t") > 0)
+    parts, block = [], []
+
+    def flush() -> None:
+        used = df.sparkSession.createDataFrame([(t,) for t in {t for _, w in block for t in w}], "token string")
+        idf = {r[0]: r[1] for r in terms.join(F.broadcast(used), "token", "left_semi").select("token", "idf").collect()}
+        if idf:
+            parts.append(_scores(docs, key, list(block), idf, stats["avgdl"], query_key, k, schema))
+        block.clear()
+
+    for r in asked.toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) >= QUERY_BLOCK:
+            flush()
+    if block:
+        flush()
+    found = reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
-    best = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     # At most k of the first 2k documents are needed to fill up, as at most k of them are among the best.
     first = df.select(key).orderBy(key).limit(2 * k)
-    short = queries.where(F.size(tokens(query)) > 0).select(query_key).join(best.groupBy(query_key).agg(F.count("*").alias("m")), query_key, "left").withColumn("m", F.coalesce("m", F.lit(0))).where(F.col("m") < k)
+    short = asked.select(query_key).join(best.groupBy(query_key).agg(F.count("*").alias("m")), query_key, "left").withColumn("m", F.coalesce("m", F.lit(0))).where(F.col("m") < k)
     fill = short.crossJoin(F.broadcast(first)).join(best.select(query_key, key), [query_key, key], "left_anti").select(query_key, key, F.lit(0.0).alias("score"))
     return best.select(query_key, key, "score").unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

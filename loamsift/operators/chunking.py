@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.layout import spread
+
 _HEADING = re.compile(r"^#{1,6}\s+(.+)$")
 
 
@@ -194,4 +196,4 @@ def chunk(docs: DataFrame, key: str, text: str, config: ChunkingConfig, embed: C
                 kinds = [pa.string(), b.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=schema.names)
 
-    return docs.where(F.length(text) > 0).select(key, text).mapInArrow(run, schema)
+    return spread(docs.where(F.length(text) > 0).select(key, text)).mapInArrow(run, schema)

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.layout import spread
 from ..functions.vectors import cosine
 
-BITS, BANDS = 10, 32
+BITS, BANDS = 14, 48
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -60,10 +61,10 @@ def usable(vector: str, dims: int) -> Column:
 def similar_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, dims: int, threshold: float = 0.95, digits: int = 4) -> DataFrame:
     """(a, b, similarity): pairs of different keys of which the rounded cosine exceeds the threshold.
 
-    Candidates share a band of random-projection signs: at a cosine of 0.95 one of 32 bands of 10 bits agrees with probability 0.99998. Hot bands are
+    Candidates share a band of random-projection signs: at a cosine of 0.95 one of 48 bands of 14 bits agrees with probability 0.999995. Hot bands are
     split by the adaptive skew join. NULL, all-zero and other-length vectors are in no pair.
     """
-    x, y = left.where(usable(vector, dims)), right.where(usable(vector, dims))
+    x, y = (spread(d.where(usable(vector, dims)).select(key, vector)) for d in (left, right))
     p = sign_bands(x, key, vector, dims).select(F.col(key).alias("a"), "code")
     q = sign_bands(y, key, vector, dims).select(F.col(key).alias("b"), "code")
     pairs = p.join(q, "code").where(F.col("a") != F.col("b")).select("a", "b").distinct()

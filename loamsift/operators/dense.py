@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.layout import spread
+
 #: Queries are compared in blocks of so many; every block is a pass over the vectors.
 QUERY_BLOCK = 4000
 
@@ -46,6 +48,7 @@ def topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_ke
     """
     for c, v in (where or {}).items():
         vectors = vectors.where(F.col(c) == F.lit(v))
+    vectors = spread(vectors)
     schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
     parts, ids, rows = [], [], []
 

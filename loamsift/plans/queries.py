@@ -123,7 +123,7 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {bm25_sql('documents', 'doc_id', 'text')} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return bm25.term_stats(bm25.postings(d, "doc_id", "text"), bm25.corpus_stats(d, "text")).select("token", "df", F.round("idf", 6).alias("idf"))
+    return bm25.term_stats(d, "text").select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {bm25_sql('documents', 'doc_id', 'text')} SELECT query_id, k AS doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM s WHERE rank <= 10")
