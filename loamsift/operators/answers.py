@@ -118,7 +118,7 @@ def chunk_score() -> Column:
 
 def retrieval_confidence(score: Column) -> Column:
     """Aggregate: the mean score between 0 and 1, 0 without any."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(score))), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.avg(score), F.lit(0.0))))
 
 
 def composite(retrieval: str | Column, citation: str | Column, complete: str | Column, weights: dict[str, float] | None = None) -> Column:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.layout import spread
 from ..functions.text import tokens
@@ -53,7 +54,7 @@ def _scores(docs: DataFrame, key: str, block: list[tuple[object, list[str]]], id
         for t in words:
             if t in place:
                 weight[place[t], j] += idf[t]
-    ids = pa.array([q for q, _ in block])
+    ids = pa.array([q for q, _ in block], type=to_arrow_type(schema[query_key].dataType))
     asked = (weight != 0).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

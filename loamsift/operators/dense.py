@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.layout import spread
 
@@ -21,7 +22,7 @@ def _search(vectors: DataFrame, key: str, vector: str, ids: list, matrix: np.nda
     dims = matrix.shape[1]
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-    kind = pa.array(ids)
+    kind = pa.array(ids, type=to_arrow_type(schema[query_key].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

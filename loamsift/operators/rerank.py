@@ -48,7 +48,8 @@ def by_judge(rows: DataFrame, query_key: str, query: str, content: str, judge: C
         return pd.Series([judge(x, y) for x, y in zip(q.fillna(""), c.fillna(""))], dtype=object)
 
     reply = run(query, F.substring(content, 1, most))
-    return reordered(rows, query_key, F.coalesce(F.expr("try_cast(regexp_extract(reply__, '(\\\\d+)', 1) AS DOUBLE)"), F.lit(0.0))) if "reply__" in rows.columns else reordered(rows.withColumn("reply__", reply), query_key, F.coalesce(F.regexp_extract("reply__", r"(\d+)", 1).try_cast("double"), F.lit(0.0))).drop("reply__")
+    score = F.coalesce(F.regexp_extract("reply__", r"(\d+)", 1).try_cast("double"), F.lit(0.0))
+    return reordered(rows.withColumn("reply__", reply), query_key, score).drop("reply__")
 
 
 def create_reranker(kind: str = "auto", predict: Callable | None = None, judge: Callable | None = None) -> Callable[[DataFrame, str, str, str], DataFrame]:
