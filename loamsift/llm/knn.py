@@ -48,7 +48,7 @@ def learn_rotations(sample: np.ndarray, count: int = ROTATIONS, steps: int = 20,
 def unit_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     """(key, v): one row per key whose vector has ``dims`` finite entries and is not all zero."""
     e = F.col("v")
-    one = df.select(F.col(key), F.col(vector).cast("array<float>").alias("v")).where((F.size(e) == dims) & F.exists(e, lambda x: x != 0) & F.forall(e, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+    one = df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<float>").alias("v")).where((F.size(e) == dims) & F.exists(e, lambda x: x != 0) & F.forall(e, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
     return one.dropDuplicates([key])
 
 
@@ -166,7 +166,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: flo
     """(id, other, cosine, rank): of each vector the k nearest others with a cosine of at least ``least``; ties go to the smaller key.
 
     At a cosine of 0.9 a bit differs with probability 0.144, so one of 48 substrings of 16 bits agrees with probability 0.98, at 0.94 with
-    0.9996; of 256 bits 37 differ at 0.9, with a deviation of 6. Vectors that are NULL, all zero, not finite or of another length than ``dims`` count for nothing, rows that repeat a key once, an empty table
+    0.9996; of 256 bits 37 differ at 0.9, with a deviation of 6. Keys are whole numbers. Vectors that are NULL, all zero, not finite or of another length than ``dims`` count for nothing, rows that repeat a key once, an empty table
     gives an empty result, extra columns are ignored. Equal vectors are searched as one, so a large group of them costs one row.
     """
     vectors = written(unit_vectors(df.withColumnRenamed(key, "id"), "id", vector, dims), "unit")
@@ -183,7 +183,7 @@ def nearest_of_queries(df: DataFrame, query: DataFrame, key: str, vector: str, k
     they are compared with all vectors, in blocks of bounded size. Edge cases as in ``nearest_vectors``.
     """
     vectors = written(unit_vectors(df.withColumnRenamed(key, "id"), "id", vector, dims), "unit")
-    asked = query.select(F.col(key).alias("id")).distinct()
+    asked = query.select(F.col(key).cast("long").alias("id")).distinct()
     done = written(nearest_vectors(vectors, "id", "v", k, least, dims).join(asked, "id", "left_semi"), "near")
     full = done.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("id")
     rest = written(vectors.join(asked, "id", "left_semi").join(full, "id", "left_anti"), "rest")
