@@ -91,6 +91,8 @@ _INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
 _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»|(?<!\w)'[^'\n]{1,200}'(?!\w)")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
+#: A list mark without an item.
+_BARE_ITEM = re.compile(r"^\s*(?:[-+•]|\*|\d{1,3}[.)])\s*[*_`\"(]*$")
 _END = re.compile(r"[.!?。！？…](?:[\"'”’»)\]*_`]|\s)*$")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’»)*]*\s+|\n{2,}|\n(?=\s*(?:[-*+•]|\d{1,3}[.)])\s)")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
@@ -208,28 +210,42 @@ def is_refusal(text: str) -> bool:
     return hits[0] and all(h or len(words(p)) <= 12 and re.search(r"\b(?:please|sorry|maintainer|contact|bitte|leider|désolée?|veuillez|lo siento|por favor)\b", p) is not None for h, p in zip(hits, parts)) or (len(parts) == 2 and len(words(parts[0])) <= 4 and hits[1])
 
 
-def language(text: str) -> tuple[str | None, float]:
-    """The language of the prose, None where too little tells, and by how many function words it leads."""
-    letters = Counter()
+def language_scores(text: str) -> Counter:
+    """How much the text speaks for each language: function words, each shared out among its languages, and marked letters. Another script than
+    the Latin one counts as a language of its own."""
+    letters: Counter = Counter()
     for ch in text:
         if ch.isalpha():
             letters["latin" if ch < "ɐ" or "Ḁ" <= ch < "ἀ" else unicodedata.name(ch, "?").split(" ")[0].lower()] += 1
     if letters and (top := letters.most_common(1)[0])[0] != "latin" and top[1] > 0.5 * sum(letters.values()):
-        return top[0], float(top[1])
-    w = words(text)
+        return Counter({top[0]: top[1]})
     count: Counter = Counter()
-    for x in w:
+    for x in words(text):
         for k in _SHARE.get(x, ()):
             count[k] += 1 / len(_SHARE[x])
         for k, marks in DIACRITICS.items():
             if not marks.isdisjoint(x):
                 count[k] += 0.5
-    if not count:
-        return None, 0.0
-    (best, n), (_, m) = [*count.most_common(2), (None, 0.0)][:2]
-    return (best, n - m) if n >= 1.2 and n - m >= 0.6 and n >= 1.3 * m else (None, 0.0)
+    return count
 
 
+def language(text: str) -> str | None:
+    """The language of the text, None where too little tells."""
+    best = language_scores(text).most_common(2)
+    if not best or best[0][1] < 1.2:
+        return None
+    m = best[1][1] if len(best) > 1 else 0.0
+    return best[0][0] if best[0][1] - m >= 0.4 and best[0][1] >= 1.3 * m else None
+
+
+def in_another_language(asked: str | None, text: str) -> bool:
+    """Whether the text speaks for some language clearly and for the one asked in hardly."""
+    count = language_scores(text)
+    if asked is None or not count:
+        return False
+    best, n = count.most_common(1)[0]
+    return best != asked and n >= 1.2 and count[asked] <= 0.5 * n
+
 
 def _plain(text: str) -> str:
     return _QUOTED.sub(" ", Parse(normal(text)).plain)
@@ -240,6 +256,8 @@ def ends_early(answer: str, parse: Parse, golden: str) -> bool:
     if parse.open:
         return True
     text = answer.rstrip()
+    if _BARE_ITEM.match(text.rsplit("\n", 1)[-1]) or parse.prose.rstrip().rsplit("\n\n", 1)[-1].count("**") % 2:
+        return True
     tail = text.rstrip("*_\"'”») ")
     if tail.endswith("…") or tail.endswith("..."):
         return True
@@ -285,9 +303,7 @@ def defect(question: str | None, golden: str | None, answer: str | None) -> str
     if is_refusal(text):
         return None if golden and is_refusal(normal(golden)) else REFUSAL
     parse = Parse(text)
-    asked, lead = language(_plain(question or ""))
-    said, much = language(_QUOTED.sub(" ", parse.plain))
-    if asked and said and asked != said and lead > 0 and much > 0:
+    if in_another_language(language(_plain(question or "")), _QUOTED.sub(" ", parse.plain)):
         return LANGUAGE
     if ends_early(text, parse, normal(golden)):
         return TRUNCATED

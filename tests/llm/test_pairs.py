@@ -29,6 +29,9 @@ ES = "La clave se cambia después de los días que indica la opción, y la antig
         ("Set `rotate_days` to the number of days. After that time Harbor makes a new key and keeps the old one for a week [2]", None),
         ("Set `rotate_days` to the number of days.\n\n- `rotate_days`\n- `keep_old`", None),
         ("Set the number of days with `rotate_da", TRUNCATED),
+        ("There are two steps.\n\n1. Set `rotate_days` to the number of days.\n2. **", TRUNCATED),
+        ("There are two steps.\n\n1. Set `rotate_days` to the number of days.\n2.", TRUNCATED),
+        ("Use `rotate_days` para indicar si la copia protege la clave compartida.", LANGUAGE),
         ("I could not find `rotate_days` anywhere in the sources.", REFUSAL),
         ("I'm sorry, but I can't answer that.", REFUSAL),
         ("I'm not sure about older releases, but this is what the page says. " + G, None),
@@ -54,9 +57,9 @@ def test_a_refusal_is_right_where_the_golden_answer_declines():
 
 
 def test_languages_and_scripts():
-    assert language("Die Schlüssel werden nach einer Woche gelöscht.")[0] == "de"
-    assert language("La clé est gardée pendant une semaine et puis supprimée.")[0] == "fr"
-    assert language("Ключ хранится одну неделю")[0] == "cyrillic"
+    assert language("Die Schlüssel werden nach einer Woche gelöscht.") == "de"
+    assert language("La clé est gardée pendant une semaine et puis supprimée.") == "fr"
+    assert language("Ключ хранится одну неделю") == "cyrillic"
     assert defect(Q, G, "Ключ хранится одну неделю и потом удаляется.") == LANGUAGE
 
 
