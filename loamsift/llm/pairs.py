@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -195,6 +196,9 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
         core.pop()
     if len(core) < 0.7 * len(question):
         return False
+    # Tiles are made of words that both hold.
+    if sum(w in known for w in core) < 0.8 * len(core):
+        return False
     covered = tiling(core, question, 2)
     strange = sum(w not in known and w not in LABELS and len(w) > 3 for w in core)
     return covered >= 0.8 * len(core) and strange <= 0.1 * len(core) or (sum(w in known for w in core) >= 0.8 * len(core) and strange == 0 and tiling(question, core, 2) >= 0.6 * len(question))
@@ -213,10 +217,10 @@ def is_refusal(text: str) -> bool:
 def language_scores(text: str) -> Counter:
     """How much the text speaks for each language: function words, each shared out among its languages, and marked letters. Another script than
     the Latin one counts as a language of its own."""
-    letters: Counter = Counter()
-    for ch in text:
-        if ch.isalpha():
-            letters["latin" if ch < "ɐ" or "Ḁ" <= ch < "ἀ" else unicodedata.name(ch, "?").split(" ")[0].lower()] += 1
+    foreign = [ch for ch in text if ch >= "ɐ" and ch.isalpha() and not "Ḁ" <= ch < "ἀ"]
+    letters: Counter = Counter(unicodedata.name(ch, "?").split(" ")[0].lower() for ch in foreign)
+    if foreign:
+        letters["latin"] = sum(map(str.isalpha, text)) - len(foreign)
     if letters and (top := letters.most_common(1)[0])[0] != "latin" and top[1] > 0.5 * sum(letters.values()):
         return Counter({top[0]: top[1]})
     count: Counter = Counter()
@@ -247,8 +251,14 @@ def in_another_language(asked: str | None, text: str) -> bool:
     return best != asked and n >= 1.2 and count[asked] <= 0.5 * n
 
 
-def _plain(text: str) -> str:
-    return _QUOTED.sub(" ", Parse(normal(text)).plain)
+@lru_cache(4096)
+def _asked_in(question: str) -> str | None:
+    return language(_QUOTED.sub(" ", Parse(normal(question)).plain))
+
+
+@lru_cache(4096)
+def _declining(golden: str) -> bool:
+    return is_refusal(normal(golden))
 
 
 def ends_early(answer: str, parse: Parse, golden: str) -> bool:
@@ -301,9 +311,9 @@ def defect(question: str | None, golden: str | None, answer: str | None) -> str
     if is_copy(q, bare):
         return COPY
     if is_refusal(text):
-        return None if golden and is_refusal(normal(golden)) else REFUSAL
+        return None if golden and _declining(golden) else REFUSAL
     parse = Parse(text)
-    if in_another_language(language(_plain(question or "")), _QUOTED.sub(" ", parse.plain)):
+    if in_another_language(_asked_in(question or ""), _QUOTED.sub(" ", parse.plain)):
         return LANGUAGE
     if ends_early(text, parse, normal(golden)):
         return TRUNCATED
