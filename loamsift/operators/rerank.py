@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.text import rerank_tokens
 
 
-def lexical_score(query: str, content: str) -> Column:
-    """Share of the query's tokens found in the content, plus a tenth of how often they stand there; 0 where one has no tokens."""
-    q, c = rerank_tokens(query), rerank_tokens(content)
+def lexical_score(query_tokens: str, content_tokens: str) -> Column:
+    """Share of the query's tokens found in the content, plus a tenth of how often they stand there; 0 where one has no tokens. Takes columns of tokens."""
+    q, c = F.col(query_tokens), F.col(content_tokens)
     covered = F.size(F.filter(q, lambda t: F.array_contains(c, t)))
     often = F.aggregate(q, F.lit(0), lambda n, t: n + F.size(F.filter(c, lambda x: x == t)))
     return F.when((F.size(q) > 0) & (F.size(c) > 0), covered / F.size(q) + 0.1 * often).otherwise(0.0)
@@ -26,7 +26,9 @@ def reordered(rows: DataFrame, query_key: str, score: Column) -> DataFrame:
 
 
 def lexical(rows: DataFrame, query_key: str, query: str, content: str) -> DataFrame:
-    return reordered(rows, query_key, lexical_score(query, content))
+    # As columns, the tokens are made once a row and not once for each token compared.
+    t = rows.withColumn("q__", rerank_tokens(query)).withColumn("c__", rerank_tokens(content))
+    return reordered(t, query_key, lexical_score("q__", "c__")).drop("q__", "c__")
 
 
 def by_model(rows: DataFrame, query_key: str, query: str, content: str, predict: Callable[[list[tuple[str, str]]], list[float]], batch: int = 32) -> DataFrame:
