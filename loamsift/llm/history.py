@@ -122,13 +122,13 @@ def decide(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFr
     raise RuntimeError("the order holds a longer chain of undecided records than the rounds allowed")
 
 
-def match_batches(history: DataFrame, incoming: DataFrame, key: str, text: str, order: str, threshold: float = 0.6, width: int = 3, expand: int = 64) -> tuple[DataFrame, DataFrame]:
+def match_batches(history: DataFrame, incoming: DataFrame, key: str, text: str, order: str, threshold: float = 0.6, width: int = 3) -> tuple[DataFrame, DataFrame]:
     """Decides the rows of ``incoming`` in the order of ``order`` against ``history`` and the rows accepted before.
 
     Returns the decisions (order, key, status: accepted, duplicate or skipped) and the matches (new, old, similarity, order) of
     each duplicate with every accepted record that reaches the threshold. A row whose key is in the history or
     came before is skipped. Rows with NULL text or too few words resemble nothing and are accepted. Records of the history with one shingle set
-    all stand in the matches up to ``expand`` copies, above that the first stands for them. Rows with a NULL key or order are skipped; empty
+    all stand in the matches, however many they are: a matching row costs a row for each. Rows with a NULL key or order are skipped; empty
     tables give empty results; other columns are ignored.
     """
     spark = incoming.sparkSession
@@ -159,9 +159,8 @@ def match_batches(history: DataFrame, incoming: DataFrame, key: str, text: str,
     nodes = new_cls.select("cls", "ord").join(lost, "cls", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
     accepted = decide(nodes, among.select("early", "late")).where("accepted").select("cls").join(new_cls.select("cls", "rep", "ord"), "cls")
 
-    copies = old_sigs.select("cls", key).join(classes(old_sigs, key).select("cls", "rep", "copies"), "cls").where((F.col("copies") <= expand) | (F.col(key) == F.col("rep")))
     each = new_sigs.select(F.col("cls").alias("a"), F.col(key).alias("new"), F.col(order).alias(order))
-    with_old = to_old.join(copies.select(F.col("cls").alias("b"), F.col(key).alias("old")), "b").join(each, "a").select("new", "old", "similarity", order)
+    with_old = to_old.join(old_sigs.select(F.col("cls").alias("b"), F.col(key).alias("old")), "b").join(each, "a").select("new", "old", "similarity", order)
     with_new = among.join(accepted.select(F.col("cls").alias("early"), F.col("rep").alias("old")), "early").join(each.withColumnRenamed("a", "late"), "late").select("new", "old", "similarity", order)
     same = accepted.select(F.col("cls").alias("a"), F.col("rep").alias("old")).join(each, "a").where(F.col("new") != F.col("old")).select("new", "old", F.lit(1.0).alias("similarity"), order)
     matches = with_old.unionByName(with_new).unionByName(same)

@@ -119,18 +119,26 @@ def class_pairs(cls: DataFrame, threshold: float = 0.6, parts: int = 12) -> Data
     return verified(found, cls, cls, threshold)
 
 
-def members(sigs: DataFrame, cls: DataFrame, key: str, expand: int) -> DataFrame:
-    """(cls, key, rep, copies) of the members that stand for their class in pairs: all of them up to ``expand`` copies, else its first."""
-    m = sigs.select("cls", key).join(cls.select("cls", "rep", "copies"), "cls")
-    return m.where((F.col("copies") <= expand) | (F.col(key) == F.col("rep")))
+def members(sigs: DataFrame, df: DataFrame, key: str, text: str, expand: int) -> tuple[DataFrame, DataFrame]:
+    """(cls, key) of the records that stand for their text in pairs, and (x, y) linking the others to them.
+
+    Only records whose texts are equal to the byte are taken together, and of those only groups above ``expand`` records.
+    """
+    prints = df.select(F.col(key), F.md5(F.col(text).cast("binary")).alias("text__")).where(F.col("text__").isNotNull()).dropDuplicates([key])
+    m = sigs.select("cls", key).join(prints, key)
+    groups = m.groupBy("cls", "text__").agg(F.min(key).alias("x"), F.count(key).alias("copies"))
+    m = m.join(groups, ["cls", "text__"])
+    stand = m.where((F.col("copies") <= expand) | (F.col(key) == F.col("x"))).select("cls", key)
+    return stand, m.where((F.col("copies") > expand) & (F.col(key) != F.col("x"))).select("x", F.col(key).alias("y"))
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.6, width: int = 3, parts: int = 12, expand: int = 64) -> DataFrame:
-    """(``key``_a, ``key``_b, similarity), a < b: records whose texts reach the threshold.
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.6, width: int = 3, parts: int = 12, expand: int | None = None) -> DataFrame:
+    """(``key``_a, ``key``_b, similarity), a < b: all records whose texts reach the threshold.
 
-    Records of one shingle set form a class, and classes are compared, so a group of copies costs one row however
-    large it is. In the result a class of up to ``expand`` copies stands with all its members; of a larger one
-    each member is linked to the first, and the first to other classes: no link is lost and the rows stay linear.
+    Records of one shingle set form a class, and classes are compared, so a group of copies costs one row in the search however
+    large it is. In the result every member of a class stands with every other one and with all of the classes like it, so the rows are as many as the
+    pairs. With ``expand`` only the first of more than ``expand`` records of one text, equal to the byte, stands in the pairs, and each of the others is
+    linked to it: the links between different texts are all there still, and the rows of a group of equal texts are linear.
 
     NULL, empty and too short texts pair with nothing; rows that repeat a key count once; an empty table gives an empty
     result; a text of any length is one set; columns other than the two named are ignored.
@@ -138,13 +146,15 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float =
     sigs = written(signatures(df, key, text, width).dropDuplicates([key]), "signatures")
     cls = written(classes(sigs, key), "classes")
     pairs = class_pairs(cls, threshold, parts)
-    m = members(sigs, cls, key, expand)
+    stand, star = (sigs.select("cls", key), None) if expand is None else members(sigs, df, key, text, expand)
     a, b = f"{key}_a", f"{key}_b"
-    across = pairs.join(m.select(F.col("cls").alias("a"), F.col(key).alias("x")), "a").join(m.select(F.col("cls").alias("b"), F.col(key).alias("y")), "b").select("x", "y", "similarity")
-    small = m.where((F.col("copies") > 1) & (F.col("copies") <= expand)).select("cls", key)
-    inside = small.withColumnRenamed(key, "x").join(small.withColumnRenamed(key, "y"), "cls").where(F.col("x") < F.col("y")).select("x", "y", F.lit(1.0).alias("similarity"))
-    large = sigs.select("cls", F.col(key).alias("y")).join(cls.where(F.col("copies") > expand).select("cls", F.col("rep").alias("x")), "cls").where(F.col("x") != F.col("y")).select("x", "y", F.lit(1.0).alias("similarity"))
-    return across.unionByName(inside).unionByName(large).select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b), "similarity")
+    across = pairs.join(stand.select(F.col("cls").alias("a"), F.col(key).alias("x")), "a").join(stand.select(F.col("cls").alias("b"), F.col(key).alias("y")), "b").select("x", "y", "similarity")
+    several = stand.join(cls.where(F.col("copies") > 1).select("cls"), "cls", "left_semi")
+    inside = several.withColumnRenamed(key, "x").join(several.withColumnRenamed(key, "y"), "cls").where(F.col("x") < F.col("y")).select("x", "y", F.lit(1.0).alias("similarity"))
+    found = across.unionByName(inside)
+    if star is not None:
+        found = found.unionByName(star.withColumn("similarity", F.lit(1.0)))
+    return found.select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b), "similarity")
 
 
 def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.6, width: int = 3, parts: int = 12) -> DataFrame:

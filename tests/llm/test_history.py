@@ -3,7 +3,7 @@ import pytest
 from loamsift.llm.history import Forest, decide, match_batches, prefix_depth
 from loamsift.llm.neardup import classes, signatures
 
-from .test_neardup import corpus, shingles
+from .test_neardup import corpus, shingles, variants
 
 
 def alike(a, b, threshold=0.6):
@@ -75,3 +75,10 @@ def test_long_chains_are_decided_in_order(spark):
     nodes = spark.createDataFrame([(i, i, False) for i in range(n)], "cls long, ord long, lost boolean")
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "early long, late long")
     assert {r.cls: r.accepted for r in decide(nodes, edges).collect()} == {i: i % 2 == 0 for i in range(n)}
+
+
+def test_every_copy_in_the_history_is_matched(spark):
+    history = [(f"h{i:02d}", t) for i, t in enumerate(variants(70))]
+    incoming = [(1, "n", "alpha beta gamma delta epsilon zeta eta theta iota")]
+    d, m = match_batches(spark.createDataFrame(history, "id string, content string"), spark.createDataFrame(incoming, "seq long, id string, content string"), "id", "content", "seq")
+    assert {(r.new, r.old) for r in m.collect()} == brute(history, incoming)[1] and m.count() == 70

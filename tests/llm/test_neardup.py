@@ -88,3 +88,22 @@ def test_large_groups_of_copies_keep_every_link(spark):
     assert star == {("x00", f"x{i:02d}") for i in range(1, 12)} | {("y", "z"), ("x00", "y"), ("x00", "z")}
     g = {r.id: (r.class_id, r.copies, r.links) for r in near_duplicate_groups(df, "id", "content").collect()}
     assert g["x07"] == ("x00", 12, 1) and g["z"] == ("y", 2, 1)
+
+
+def variants(n):
+    """Texts of one shingle set of which no two are equal to the byte."""
+    return ["alpha beta gamma delta epsilon zeta eta theta" + "!" * i for i in range(n)]
+
+
+def test_classes_above_64_members_stand_with_all_their_pairs(spark):
+    rows = [(f"x{i:02d}", t) for i, t in enumerate(variants(70))] + [(f"e{i:02d}", "one two three four five") for i in range(66)] + [("y", "alpha beta gamma delta epsilon zeta eta theta iota")]
+    df = spark.createDataFrame(rows, "id string, content string")
+    got = [(r.id_a, r.id_b) for r in near_duplicate_pairs(df, "id", "content").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_only_texts_equal_to_the_byte_are_linked_to_their_first(spark):
+    different = [(f"x{i:02d}", t) for i, t in enumerate(variants(12))] + [("y", "alpha beta gamma delta epsilon zeta eta theta iota")]
+    equal = [(f"z{i}", different[0][1]) for i in range(6)]
+    got = {(r.id_a, r.id_b) for r in near_duplicate_pairs(spark.createDataFrame(different + equal, "id string, content string"), "id", "content", expand=5).collect()}
+    assert got == brute(different) | {("x00", f"z{i}") for i in range(6)}
