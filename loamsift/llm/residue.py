@@ -4,8 +4,8 @@ Labelled exemplars of fillers, error pages, script notices and unfilled slots ar
 pairs are counted over the whole corpus. Of each exemplar the rarest word pairs stand in the index, so many that a passage without any of
 them can't reach the containment asked for; the others needn't be looked up. A passage window (as many sentences of one
 paragraph as the exemplar has) matches if the exemplar's words and word pairs, weighted by inverse document frequency, are contained in it to a high
-degree. Fillers match the other way round: a window of enough words is covered by a filler's vocabulary. Short exemplars must
-also make up the passage. Code, inline code, quotations and block quotes are left out before: what is shown there is talked about, not left over.
+degree. Fillers match the other way round: a window of enough words is covered by a filler's vocabulary, and a shorter one of at least three words
+holds no other words and has them mostly in the filler's order. Short exemplars must also make up the passage. Code, inline code, quotations and block quotes are left out before: what is shown there is talked about, not left over.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ PAIRS_CONTAINED = 0.55
 #: Exemplars of fewer words must make up this share of their passage.
 SHORT, FILLS = 5, 0.6
 FILLER_WORDS, FILLER_COVERS = 6, 0.8
+#: Shorter passages, of so many words at least, must be covered wholly, and this share of their word pairs must be the filler's.
+FILLER_LEAST, FILLER_PAIRS = 3, 0.55
 
 # Labelled exemplars. "N" stands for a number, "X" for a name.
 SCRIPTS = """
@@ -185,7 +187,11 @@ class Exemplars:
                 w = passage_words(status.phrase)
                 for before in ([], ["N"], ["error", "N"], ["http", "error", "N"]):
                     self.rows.append(("error", before + w, 1))
-        self.fillers = [set(passage_words(line)) for line in FILLERS.strip().split("\n")]
+        runs = [passage_words(line) for line in FILLERS.strip().split("\n")]
+        self.fillers = [set(w) for w in runs]
+        # A short filler may also repeat one of its words, as in "foo foo foo".
+        self.filler_pairs = [set(zip(w, w[1:])) | ({(x, x) for x in w} if len(w) < FILLER_WORDS else set()) for w in runs]
+        self.any_filler_pair = set().union(*self.filler_pairs)
         self.vocabulary = {x for _, w, _ in self.rows for x in w}
         self.pairs = {p for _, w, _ in self.rows for p in zip(w, w[1:])}
 
@@ -211,6 +217,16 @@ class Exemplars:
         return self.keys.intersection(zip(w, w[1:])) | self.keys.intersection(w)
 
 
+def _is_filler(ex: Exemplars, window: list[str]) -> bool:
+    """Whether the words are those of a filler."""
+    n = len(window)
+    if n >= FILLER_WORDS:
+        return any(sum(x in f for x in window) >= FILLER_COVERS * n for f in ex.fillers)
+    if n < FILLER_LEAST:
+        return False
+    return any(f.issuperset(window) and sum(p in pairs for p in zip(window, window[1:])) >= FILLER_PAIRS * (n - 1) for f, pairs in zip(ex.fillers, ex.filler_pairs))
+
+
 def _windows(paragraph: list[list[str]], n: int) -> Iterator[list[str]]:
     for i in range(max(1, len(paragraph) - n + 1)):
         yield [w for s in paragraph[i : i + n] for w in s]
@@ -227,7 +243,7 @@ def match(ex: Exemplars, text: str | None) -> str | None:
         return None
     w = passage_words(text)
     slot = _has_slot(text)
-    filler = sum(map(ex.filler_words.__contains__, w)) >= FILLER_COVERS * FILLER_WORDS
+    filler = sum(map(ex.filler_words.__contains__, w)) >= FILLER_COVERS * FILLER_WORDS or not ex.any_filler_pair.isdisjoint(zip(w, w[1:]))
     if not slot and not filler and not ex.seen_in(w):
         return None
     t = shown_out(text)
@@ -254,11 +270,7 @@ def match(ex: Exemplars, text: str | None) -> str | None:
                 if len(w) >= SHORT or sum(x in w for x in window) >= FILLS * len(window) and len(window) <= 4 * len(w) and (len(w) > 2 or set(window) == set(w)):
                     return label
         if filler:
-            for window in _windows(paragraph, 1):
-                if any(len(window) >= FILLER_WORDS and sum(x in f for x in window) >= FILLER_COVERS * len(window) for f in ex.fillers):
-                    return "filler"
-            whole = [x for s in paragraph for x in s]
-            if any(len(whole) >= FILLER_WORDS and sum(x in f for x in whole) >= FILLER_COVERS * len(whole) for f in ex.fillers):
+            if any(_is_filler(ex, s) for s in paragraph) or _is_filler(ex, [x for s in paragraph for x in s]):
                 return "filler"
     return None
 

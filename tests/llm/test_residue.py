@@ -57,3 +57,20 @@ def test_the_index_keeps_every_exemplar_that_can_match():
     ex.index(Counter(), 1000)
     for i, (_, w, _) in enumerate(ex.rows):
         assert any(i in ex.where[f] for f in ex.seen_in(w))
+
+
+def labels(*texts):
+    from collections import Counter
+
+    from loamsift.llm.residue import match
+
+    ex = Exemplars()
+    ex.index(Counter(), 1000)
+    return [match(ex, t) for t in texts]
+
+
+def test_short_filler_counts():
+    own = ["blah blah blah", "bla bla bla", "test test test", "xxx xxx xxx", "foo bar baz qux", "asdf qwer asdf jkl"]
+    more = ["Lorem ipsum dolor sit amet.", "Consectetur adipiscing elit.", "# Guide\n\nLorem ipsum dolor.\n\nThe next part is written.", "lorem ipsum lorem ipsum", "asdf asdf asdf"]
+    assert labels(*own, *more) == ["filler"] * 11
+    assert labels("Non, non, non.", "In id est.", "Lorem ipsum", "Run the test.", "Test the test.", "`foo bar baz`", "Set foo to bar.", "The text lorem ipsum dolor is sample text.") == [None] * 8
