@@ -3,7 +3,7 @@
 Labelled exemplars of fillers, error pages, script notices and unfilled slots are kept in an inverted index. Document frequencies of their words and word
 pairs are counted over the whole corpus. Of each exemplar the rarest word pairs stand in the index, so many that a passage without any of
 them can't reach the containment asked for; the others needn't be looked up. A passage window (as many sentences of one
-paragraph as the exemplar has) matches if the exemplar's words and word pairs, weighted by inverse document frequency, are contained in it to a high
+paragraph, or of one of its lines, as the exemplar has) matches if the exemplar's words and word pairs, weighted by inverse document frequency, are contained in it to a high
 degree. Fillers match the other way round: a window of enough words is covered by a filler's vocabulary, and a shorter one of at least three words
 holds no other words and has them mostly in the filler's order. Short exemplars must also make up the passage. Code, inline code, quotations and block quotes are left out before: what is shown there is talked about, not left over.
 """
@@ -154,6 +154,9 @@ _HTML_CODE = re.compile(r"<(pre|code|script|style)\b[^>]*>.*?</\1>", re.S | re.I
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
 _QUOTES = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«\s[^»\n]{1,300}\s»|«[^»\n]* [^»\n]*»")
 _BLOCK_QUOTE = re.compile(r"^ {0,3}>.*$", re.M)
+#: Lines that are a block of their own, and such as begin one.
+_ALONE = re.compile(r"\s*(?:#{1,6}(?:\s|$)|\||(?:[-*_]\s*){3,}$|=+\s*$|-+\s*$)")
+_ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,9}[.)])\s")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -168,6 +171,34 @@ def shown_out(text: str) -> str:
     return _QUOTES.sub(" ", t)
 
 
+def paragraphs(text: str) -> Iterator[list[str]]:
+    """The lines of each paragraph. Blank lines and the Markdown blocks end one: headings, rules, list items and table rows."""
+    lines: list[str] = []
+    for line in text.split("\n"):
+        alone = _ALONE.match(line)
+        if lines and (alone or not line.strip() or _ITEM.match(line)):
+            yield lines
+            lines = []
+        if alone:
+            yield [line]
+        elif line.strip():
+            lines.append(line)
+    if lines:
+        yield lines
+
+
+def passages(lines: list[str]) -> Iterator[list[list[str]]]:
+    """The sentences, as words, of a paragraph whose lines are joined, then those of each of its lines.
+
+    What is shown over a line end is left out once the lines are joined.
+    """
+    if len(lines) > 1:
+        joined = " ".join(line.strip() for line in lines)
+        yield [w for w in map(passage_words, _SENTENCE.split(_QUOTES.sub(" ", _INLINE.sub(" ", joined)))) if w]
+    for line in lines:
+        yield [w for w in map(passage_words, _SENTENCE.split(line)) if w]
+
+
 def passage_words(s: str) -> list[str]:
     """Lower-cased words; a number counts as ``N``."""
     return ["N" if w.isdigit() else w for w in WORD.findall(s.lower())]
@@ -249,10 +280,7 @@ def match(ex: Exemplars, text: str | None) -> str | None:
     t = shown_out(text)
     if slot and _has_slot(t):
         return "slot"
-    for block in t.split("\n"):
-        paragraph = [w for w in map(passage_words, _SENTENCE.split(block)) if w]
-        if not paragraph:
-            continue
+    for paragraph in (p for lines in paragraphs(t) for p in passages(lines) if p):
         here = {x for s in paragraph for x in s}
         seen = {i for f in ex.seen_in([x for s in paragraph for x in s]) for i in ex.where[f]}
         for i in seen:

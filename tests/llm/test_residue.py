@@ -74,3 +74,14 @@ def test_short_filler_counts():
     more = ["Lorem ipsum dolor sit amet.", "Consectetur adipiscing elit.", "# Guide\n\nLorem ipsum dolor.\n\nThe next part is written.", "lorem ipsum lorem ipsum", "asdf asdf asdf"]
     assert labels(*own, *more) == ["filler"] * 11
     assert labels("Non, non, non.", "In id est.", "Lorem ipsum", "Run the test.", "Test the test.", "`foo bar baz`", "Set foo to bar.", "The text lorem ipsum dolor is sample text.") == [None] * 8
+
+
+def test_windows_cross_the_line_ends_of_a_paragraph():
+    wrapped = [
+        "The page you asked for could not be found.\nIt may have moved or been removed.",
+        "Intro.\n\nThe page you asked\nfor could not be\r\nfound. It may have\nmoved or been\nremoved.\n\nEnd.",
+        "- one\n- Please enable\n  JavaScript to\n  view this page.",
+        "Status\nSomething went wrong on our side. Try again in a few minutes.\nBack",
+    ]
+    assert labels(*wrapped) == ["error", "error", "script", "error"]
+    assert labels("# Please enable\nJavaScript to\n\nview this page.", "Please enable\n\n- JavaScript to\n- view this page.", "Users see \"Please enable\nJavaScript to view\nthis page.\" and leave.") == [None] * 3
