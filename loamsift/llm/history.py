@@ -103,23 +103,57 @@ class Forest:
         return verified(found, cls, sets.dropDuplicates(["cls"]) if len(self.runs) > 1 else sets, threshold)
 
 
-def decide(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def _settle(edges: list[tuple[int, int]]) -> dict[int, bool]:
+    """The greedy choice among the nodes of edges (early, late), which have no cycle."""
+    waits: dict[int, int] = {}
+    after: dict[int, list[int]] = {}
+    for early, late in edges:
+        waits.setdefault(early, 0)
+        waits[late] = waits.get(late, 0) + 1
+        after.setdefault(early, []).append(late)
+    accepted: dict[int, bool] = {}
+    hit: set[int] = set()
+    ready = [x for x, k in waits.items() if k == 0]
+    while ready:
+        x = ready.pop()
+        accepted[x] = x not in hit
+        for late in after.get(x, ()):
+            if accepted[x]:
+                hit.add(late)
+            waits[late] -= 1
+            if waits[late] == 0:
+                ready.append(late)
+    return accepted
+
+
+def decide(nodes: DataFrame, edges: DataFrame, gather: int = 100_000) -> DataFrame:
     """(cls, accepted): the greedy choice in the order of ``ord``: a node is accepted if no accepted node before it is its neighbour.
 
     nodes: (cls, ord, lost), ``lost`` marks nodes that are out from the start; edges: (early, late) between nodes, early before late.
-    Each round settles all nodes whose earlier neighbours are settled, so the rounds are the longest chain of
-    undecided nodes, not their number; each round is written to the shared folder.
+    Each round settles all nodes whose earlier neighbours are settled, so at least the first of those left, and drops the edges that tell nothing more;
+    rounds go on until all is settled. They are the longest chain of undecided nodes, not their number, and each is written
+    to the shared folder. Up to ``gather`` edges that are left are settled at once, so that a long chain doesn't cost a round for each of its nodes.
     """
+    settled = F.col("accepted").isNotNull()
     state = written(nodes.select("cls", F.when(F.col("lost"), F.lit(0)).alias("accepted")), "state")
     live = edges
-    for _ in range(most_rounds):
+    while True:
         s = state.select(F.col("cls").alias("early"), F.col("accepted").alias("early_accepted"))
         seen = live.join(s, "early").groupBy(F.col("late").alias("cls")).agg(F.max(F.coalesce("early_accepted", F.lit(0))).alias("hit"), F.max(F.when(F.col("early_accepted").isNull(), 1).otherwise(0)).alias("open"))
-        verdict = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("hit") == 1, 0).when(F.coalesce("open", F.lit(0)) == 0, 1)
+        verdict = F.when(settled, F.col("accepted")).when(F.col("hit") == 1, 0).when(F.coalesce("open", F.lit(0)) == 0, 1)
         state = written(state.join(seen, "cls", "left").select("cls", verdict.cast("int").alias("accepted")), "state")
-        if state.where(F.col("accepted").isNull()).isEmpty():
-            return state.select("cls", (F.col("accepted") == 1).alias("accepted"))
-    raise RuntimeError("the order holds a longer chain of undecided records than the rounds allowed")
+        if state.where(~settled).isEmpty():
+            break
+        # Edges to a settled node or from one that is out tell nothing more; an accepted node tells its late ones in the next round.
+        undecided, out = state.where(~settled).select("cls"), state.where("accepted = 0").select("cls")
+        live = written(live.join(undecided.toDF("late"), "late", "left_semi").join(out.toDF("early"), "early", "left_anti").select("early", "late"), "live")
+        few = live.limit(gather + 1).collect() if gather else []
+        if gather and len(few) <= gather:
+            last = state.sparkSession.createDataFrame([(k, int(v)) for k, v in _settle([(r.early, r.late) for r in few]).items()], "cls long, last int")
+            # A node left without an edge has no accepted neighbour before it.
+            state = state.join(last, "cls", "left").select("cls", F.coalesce("accepted", "last", F.lit(1)).alias("accepted"))
+            break
+    return state.select("cls", (F.col("accepted") == 1).alias("accepted"))
 
 
 def match_batches(history: DataFrame, incoming: DataFrame, key: str, text: str, order: str, threshold: float = 0.6, width: int = 3) -> tuple[DataFrame, DataFrame]:

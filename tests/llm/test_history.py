@@ -82,3 +82,20 @@ def test_every_copy_in_the_history_is_matched(spark):
     incoming = [(1, "n", "alpha beta gamma delta epsilon zeta eta theta iota")]
     d, m = match_batches(spark.createDataFrame(history, "id string, content string"), spark.createDataFrame(incoming, "seq long, id string, content string"), "id", "content", "seq")
     assert {(r.new, r.old) for r in m.collect()} == brute(history, incoming)[1] and m.count() == 70
+
+
+@pytest.mark.parametrize("gather", [0, 3, 100_000])
+def test_rounds_and_what_is_settled_at_once_agree(spark, gather):
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (1, 4), (6, 7), (7, 8), (2, 8)]
+    nodes = spark.createDataFrame([(i, i, i == 6) for i in range(10)], "cls long, ord long, lost boolean")
+    accepted = {}
+    for i in range(10):
+        accepted[i] = i != 6 and not any(accepted[a] for a, b in edges if b == i)
+    assert {r.cls: r.accepted for r in decide(nodes, spark.createDataFrame(edges, "early long, late long"), gather=gather).collect()} == accepted
+
+
+def test_chains_longer_than_a_hundred_are_decided(spark):
+    n = 300
+    nodes = spark.createDataFrame([(i, i, False) for i in range(n)], "cls long, ord long, lost boolean")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "early long, late long")
+    assert {r.cls: r.accepted for r in decide(nodes, edges).collect()} == {i: i % 2 == 0 for i in range(n)}
