@@ -1,12 +1,10 @@
-"""Deduplicating new batches against all history, by a prefix-tree hash forest.
-
-The forest keeps ``trees`` permutations of each accepted shingle set: a label is the row of
-``DEPTH`` MinHash values of one tree, 16 bits each. A run is the table of all labels of a batch, sorted by
-tree and label and written once, so the texts behind it are never read again. A new batch is located by
-range search: all labels that share the first ``d`` values with an entry's label lie next to each other.
-``prefix_depth`` widens the prefix, starting from the whole label, until the expected recall for the
-threshold reaches the target; what is found is verified on the full shingle sets. Accepting a batch adds a run; ``merge_runs``
-makes one run of several.
+"""Deduplicating new batches against all history, by banded MinHash.
+
+``Forest`` keeps ``trees`` labels of each accepted shingle set: a label is a row of ``DEPTH`` MinHash values, 16 bits each.
+A run is the table of all labels of a batch, sorted by tree and label. A new batch is located by an equi-join on the tree and the first ``d`` values of the label,
+so each tree is a band of ``d`` rows. ``prefix_depth`` chooses ``d`` from the threshold and the recall asked for, before any data is seen; the other values and
+the sort order are not used. What is found is verified on the full shingle sets. Accepting a batch adds a run; ``merge_runs`` makes one run of several.
+``match_batches`` builds its forest anew at each call.
 """
 
 from __future__ import annotations
