@@ -24,6 +24,8 @@ from .common import words
 
 #: With fewer words outside code an answer is a bare value, which needs no end mark.
 LEAST_PROSE = 5
+#: A refusal may hold this share of the golden answer's own words.
+GOLDEN_TOLD = 0.1
 EMPTY, TRUNCATED, REFUSAL, COPY, LANGUAGE = "empty", "truncated", "refusal", "question_copy", "wrong_language"
 
 # Words that stand in for an answer where there is none.
@@ -204,14 +206,22 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
     return covered >= 0.8 * len(core) and strange <= 0.1 * len(core) or (sum(w in known for w in core) >= 0.8 * len(core) and strange == 0 and tiling(question, core, 2) >= 0.6 * len(question))
 
 
-def is_refusal(text: str) -> bool:
-    """Whether every sentence of the text declines or adds nothing to one that does."""
+def is_refusal(text: str, golden: str | None = None, question: str | None = None) -> bool:
+    """Whether every sentence of the text declines or adds nothing to one that does.
+
+    With a golden answer, what follows a refusal adds nothing if it holds hardly any of the golden answer's words that the question doesn't hold.
+    """
     t = re.sub(r"`[^`\n]*`", "x", text).replace("’", "'").lower()
     parts = sentences(t)
-    if not parts or len(words(t)) > 60:
+    if not parts:
         return False
     hits = [bool(_REFUSAL.search(p.strip("*_#> \"'"))) for p in parts]
-    return hits[0] and all(h or len(words(p)) <= 12 and re.search(r"\b(?:please|sorry|maintainer|contact|bitte|leider|désolée?|veuillez|lo siento|por favor)\b", p) is not None for h, p in zip(hits, parts)) or (len(parts) == 2 and len(words(parts[0])) <= 4 and hits[1])
+    if hits[0] and all(h or len(words(p)) <= 12 and re.search(r"\b(?:please|sorry|maintainer|contact|bitte|leider|désolée?|veuillez|lo siento|por favor)\b", p) is not None for h, p in zip(hits, parts)):
+        return True
+    if len(parts) == 2 and len(words(parts[0])) <= 4 and hits[1] and len(words(t)) <= 60:
+        return True
+    told = {w for w in words(golden or "") if len(w) > 3 and w not in _SHARE}.difference(words(question or ""))
+    return hits[0] and bool(told) and len(told.intersection(words(text))) <= GOLDEN_TOLD * len(told)
 
 
 def language_scores(text: str) -> Counter:
@@ -310,7 +320,7 @@ def defect(question: str | None, golden: str | None, answer: str | None) -> str
     q = words(question or "")
     if is_copy(q, bare):
         return COPY
-    if is_refusal(text):
+    if is_refusal(text, golden, question):
         return None if golden and _declining(golden) else REFUSAL
     parse = Parse(text)
     if in_another_language(_asked_in(question or ""), _QUOTED.sub(" ", parse.plain)):

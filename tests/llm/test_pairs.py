@@ -81,3 +81,13 @@ def test_rows(spark):
     got = sorted((r.id or 0, r.defect) for r in flag_pairs(df, "id", "question", "golden", "answer").collect())
     assert got == [(0, EMPTY), (1, EMPTY), (1, EMPTY), (3, EMPTY)]
     assert flag_pairs(df.limit(0), "id", "question", "golden", "answer").count() == 0
+
+
+def test_long_and_explained_refusals_are_seen():
+    from loamsift.llm.pairs import defect
+
+    q, g = "How often does the keeper rotate the key?", "The keeper rotates the key every forty minutes, counted from startup."
+    long = "I cannot answer this question from the sources. " + "The documentation does not mention anything about it. " * 10
+    explained = "I don't know how often that happens. The pages cover the installation on several platforms and list the ports that must be open before the first run."
+    answer = "I cannot say it shorter, sorry. The rotation happens every forty minutes, counted from startup, and nothing else triggers it."
+    assert [defect(q, g, a) for a in (long, explained, answer)] == ["refusal", "refusal", None]
