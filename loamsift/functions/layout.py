@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Over all cores where the scan gives fewer partitions, as of one small file; a table with enough of them is left as it is, without a shuffle."""
+    """Over all cores where ``df`` reads fewer files than there are, as one small file; a table of enough files is left as it is, without a shuffle.
+
+    Only file names are asked for; nothing of ``df`` is run.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

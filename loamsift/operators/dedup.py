@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.layout import spread
+from ..functions.tables import written
 from ..functions.vectors import cosine
+from .hamming import CHECK, near_bits, near_codes, plan
 
-BITS, BANDS = 14, 48
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder of ``spark.checkpoint.dir`` (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="scratch-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The share of the pairs at the threshold that the candidate search must find.
+RECALL = 0.99999
 
 
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,39 +22,48 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     return h.join(first, "h").select(key, "first_key", "copies")
 
 
-def sign_bands(df: DataFrame, key: str, vector: str, dims: int, bits: int = BITS, bands: int = BANDS) -> DataFrame:
-    """(key, band, code): the signs of ``bands`` groups of ``bits`` random projections of each vector."""
-    planes = np.random.default_rng(17).standard_normal((dims, bits * bands))
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("code", T.LongType())])
-    weight = 1 << np.arange(bits, dtype=np.int64)
+def usable(vector: str, dims: int) -> Column:
+    return (F.size(vector) == dims) & F.exists(vector, lambda e: e != 0) & ~F.exists(vector, lambda e: e.isNull())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                code = ((x @ planes >= 0).reshape(-1, bands, bits) * weight).sum(axis=2) + (np.arange(bands, dtype=np.int64) << bits)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands))), pa.array(code.reshape(-1))], names=schema.names)
 
-    return df.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, schema)
+def _classes(df: DataFrame, key: str, vector: str, dims: int, order: str) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors as one: (cls, v), and the members (cls, key, ord). Neither NULL nor all-zero vectors are in a class."""
+    rows = written(spread(df.where(usable(vector, dims)).select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(vector).cast("array<double>").alias("v"))).withColumn("cls", F.xxhash64("v")), "vectors")
+    return rows.groupBy("cls").agg(F.first("v").alias("v")), rows.select("cls", "key", "ord")
 
 
-def usable(vector: str, dims: int) -> Column:
-    return (F.size(vector) == dims) & F.exists(vector, lambda e: e != 0) & ~F.exists(vector, lambda e: e.isNull())
+def _close(left: DataFrame, right: DataFrame | None, dims: int, threshold: float, digits: int) -> DataFrame:
+    """(a, b, similarity) of classes (cls, v), within ``left`` or of ``left`` with ``right``."""
+    n = left.count() + (right.count() if right is not None else 0)
+    lowest = max(-1.0, threshold - 0.5 * 10.0**-digits)
+    bits, bands = plan(n, lowest, RECALL)
+    planes = np.random.default_rng(17).standard_normal((dims, CHECK + bits * bands))
+    pairs = near_codes(left, right, "cls", "v", planes, n, bits, bands, near_bits(lowest))
+    other = left if right is None else right
+    both = pairs.join(left.toDF("a", "va"), "a").join(other.toDF("b", "vb"), "b")
+    return both.withColumn("similarity", F.round(cosine("va", "vb"), digits)).where(F.col("similarity") > threshold).select("a", "b", "similarity")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, dims: int, threshold: float = 0.95, digits: int = 4) -> DataFrame:
-    """(a, b, similarity): pairs of different keys of which the rounded cosine exceeds the threshold.
+    """(a, b, similarity): pairs of different keys of ``left`` and ``right`` of which the rounded cosine exceeds the threshold.
 
-    Candidates share a band of random-projection signs: at a cosine of 0.95 one of 48 bands of 14 bits agrees with probability 0.999995. Hot bands are
-    split by the adaptive skew join. NULL, all-zero and other-length vectors are in no pair.
+    Candidates agree in a substring of their sign codes up to one bit; a pair at the threshold is missed with a probability of 1e-5. Equal vectors are searched as one. All pairs come
+    out, so the rows are as many as the pairs. NULL, all-zero and other-length vectors are in no pair.
     """
-    x, y = (spread(d.where(usable(vector, dims)).select(key, vector)) for d in (left, right))
-    p = sign_bands(x, key, vector, dims).select(F.col(key).alias("a"), "code")
-    q = sign_bands(y, key, vector, dims).select(F.col(key).alias("b"), "code")
-    pairs = p.join(q, "code").where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    both = pairs.join(x.select(F.col(key).alias("a"), F.col(vector).alias("va")), "a").join(y.select(F.col(key).alias("b"), F.col(vector).alias("vb")), "b")
-    return both.withColumn("similarity", F.round(cosine("va", "vb"), digits)).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+    x, mx = _classes(left, key, vector, dims, key)
+    y, my = (x, mx) if left is right else _classes(right, key, vector, dims, key)
+    x = written(x, "left")
+    if left is right:
+        found = written(_close(x, None, dims, threshold, digits), "pairs")
+        found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+        same = x.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    else:
+        y = written(y, "right")
+        found = _close(x, y, dims, threshold, digits).where("a <> b")
+        same = x.join(y.select("cls"), "cls").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    every = found.unionByName(same.withColumn("similarity", F.lit(1.0)).where(F.lit(threshold < 1.0)))
+    out = every.join(mx.select(F.col("cls").alias("a"), F.col("key").alias("ka")), "a").join(my.select(F.col("cls").alias("b"), F.col("key").alias("kb")), "b")
+    return out.where(F.col("ka") != F.col("kb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "similarity")
 
 
 def filter_duplicates(batch: DataFrame, store: DataFrame, key: str, vector: str, dims: int, threshold: float = 0.95) -> DataFrame:
@@ -81,19 +75,29 @@ def filter_duplicates(batch: DataFrame, store: DataFrame, key: str, vector: str,
 def greedy_duplicates(df: DataFrame, key: str, order: str, vector: str, dims: int, threshold: float = 0.95) -> DataFrame:
     """(key, kept, duplicate_of, duplicate_similarity): a row is kept unless a kept row before it is like it.
 
-    Rows are decided in the order of ``order``, which must be unique. Each round decides all rows whose earlier neighbours are decided;
-    the rounds are written to the shared folder. Rows that have no usable vector are kept.
+    Rows are decided in the order of ``order``, which must be unique. Of equal vectors only the first can be kept, so classes are decided; each round decides all classes whose earlier neighbours are decided,
+    and is written to the shared folder. Rows that have no usable vector are kept.
     """
-    rows = materialised(df.select(key, order, vector))
-    o = rows.select(key, order)
-    pairs = similar_pairs(rows, rows, key, vector, dims, threshold).join(o.toDF("a", "oa"), "a").join(o.toDF("b", "ob"), "b")
-    edges = materialised(pairs.where(F.col("ob") < F.col("oa")).select(F.col("a").alias("late"), F.col("b").alias("early"), "similarity", "ob"))
-    state = materialised(o.join(edges.select(F.col("late").alias(key)).distinct(), key, "left_anti").select(key, F.lit(True).alias("kept")).unionByName(edges.select(F.col("late").alias(key)).distinct().select(key, F.lit(None).cast("boolean").alias("kept"))))
+    rows = written(df.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(vector).alias("v")), "rows")
+    classes, members = _classes(rows, "key", "v", dims, "ord")
+    classes = written(classes, "classes")
+    heads = written(members.groupBy("cls").agg(F.min("ord").alias("ord"), F.min_by("key", "ord").alias("key")), "heads")
+    o = heads.select("cls", "ord")
+    found = _close(classes, None, dims, threshold, 4).join(o.toDF("a", "oa"), "a").join(o.toDF("b", "ob"), "b")
+    first = F.col("oa") < F.col("ob")
+    edges = written(found.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), "similarity"), "edges")
+    late = edges.select(F.col("late").alias("cls")).distinct()
+    firsts = edges.select(F.col("early").alias("cls")).distinct().join(late, "cls", "left_anti")
+    state = written(firsts.withColumn("kept", F.lit(True)).unionByName(late.withColumn("kept", F.lit(None).cast("boolean"))), "state")
     while not state.where(F.col("kept").isNull()).isEmpty():
-        s = state.select(F.col(key).alias("early"), F.col("kept").alias("early_kept"))
-        seen = edges.join(s, "early").groupBy(F.col("late").alias(key)).agg(F.max(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.max(F.col("early_kept").isNull()).alias("open"))
+        s = state.select(F.col("cls").alias("early"), F.col("kept").alias("early_kept"))
+        seen = edges.join(s, "early").groupBy(F.col("late").alias("cls")).agg(F.max(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.max(F.col("early_kept").isNull()).alias("open"))
         verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.col("open"), True)
-        state = materialised(state.join(seen, key, "left").select(key, verdict.alias("kept")))
-    kept = state.where("kept").select(F.col(key).alias("early"))
-    of = edges.join(kept, "early").groupBy(F.col("late").alias(key)).agg(F.min_by("early", F.struct(-F.col("similarity"), "ob")).alias("duplicate_of"), F.max("similarity").alias("duplicate_similarity"))
-    return state.join(of, key, "left").select(key, "kept", "duplicate_of", "duplicate_similarity")
+        state = written(state.join(seen, "cls", "left").select("cls", verdict.alias("kept")), "state")
+    # A member is a duplicate of the most similar kept class that began before it, its own class included.
+    kept = heads.join(state, "cls", "left").where(F.coalesce("kept", F.lit(True))).select("cls", "ord", F.col("key").alias("head"))
+    ways = edges.select(F.col("early").alias("cls"), F.col("late").alias("other"), "similarity").unionByName(edges.select(F.col("late").alias("cls"), F.col("early").alias("other"), "similarity"))
+    near = ways.join(kept.select(F.col("cls").alias("other"), "ord", "head"), "other").select("cls", "ord", "head", "similarity")
+    near = near.unionByName(kept.select("cls", "ord", "head", F.lit(1.0).alias("similarity")).where(F.lit(threshold < 1.0)))
+    of = members.withColumnRenamed("ord", "mine").join(near, "cls").where(F.col("ord") < F.col("mine")).groupBy("key").agg(F.min_by("head", F.struct(-F.col("similarity"), "ord")).alias("duplicate_of"), F.max("similarity").alias("duplicate_similarity"))
+    return rows.select("key").join(of, "key", "left").select(F.col("key").alias(key), F.col("duplicate_of").isNull().alias("kept"), "duplicate_of", "duplicate_similarity")

@@ -70,7 +70,7 @@ def parse_judge(raw: str | None, claims: int | None = None, default: float = 0.0
                 return min(1.0, max(0.0, float(d["score"])))
         except (ValueError, TypeError):
             pass
-    m = re.search(r"\d+(?:\.\d+)?", text)
+    m = re.search(r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)", text)
     return min(1.0, max(0.0, float(m[0]))) if m else default
 
 
@@ -92,7 +92,9 @@ def long_scores(results: DataFrame, keys: list[str]) -> DataFrame:
 def report(results: DataFrame, digits: int = 4) -> DataFrame:
     """(strategy, category, metric, mean, median, min, max, n), to four digits, category NULL over all: NULL scores don't count; a metric without scores has zeros and n = 0."""
     long = long_scores(results, ["strategy", "category"]).withColumn("category", F.coalesce("category", F.lit("unknown")))
-    stats = lambda c: F.round(F.coalesce(c, F.lit(0.0)), digits)
+    # A mean of many scores is known to some ten digits only. What lies half-way as far as these tell is rounded up, whatever the order of summation and the
+    # binary form of the number.
+    stats = lambda c: F.round(F.round(F.coalesce(c, F.lit(0.0)), 10) + 1e-11, digits)
     g = long.groupingSets([["strategy", "metric"], ["strategy", "category", "metric"]], "strategy", "category", "metric")
     return g.agg(stats(F.avg("score")).alias("mean"), stats(F.median("score")).alias("median"), stats(F.min("score")).alias("min"), stats(F.max("score")).alias("max"), F.count("score").alias("n"))
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..functions.vectors import Embedder
 from ..operators import answers as A
 from ..operators import bm25, dedup, dense, fusion, index, metrics, rerank
@@ -33,13 +34,13 @@ def ingest(new: DataFrame, store: DataFrame, dims: int, threshold: float = 0.95,
 
     A chunk whose id is stored is skipped and counts as no duplicate. Of the others one is a duplicate if a stored chunk, or one added before it, is more similar than the threshold.
     """
-    fresh = dedup.materialised(index.insert_if_absent(new, store, "chunk_id"))
+    fresh = written(index.insert_if_absent(new, store, "chunk_id"))
     if not deduplicate:
         return fresh, fresh.limit(0).select("chunk_id", F.lit(None).cast("string").alias("duplicate_of"), F.lit(None).cast("double").alias("duplicate_similarity"))
-    old = dedup.materialised(dedup.filter_duplicates(fresh, store, "chunk_id", "embedding", dims, threshold))
+    old = written(dedup.filter_duplicates(fresh, store, "chunk_id", "embedding", dims, threshold))
     rest = fresh.join(old, "chunk_id", "left_anti").withColumn("ord__", F.struct("doc_id", F.element_at(F.split("chunk_id", "::"), -1).cast("int")))
     own = dedup.greedy_duplicates(rest, "chunk_id", "ord__", "embedding", dims, threshold).where(~F.col("kept")).select("chunk_id", "duplicate_of", "duplicate_similarity")
-    dups = dedup.materialised(old.unionByName(own))
+    dups = written(old.unionByName(own))
     return fresh.join(dups, "chunk_id", "left_anti"), dups
 
 
@@ -72,12 +73,12 @@ def ask(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int
 
     (query_id, question, mode, can_answer, answer, confidence, retrieval, citation, completeness, found, gaps, candidates, summary, error)
     """
-    ranked = dedup.materialised(retrieve(chunks, queries, mode, top_k, **options))
+    ranked = written(retrieve(chunks, queries, mode, top_k, **options))
     if respond is None:
         a = A.extractive(ranked, queries, "query_id", "content").withColumn("error", F.lit(None).cast("string"))
     else:
         m = A.messages(ranked, queries, "query_id", "question", "content", "source_file", "section_heading")
-        a = dedup.materialised(A.generate(m, "messages", respond).select("query_id", "answer", "error"))
+        a = written(A.generate(m, "messages", respond).select("query_id", "answer", "error"))
     cited = A.verify(A.citations(a, "query_id", "answer"), ranked, "query_id", "content", judge)
     rep = A.citation_report(cited, "query_id").select("query_id", F.col("total"), F.col("accuracy"))
     conf = ranked.groupBy("query_id").agg(A.retrieval_confidence(A.chunk_score()).alias("retrieval"))
@@ -92,12 +93,12 @@ def ask(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int
 def evaluate(chunks: DataFrame, golden: DataFrame, embedder: Embedder, strategy: str, top_k: int = 5, respond: Callable | None = None) -> DataFrame:
     """A row per golden question with its answer and the four metrics."""
     q = golden.select(F.col("id").alias("query_id"), "question", "category", F.col("answer").alias("golden_answer"), "source_sections").dropDuplicates(["query_id"]).withColumn("vector", embedder.column("question"))
-    q = dedup.materialised(q)
-    ranked = dedup.materialised(retrieve(chunks, q, "hybrid", top_k))
+    q = written(q)
+    ranked = written(retrieve(chunks, q, "hybrid", top_k))
     if respond is None:
         a = A.extractive(ranked, q, "query_id", "content").withColumn("error", F.lit(None).cast("string"))
     else:
-        a = dedup.materialised(A.generate(A.messages(ranked, q, "query_id", "question", "content", "source_file", "section_heading"), "messages", respond).select("query_id", "answer", "error"))
+        a = written(A.generate(A.messages(ranked, q, "query_id", "question", "content", "source_file", "section_heading"), "messages", respond).select("query_id", "answer", "error"))
     in_order = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.coalesce(F.col(c), F.lit("")).alias("x")))), lambda y: y["x"]), " ")
     ctx = ranked.groupBy("query_id").agg(in_order("content").alias("context"), F.concat_ws(" ", in_order("source_file"), in_order("section_heading")).alias("meta"))
     r = q.join(a, "query_id").join(ctx, "query_id", "left")
@@ -108,8 +109,8 @@ def evaluate(chunks: DataFrame, golden: DataFrame, embedder: Embedder, strategy:
 
 def compare(docs: DataFrame, golden: DataFrame, embedder: Embedder, configs: list[ChunkingConfig], top_k: int = 5) -> dict[str, DataFrame]:
     """Evaluates each chunking strategy on an index of its own: results, report, winners, ranking, category winners."""
-    results = reduce(DataFrame.unionByName, (evaluate(dedup.materialised(index_documents(docs, c, embedder)), golden, embedder, c.strategy, top_k) for c in configs))
-    results = dedup.materialised(results)
+    results = reduce(DataFrame.unionByName, (evaluate(written(index_documents(docs, c, embedder)), golden, embedder, c.strategy, top_k) for c in configs))
+    results = written(results)
     rep = metrics.report(results)
     means = metrics.strategy_means(results)
     return {"results": results, "report": rep, "winners": metrics.winners(means), "ranking": metrics.overall(means), "category_winners": metrics.category_winners(rep)}

@@ -364,14 +364,13 @@ def metric_citation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LONG = f"""{R}, l AS (SELECT strategy, coalesce(category, 'unknown') AS category, unnest(['correctness', 'faithfulness', 'retrieval_relevance', 'citation_accuracy']) AS metric, unnest([correctness, faithfulness, retrieval_relevance, citation_accuracy]) AS score FROM r),
-g AS (SELECT strategy, category, metric, round(coalesce(avg(score), 0), 4) AS mean, round(coalesce(median(score), 0), 4) AS median, round(coalesce(min(score), 0), 4) AS min, round(coalesce(max(score), 0), 4) AS max, count(score) AS n FROM l GROUP BY GROUPING SETS ((strategy, metric), (strategy, category, metric))),
+g AS (SELECT strategy, category, metric, round(round(coalesce(avg(score), 0), 10) + 1e-11, 4) AS mean, round(round(coalesce(median(score), 0), 10) + 1e-11, 4) AS median, round(round(coalesce(min(score), 0), 10) + 1e-11, 4) AS min, round(round(coalesce(max(score), 0), 10) + 1e-11, 4) AS max, count(score) AS n FROM l GROUP BY GROUPING SETS ((strategy, metric), (strategy, category, metric))),
 m AS (SELECT strategy, metric, mean FROM g WHERE category IS NULL)"""
 
 
-@query("WITH " + LONG.replace(", 4)", ", 9)") + " SELECT * FROM g")
+@query(f"WITH {LONG} SELECT * FROM g")
 def eval_report_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """To nine digits: at four, the median of two scores may lie just between."""
-    return metrics.report(results(spark, sf_dir), 9)
+    return metrics.report(results(spark, sf_dir))
 
 
 @query(f"WITH {LONG}, b AS (SELECT *, max(mean) OVER (PARTITION BY metric) AS best FROM m) SELECT metric, max(best) AS best, string_agg(strategy, '+' ORDER BY mean DESC, strategy) AS winner FROM b WHERE abs(mean - best) <= 0.01 + 1e-9 GROUP BY 1")

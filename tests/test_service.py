@@ -20,7 +20,7 @@ def docs(spark, *rows):
 @pytest.fixture(scope="module")
 def indexed(spark):
     d = docs(spark, ("a", "guide.md", TEXT), ("b", "faq.md", "Backups run nightly at two in the morning."))
-    return api.dedup.materialised(api.index_documents(d, C, E))
+    return api.written(api.index_documents(d, C, E))
 
 
 def test_retrieval_modes(spark, indexed):
