@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions.tables import Scratch, remove, scratch_dir, written  # noqa: F401
 
 WORD = re.compile(r"[^\W_]+")
 #: Texts are turned into Python strings in slices of about so many bytes.
@@ -24,27 +22,6 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path below the shared folder of ``spark.checkpoint.dir``.
-
-    A folder of this machine is set only where the session names none, as in tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="scratch-")
-        spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: lineage ends there, and a lost executor costs nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterable[pa.RecordBatch], text: str, rows: int = 4000) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a slice holds few rows and not much text; one very long text makes its own slice."""
     for batch in batches:
@@ -86,9 +63,9 @@ class WordHash:
 
 
 def shingle_sets(texts: list[str | None], hasher: WordHash, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct word sequences of ``width`` words of each text, hashed.
+    """The distinct word sequences of ``width`` words of each text, hashed to 32 bits.
 
-    Returns the sorted hashes of all texts one after another and where each text begins (one more entry
+    In a text of n sequences two collide with a probability of n * n / 2 ** 33. Returns the sorted hashes of all texts one after another and where each text begins (one more entry
     than texts). A NULL text and one of fewer words have none.
     """
     tokens: list[str] = []
@@ -108,7 +85,7 @@ def shingle_sets(texts: list[str | None], hasher: WordHash, width: int = 3) -> t
     for k in range(width):
         s = mix64(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n] + np.uint64(k + 1))
     inside = doc[:n] == doc[width - 1 :]
-    s, d = s[inside], doc[:n][inside]
+    s, d = s[inside] >> np.uint64(32), doc[:n][inside]
     order = np.lexsort((s, d))
     s, d = s[order], d[order]
     new = np.ones(len(s), dtype=bool)
@@ -141,8 +118,3 @@ def minhashes(sets: np.ndarray, starts: np.ndarray, count: int, seed: int = 1) -
 
 def list_column(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values, type=kind))
-
-
-def distinct_key(df: DataFrame, key: str) -> DataFrame:
-    """One row per key: repeated rows hold the same content."""
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key])

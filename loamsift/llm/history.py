@@ -1,104 +1,196 @@
-"""Deduplicating new batches against all history, by banded MinHash.
+"""Deduplicating new batches against all history, by a prefix-tree hash forest that is kept in a folder.
 
-``Forest`` keeps ``trees`` labels of each accepted shingle set: a label is a row of ``DEPTH`` MinHash values, 16 bits each.
-A run is the table of all labels of a batch, sorted by tree and label. A new batch is located by an equi-join on the tree and the first ``d`` values of the label,
-so each tree is a band of ``d`` rows. ``prefix_depth`` chooses ``d`` from the threshold and the recall asked for, before any data is seen; the other values and
-the sort order are not used. What is found is verified on the full shingle sets. Accepting a batch adds a run; ``merge_runs`` makes one run of several.
-``match_batches`` builds its forest anew at each call.
+A record is the set of its word shingles. Its signature is a row of MinHash values. Each tree of the forest is a permutation of the signature's
+positions; a record's label in the tree is the first ``DEPTH`` of its values in that order, and the sorted table of all labels is the tree (a label's prefixes are the inner nodes). The first ``BASE`` positions of the trees are
+disjoint, so the trees are independent of each other at that depth.
+
+A new record is located in every tree by a range search: first with its whole label, then with ever shorter prefixes of it, until the recall target is reached. Widening stops
+for each record by itself, as the similarity that a match must have at least depends on the record's number of sequences: small sets can't be just at the threshold. What is
+found is verified on the full sets, which are looked up by their print in another sorted table. Accepting a batch adds runs to the tables; runs are merged as in a
+log-structured tree (``runs.SortedTable``). The history's texts are never read again, and nothing of the history is shuffled for a batch.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import minhashes, scratch_dir, written
-from .neardup import classes, signatures, verified
+from .common import Scratch, minhashes, scratch_dir, written
+from .neardup import classes, flat_sets, signatures, verified
+from .runs import SortedTable, filesystem
+
+TREES = 36
+#: Values of a label, and the first of them that no two trees share.
+DEPTH, BASE = 4, 3
+VALUE_BITS = 14
+RECALL = 0.9998
+#: Sets from which the ranges of the files of labels are drawn.
+SAMPLE = 2000
+
+
+def permutations(trees: int = TREES) -> np.ndarray:
+    """The first DEPTH positions of each tree's permutation of the signature of BASE * trees values."""
+    rng = np.random.default_rng(11)
+    base = np.arange(trees * BASE).reshape(trees, BASE)
+    return np.array([[*row, *rng.choice(np.setdiff1d(np.arange(trees * BASE), row), DEPTH - BASE, replace=False)] for row in base])
+
 
-DEPTH = 8
-TREES = 40
-RECALL = 0.9999
+def least_similarity(n: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest similarity of at least ``threshold`` that a set of n elements can have with any set."""
+    out = np.full(len(n), threshold)
+    for size in np.unique(n[n <= 64]).tolist():
+        fits = [k / (size + m - k) for m in range(1, int(size / threshold) + 2) for k in range(1, min(size, m) + 1) if k / (size + m - k) >= threshold - 1e-12]
+        out[n == size] = min(fits)
+    return out
 
 
-def prefix_depth(threshold: float, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair of the threshold's similarity meets in some tree with the probability ``recall``."""
-    for d in range(depth, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def recall_at(depth: np.ndarray, similarity: np.ndarray, trees: int) -> np.ndarray:
+    """The probability that a pair of the similarity shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def labels(cls: DataFrame, trees: int = TREES) -> DataFrame:
-    """(cls, n, tree, label): the labels of each shingle set."""
+def widened(n: np.ndarray, threshold: float, trees: int, recall: float) -> np.ndarray:
+    """The depth at which each record's search ends: prefixes are shortened while its recall is below the target."""
+    depth = np.full(len(n), DEPTH)
+    similarity = least_similarity(n, threshold)
+    while True:
+        short = (recall_at(depth, similarity, trees) < recall) & (depth > 1)
+        if not short.any():
+            return depth
+        depth[short] -= 1
+
+
+def labels(cls: DataFrame, trees: int = TREES, bounds: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(part, k, cls, n): the label of each shingle set (cls, n, shingles) in each tree, the tree in its first bits; ``part`` counts the bounds (k, cls) up to it."""
+    order = permutations(trees)
+    shift = VALUE_BITS * np.arange(DEPTH - 1, -1, -1, dtype=np.int64)
+    bk = np.array([b[0] for b in bounds or []], dtype=np.int64)
+    bc = np.array([b[1] for b in bounds or []], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
-                col = b.column(2)
-                starts = col.offsets.to_numpy().astype(np.int64)
-                m = minhashes(col.flatten().to_numpy().view(np.uint64), starts - starts[0], trees * DEPTH, seed=7)
-                raw = (m >> np.uint32(16)).astype(">u2").reshape(-1, DEPTH)
-                size = len(raw)
-                label = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(np.arange(0, size * DEPTH * 2 + 1, DEPTH * 2, dtype=np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(b.column(0).to_numpy(), trees)), pa.array(np.repeat(b.column(1).to_numpy(), trees)), pa.array(np.tile(np.arange(trees, dtype=np.int32), b.num_rows)), label],
-                    names=["cls", "n", "tree", "label"],
-                )
+                m = minhashes(*flat_sets(b.column(2)), trees * BASE, seed=7).astype(np.int64) & ((1 << VALUE_BITS) - 1)
+                k = (m[:, order] << shift).sum(axis=2) + (np.arange(trees, dtype=np.int64) << (VALUE_BITS * DEPTH))
+                k, cls = k.reshape(-1), np.repeat(b.column(0).to_numpy(), trees)
+                first, last = np.searchsorted(bk, k, "left"), np.searchsorted(bk, k, "right")
+                part = first.copy()
+                for hot in np.unique(k[last > first]).tolist():
+                    i = np.nonzero(k == hot)[0]
+                    part[i] = first[i] + np.searchsorted(bc[first[i[0]] : last[i[0]]], cls[i], "right")
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(k), pa.array(cls), pa.array(np.repeat(b.column(1).to_numpy(), trees))], names=["part", "k", "cls", "n"])
 
-    return cls.select("cls", "n", "shingles").mapInArrow(run, "cls long, n int, tree int, label binary")
+    return cls.select("cls", "n", "shingles").mapInArrow(run, "part int, k long, cls long, n int")
 
 
 class Forest:
-    """Sorted runs of labels and of the shingle sets behind them, in a shared folder.
+    """The accepted records, in a shared folder: ``labels`` (k: label, cls), ``sets`` (k: cls, n, shingles), ``members`` (k: cls, key) and ``keys`` (k: hash, key), the last with all keys that were ever seen."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, key: str = "string", trees: int = TREES, threshold: float = 0.6, width: int = 3) -> None:
+        self.spark, self.path = spark, (path or scratch_dir(spark)).rstrip("/")
+        fs, root = filesystem(self.path)
+        name = f"{root}/forest.json"
+        if fs.get_file_info(name).is_file:
+            with fs.open_input_stream(name) as f:
+                s = json.loads(f.read())
+            key, trees, threshold, width = s["key"], s["trees"], s["threshold"], s["width"]
+        else:
+            fs.create_dir(root)
+            with fs.open_output_stream(name) as f:
+                f.write(json.dumps({"key": key, "trees": trees, "threshold": threshold, "width": width}).encode())
+        self.key, self.trees, self.threshold, self.width = key, trees, threshold, width
+        self._tables()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Forest:
+        """The forest kept in a folder, with the settings it was made with."""
+        return cls(spark, path)
+
+    def _tables(self) -> None:
+        self.labels = SortedTable(self.spark, f"{self.path}/labels", "k long, cls long")
+        self.sets = SortedTable(self.spark, f"{self.path}/sets", "k long, n int, shingles array<int>")
+        self.members = SortedTable(self.spark, f"{self.path}/members", f"k long, key {self.key}")
+        self.keys = SortedTable(self.spark, f"{self.path}/keys", f"k long, key {self.key}")
+
+    def append(self, df: DataFrame, key: str, text: str) -> None:
+        """Accepts all records of ``df`` as they are."""
+        tables = Scratch(self.spark)
+        sigs = tables.write(signatures(df, key, text, self.width), "signatures")
+        every = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"))
+        self._add_keys(tables.write(every, "keys"))
+        self._add(sigs.select("cls", F.col(key).alias("key")), classes(sigs))
+        tables.drop_all()
+
+    def _add_keys(self, keys: DataFrame) -> None:
+        self.keys.append(self.keys.ranged(keys.select(F.xxhash64("key").alias("k"), "key"), keys.count(), "key"))
+
+    def _add(self, members: DataFrame, cls: DataFrame) -> None:
+        """Adds (cls, key) and the sets (cls, n, shingles) behind them."""
+        self.members.append(self.members.ranged(members.select(F.col("cls").alias("k"), "key"), members.count(), "key"))
+        tables = Scratch(self.spark)
+        sets = tables.write(cls.select(F.col("cls").alias("k"), "n", "shingles"), "sets")
+        rows = sets.count()
+        self.sets.append(self.sets.ranged(sets, rows))
+        tables.drop_all()
+        self._add_labels(self.sets, rows)
+
+    def _add_labels(self, sets: SortedTable, rows: int) -> None:
+        stored = sets.read(sets.runs[-1:]).select(F.col("k").alias("cls"), "n", "shingles")
+        write_labels(self.labels, stored, rows, self.trees)
+
+    def merge_runs(self, whole: bool = False) -> None:
+        """Merges the newest runs of each table, or all of them; classes and keys that stand in several runs then stand once."""
+        for table, unique, ties in ((self.labels, ["k", "cls"], ("cls",)), (self.sets, ["k"], ()), (self.members, ["k", "key"], ("key",)), (self.keys, ["k", "key"], ("key",))):
+            runs = (table.runs if len(table.runs) > 1 else []) if whole else table.stale()
+            if runs:
+                table.merge(runs, unique, *ties)
+
+    def known(self, keys: DataFrame) -> DataFrame:
+        """Those of the keys (key) that the forest has seen."""
+        h = F.xxhash64("key")
+        return self.keys.lookup(keys.select(h.alias("lo"), h.alias("hi"), F.col("key").alias("asked")), ["key"]).where("asked = key").select("key").distinct()
+
+    def probe(self, asked: DataFrame, cls: DataFrame, recall: float = RECALL) -> DataFrame:
+        """(a, b, similarity): classes ``a`` of the batch, with labels ``asked`` (k, cls, n) and sets ``cls``, and ``b`` of the forest that reach the threshold; equal classes included."""
+        found = located(self.labels, asked, self.threshold, self.trees, recall).join(cls.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+        both = self.sets.lookup(found.select(F.col("b").alias("lo"), F.col("b").alias("hi"), "a", "b", "na", "sa"), ["n", "shingles"])
+        t = self.threshold
+        fit = (F.col("na") >= F.col("n") * t) & (F.col("n") >= F.col("na") * t)
+        k = F.size(F.array_intersect("sa", "shingles"))
+        alike = both.where(fit).withColumn("similarity", k / (F.col("n") + F.col("na") - k)).where(F.col("similarity") >= F.lit(t))
+        return alike.select("a", "b", "similarity").distinct()
+
+
+def write_labels(table: SortedTable, cls: DataFrame, rows: int, trees: int) -> None:
+    """Adds the labels of the sets (cls, n, shingles) as a run, in ranges drawn from a sample of them; equal labels of a hot group are cut by class."""
+    parts = table.parts(rows * trees)
+    bounds: list[tuple[int, int]] = []
+    if parts > 1:
+        few = labels(cls.sample(min(1.0, SAMPLE / max(1, rows)), seed=3).limit(4 * SAMPLE), trees).select("k", "cls").collect()
+        drawn = sorted((r[0], r[1]) for r in few)
+        bounds = sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
+    out = labels(cls, trees, bounds)
+    ordered = out.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("k", "cls")
+    table.append(ordered, in_place=True)
+
+
+def located(table: SortedTable, asked: DataFrame, threshold: float, trees: int, recall: float) -> DataFrame:
+    """(a, b), distinct: the classes whose labels share a prefix with a label of ``asked`` (k, cls, n), each prefix widened as far as its record needs."""
 
-    Each run is two Parquet tables: ``labels-N`` (tree, label, cls, n), sorted, and ``sets-N`` (cls, n, shingles). A class
-    may stand in several runs; that changes no result.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, n = b.column(0).to_numpy(), b.column(2).to_numpy()
+            free = (np.int64(1) << (VALUE_BITS * (DEPTH - widened(n, threshold, trees, recall))).astype(np.int64)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(k & ~free), pa.array(k | free), b.column(1)], names=["lo", "hi", "a"])
 
-    def __init__(self, spark: SparkSession, path: str | None = None, trees: int = TREES) -> None:
-        self.spark, self.path, self.trees, self.runs = spark, path or scratch_dir(spark), trees, []
-
-    def append(self, cls: DataFrame) -> None:
-        """Adds the classes (cls, n, shingles) as a new run."""
-        k = len(self.runs)
-        sets = f"{self.path}/sets-{k}"
-        cls.select("cls", "n", "shingles").write.parquet(sets)
-        lab = labels(self.spark.read.parquet(sets), self.trees).select("tree", "label", "cls", "n")
-        lab.sortWithinPartitions("tree", "label").write.parquet(f"{self.path}/labels-{k}")
-        self.runs.append(k)
-
-    def _all(self, what: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/{what}-{k}") for k in self.runs))
-
-    def merge_runs(self) -> None:
-        """Makes one run, in which every class stands once, of all runs. The old ones stay for readers that hold them."""
-        if len(self.runs) > 1:
-            sets = self._all("sets").groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-            self.runs, old = [], self.runs
-            k = max(old) + 1
-            sets.write.parquet(f"{self.path}/sets-{k}")
-            self._all_labels(old).dropDuplicates(["tree", "cls"]).repartitionByRange("tree", "label").sortWithinPartitions("tree", "label").write.parquet(f"{self.path}/labels-{k}")
-            self.runs = [k]
-
-    def _all_labels(self, runs: list[int]) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/labels-{k}") for k in runs))
-
-    def probe(self, cls: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
-        """(a, b, similarity): classes ``a`` of the batch and ``b`` of the forest that reach the threshold; equal classes included."""
-        d = prefix_depth(threshold, self.trees, recall)
-        prefix = F.substring("label", 1, 2 * d)
-        x = labels(cls, self.trees).select("tree", prefix.alias("prefix"), F.col("cls").alias("a"), F.col("n").alias("na"))
-        y = self._all("labels").select("tree", prefix.alias("prefix"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-        fit = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-        found = x.join(y, ["tree", "prefix"]).where(fit).select("a", "b").distinct()
-        sets = self._all("sets")
-        return verified(found, cls, sets.dropDuplicates(["cls"]) if len(self.runs) > 1 else sets, threshold)
+    ranges = asked.select("k", "cls", "n").mapInArrow(run, "lo long, hi long, a long")
+    return table.lookup(ranges, ["cls"]).select("a", F.col("cls").alias("b")).distinct()
 
 
 def _settle(edges: list[tuple[int, int]]) -> dict[int, bool]:
@@ -154,50 +246,60 @@ def decide(nodes: DataFrame, edges: DataFrame, gather: int = 100_000) -> DataFra
     return state.select("cls", (F.col("accepted") == 1).alias("accepted"))
 
 
-def match_batches(history: DataFrame, incoming: DataFrame, key: str, text: str, order: str, threshold: float = 0.6, width: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Decides the rows of ``incoming`` in the order of ``order`` against ``history`` and the rows accepted before.
+def match_batch(forest: Forest, batch: DataFrame, key: str, text: str, order: str, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Decides the rows of a new batch, in the order of ``order``, against everything the forest has accepted and the rows accepted before, and adds what is accepted to the forest.
 
     Returns the decisions (order, key, status: accepted, duplicate or skipped) and the matches (new, old, similarity, order) of
-    each duplicate with every accepted record that reaches the threshold. A row whose key is in the history or
-    came before is skipped. Rows with NULL text or too few words resemble nothing and are accepted. Records of the history with one shingle set
+    each duplicate with every accepted record that reaches the threshold. A row whose key was seen before, in this batch or an earlier one, is
+    skipped. Rows with NULL text or too few words resemble nothing and are accepted. Accepted records with one shingle set
     all stand in the matches, however many they are: a matching row costs a row for each. Rows with a NULL key or order are skipped; empty
-    tables give empty results; other columns are ignored.
+    batches give empty results and leave the forest as it is; other columns are ignored.
     """
-    spark = incoming.sparkSession
-    known = history.select(key).where(F.col(key).isNotNull()).distinct()
-    first = Window.partitionBy(key).orderBy(order)
-    rows = incoming.select(key, order, text).withColumn("nth__", F.row_number().over(first)).join(known.withColumn("old__", F.lit(True)), key, "left")
-    fresh = F.col("old__").isNull() & (F.col("nth__") == 1) & F.col(key).isNotNull() & F.col(order).isNotNull()
-    rows = written(rows.withColumn("fresh__", fresh).drop("old__", "nth__"), "rows")
-    new = rows.where("fresh__")
-
-    old_sigs = written(signatures(history, key, text, width).dropDuplicates([key]), "old")
-    old_cls = classes(old_sigs, key)
-    forest = Forest(spark)
-    forest.append(old_cls)
-    new_sigs = written(signatures(new, key, text, width).join(new.select(key, order), key), "new")
-    first_of = new_sigs.groupBy("cls").agg(F.min(order).alias("ord"), F.min_by(key, order).alias("rep"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    new_cls = written(first_of, "newcls")
-
-    to_old = written(forest.probe(new_cls, threshold), "to_old")
-    batch = Forest(spark)
-    batch.append(new_cls)
-    among = batch.probe(new_cls, threshold).where(F.col("a") < F.col("b"))
-    o = new_cls.select("cls", "ord")
-    among = among.join(o.toDF("a", "oa"), "a").join(o.toDF("b", "ob"), "b")
+    spark = forest.spark
+    tables = Scratch(spark)
+    rows = batch.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text"))
+    usable = rows.where(F.col("key").isNotNull() & F.col("ord").isNotNull())
+    first = usable.groupBy("key").agg(F.min("ord").alias("ord"))
+    first = tables.write(first.join(forest.known(first), "key", "left_anti"), "first")
+    new = rows.join(first, ["key", "ord"]).dropDuplicates(["key"])
+    sigs = tables.write(signatures(new.withColumnRenamed("ord", "ord__"), "key", "text", forest.width), "signatures")
+    placed = tables.write(sigs.select("cls", "key").join(first, "key"), "placed")
+    heads = placed.groupBy("cls").agg(F.min("ord").alias("ord"), F.min_by("key", "ord").alias("rep"))
+    cls = tables.write(classes(sigs).join(heads, "cls"), "classes")
+    size = cls.count()
+    own = SortedTable(spark, f"{tables.path}/own", "k long, cls long, n int")
+    write_labels(own, cls, size, forest.trees)
+    asked = own.read()
+
+    to_old = tables.write(forest.probe(asked, cls, recall), "to_old")
+    within = located(own, asked, forest.threshold, forest.trees, recall).where("a < b")
+    o = cls.select("cls", "ord")
+    among = verified(within, cls, cls, forest.threshold).join(o.toDF("a", "oa"), "a").join(o.toDF("b", "ob"), "b")
     early = F.col("oa") < F.col("ob")
-    among = written(among.select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("late"), "similarity"), "among")
+    among = tables.write(among.select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("late"), "similarity"), "among")
     lost = to_old.select(F.col("a").alias("cls")).distinct().withColumn("lost", F.lit(True))
-    nodes = new_cls.select("cls", "ord").join(lost, "cls", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
-    accepted = decide(nodes, among.select("early", "late")).where("accepted").select("cls").join(new_cls.select("cls", "rep", "ord"), "cls")
-
-    each = new_sigs.select(F.col("cls").alias("a"), F.col(key).alias("new"), F.col(order).alias(order))
-    with_old = to_old.join(old_sigs.select(F.col("cls").alias("b"), F.col(key).alias("old")), "b").join(each, "a").select("new", "old", "similarity", order)
-    with_new = among.join(accepted.select(F.col("cls").alias("early"), F.col("rep").alias("old")), "early").join(each.withColumnRenamed("a", "late"), "late").select("new", "old", "similarity", order)
-    same = accepted.select(F.col("cls").alias("a"), F.col("rep").alias("old")).join(each, "a").where(F.col("new") != F.col("old")).select("new", "old", F.lit(1.0).alias("similarity"), order)
-    matches = with_old.unionByName(with_new).unionByName(same)
-    good = new_sigs.select("cls", key).join(accepted.select("cls", "rep"), "cls").where(F.col(key) == F.col("rep")).select(key, F.lit(True).alias("first__"))
-    status = F.when(~F.col("fresh__"), "skipped").when(F.col("first__").isNotNull() | F.col("short__").isNotNull(), "accepted").otherwise("duplicate")
-    short = new.select(key).join(new_sigs.select(key), key, "left_anti").withColumn("short__", F.lit(True))
-    decisions = rows.select(key, order, "fresh__").join(good, key, "left").join(short, key, "left").select(order, key, status.alias("status"))
-    return decisions, matches
+    nodes = o.join(lost, "cls", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    accepted = tables.write(decide(nodes, among.select("early", "late")).where("accepted").select("cls").join(cls.select("cls", "rep"), "cls"), "accepted")
+
+    with_old = forest.members.lookup(to_old.select(F.col("b").alias("lo"), F.col("b").alias("hi"), "a", "similarity"), ["key"]).select("a", F.col("key").alias("old"), "similarity").distinct()
+    with_new = among.join(accepted.select(F.col("cls").alias("early"), F.col("rep").alias("old")), "early").select(F.col("late").alias("a"), "old", "similarity")
+    same = accepted.select(F.col("cls").alias("a"), F.col("rep").alias("old"), F.lit(1.0).alias("similarity"))
+    each = placed.select(F.col("cls").alias("a"), F.col("key").alias("new"), F.col("ord").alias(order))
+    out = f"{scratch_dir(spark)}"
+    matches = with_old.unionByName(with_new).unionByName(same).join(each, "a").where("new <> old").select("new", "old", "similarity", order)
+    matches.write.parquet(f"{out}/matches")
+    kept = accepted.select(F.col("rep").alias("key"), F.lit("accepted").alias("status"))
+    status = first.join(placed.select("key", "cls"), "key", "left").join(kept, "key", "left").select("key", "ord", F.when(F.col("cls").isNull(), "accepted").otherwise(F.coalesce("status", F.lit("duplicate"))).alias("status"))
+    # Of rows with one key and order, as of one row that comes twice, one is decided.
+    nth = F.row_number().over(Window.partitionBy("key", "ord").orderBy("key"))
+    decided = usable.select("key", "ord").withColumn("nth", nth).join(status.withColumn("nth", F.lit(1)), ["key", "ord", "nth"], "left").select("key", "ord", F.coalesce("status", F.lit("skipped")).alias("status"))
+    void = rows.where(F.col("key").isNull() | F.col("ord").isNull()).select("key", "ord", F.lit("skipped").alias("status"))
+    decided.unionByName(void).select(F.col("ord").alias(order), F.col("key").alias(key), "status").write.parquet(f"{out}/decisions")
+
+    if not first.isEmpty():
+        forest._add_keys(first.select("key"))
+    if not accepted.isEmpty():
+        forest._add(accepted.select("cls", F.col("rep").alias("key")), cls.join(accepted.select("cls"), "cls"))
+    forest.merge_runs()
+    tables.drop_all()
+    return spark.read.parquet(f"{out}/decisions"), spark.read.parquet(f"{out}/matches")

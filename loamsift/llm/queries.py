@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,16 +54,32 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, sf_dir, "chunks"), "chunk_id", "content")
 
 
+def _forest(spark: SparkSession, sf_dir: str) -> history.Forest:
+    """The accepted chunks as a forest: the only time that their texts are read."""
+    forest = history.Forest(spark)
+    forest.append(table(spark, sf_dir, "chunks"), "chunk_id", "content")
+    return forest
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming chunks with the accepted chunks that they repeat."""
-    _, m = history.match_batches(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "incoming_chunks"), "chunk_id", "content", "seq")
+    """Incoming chunks with the accepted chunks that they repeat; all that comes in is one batch."""
+    _, m = history.match_batch(_forest(spark, sf_dir), table(spark, sf_dir, "incoming_chunks"), "chunk_id", "content", "seq")
     return m.select(F.least("new", "old").alias("chunk_a"), F.greatest("new", "old").alias("chunk_b")).distinct()
 
 
 def p5_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``duplicates`` of each new upload: how many of its rows were matched to an accepted chunk."""
-    incoming = table(spark, sf_dir, "incoming_chunks")
-    d, _ = history.match_batches(table(spark, sf_dir, "chunks"), incoming, "chunk_id", "content", "seq")
+    """``duplicates`` of each new upload: how many of its rows were matched to an accepted chunk. The batches come one after another, each to the stored forest."""
+    incoming, forest = table(spark, sf_dir, "incoming_chunks"), _forest(spark, sf_dir)
+    batches = incoming.groupBy("batch_no").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).orderBy("lo").collect()
+    # Rows are decided in the order of seq: batches that overlap in it are one.
+    spans: list[list[int]] = []
+    for r in batches:
+        if spans and r.lo <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], r.hi)
+        else:
+            spans.append([r.lo, r.hi])
+    decided = [history.match_batch(forest, incoming.where(F.col("seq").between(lo, hi)), "chunk_id", "content", "seq")[0] for lo, hi in spans]
+    d = reduce(DataFrame.unionByName, decided)
     counts = d.join(incoming.select("seq", "doc_id"), "seq").groupBy("doc_id").agg(F.count_if(F.col("status") == "duplicate").alias("duplicates"), F.count_if(F.col("status") == "accepted").alias("accepted"))
     fresh = table(spark, sf_dir, "ingest_responses").where(F.col("duplicates").isNull()).select("doc_id", "batch_no")
     return fresh.join(counts, "doc_id", "left").select("doc_id", "batch_no", F.coalesce("duplicates", F.lit(0)).alias("duplicates"), F.coalesce("accepted", F.lit(0)).alias("accepted"))
@@ -144,6 +161,23 @@ def shingle_sql(t: str, table: str, where: str = "") -> str:
 UNIT = """e AS (SELECT DISTINCT vec_id AS id, embedding::DOUBLE[] AS v FROM vector_store WHERE embedding IS NOT NULL),
 u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM e WHERE list_dot_product(v, v) > 0)"""
 
+#: The greedy choice among the incoming rows; ``final`` holds the keys that are accepted.
+DECIDED = f"""WITH RECURSIVE {shingle_sql("c", "chunks")},
+firsts AS (SELECT chunk_id, min(seq) AS seq FROM incoming_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks) GROUP BY 1),
+{shingle_sql("i", "incoming_chunks", "AND seq IN (SELECT seq FROM firsts)")},
+old AS (SELECT x.chunk_id AS a, y.chunk_id AS b FROM s_i x JOIN s_c y ON x.s = y.s JOIN n_i p ON p.chunk_id = x.chunk_id JOIN n_c q ON q.chunk_id = y.chunk_id
+  GROUP BY 1, 2, p.n, q.n HAVING count(*) >= 0.6 * (p.n + q.n - count(*))),
+new AS (SELECT x.chunk_id AS a, y.chunk_id AS b FROM s_i x JOIN s_i y ON x.s = y.s AND x.chunk_id <> y.chunk_id JOIN n_i p ON p.chunk_id = x.chunk_id JOIN n_i q ON q.chunk_id = y.chunk_id
+  JOIN firsts f ON f.chunk_id = x.chunk_id JOIN firsts g ON g.chunk_id = y.chunk_id WHERE g.seq < f.seq
+  GROUP BY 1, 2, p.n, q.n HAVING count(*) >= 0.6 * (p.n + q.n - count(*))),
+ranked AS (SELECT chunk_id, row_number() OVER (ORDER BY seq) AS r FROM firsts),
+before AS (SELECT r.r, r.chunk_id, (SELECT count(*) FROM old WHERE a = r.chunk_id) AS hits, (SELECT coalesce(list(b), []) FROM new WHERE a = r.chunk_id) AS earlier FROM ranked r),
+walk AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS accepted
+  UNION ALL
+  SELECT b.r, CASE WHEN b.hits > 0 OR len(list_intersect(walk.accepted, b.earlier)) > 0 THEN walk.accepted ELSE list_append(walk.accepted, b.chunk_id) END
+  FROM walk JOIN before b ON b.r = walk.r + 1),
+final AS (SELECT unnest(accepted) AS chunk_id FROM (SELECT accepted FROM walk ORDER BY r DESC LIMIT 1))"""
+
 SQL: dict[str, str] = {
     "p1_found": """WITH t AS (SELECT DISTINCT doc_id, CASE WHEN coalesce(clean_text, '') = '' THEN raw_content ELSE clean_text END AS text FROM source_files),
 l AS (SELECT doc_id, length(text) AS n, list_max(list_transform(regexp_split_to_array(text, '[ \\t\\r\\n]'), lambda x: length(x))) AS run FROM t WHERE text IS NOT NULL)
@@ -166,23 +200,13 @@ r AS (SELECT s_c.* FROM s_c WHERE chunk_id IN (SELECT class_id FROM g)),
 hits AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(*) AS k FROM r x JOIN r y ON x.s = y.s AND x.chunk_id <> y.chunk_id GROUP BY 1, 2),
 links AS (SELECT a, count(*) AS links FROM hits JOIN n_c p ON p.chunk_id = a JOIN n_c q ON q.chunk_id = b WHERE k >= 0.6 * (p.n + q.n - k) GROUP BY 1)
 SELECT chunk_id, class_id, copies, coalesce(links, 0) AS links FROM g LEFT JOIN links ON a = class_id""",
-    "p5_found": f"""WITH RECURSIVE {shingle_sql("c", "chunks")},
-firsts AS (SELECT chunk_id, min(seq) AS seq FROM incoming_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks) GROUP BY 1),
-{shingle_sql("i", "incoming_chunks", "AND seq IN (SELECT seq FROM firsts)")},
-old AS (SELECT x.chunk_id AS a, y.chunk_id AS b FROM s_i x JOIN s_c y ON x.s = y.s JOIN n_i p ON p.chunk_id = x.chunk_id JOIN n_c q ON q.chunk_id = y.chunk_id
-  GROUP BY 1, 2, p.n, q.n HAVING count(*) >= 0.6 * (p.n + q.n - count(*))),
-new AS (SELECT x.chunk_id AS a, y.chunk_id AS b FROM s_i x JOIN s_i y ON x.s = y.s AND x.chunk_id <> y.chunk_id JOIN n_i p ON p.chunk_id = x.chunk_id JOIN n_i q ON q.chunk_id = y.chunk_id
-  JOIN firsts f ON f.chunk_id = x.chunk_id JOIN firsts g ON g.chunk_id = y.chunk_id WHERE g.seq < f.seq
-  GROUP BY 1, 2, p.n, q.n HAVING count(*) >= 0.6 * (p.n + q.n - count(*))),
-ranked AS (SELECT chunk_id, row_number() OVER (ORDER BY seq) AS r FROM firsts),
-before AS (SELECT r.r, r.chunk_id, (SELECT count(*) FROM old WHERE a = r.chunk_id) AS hits, (SELECT coalesce(list(b), []) FROM new WHERE a = r.chunk_id) AS earlier FROM ranked r),
-walk AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS accepted
-  UNION ALL
-  SELECT b.r, CASE WHEN b.hits > 0 OR len(list_intersect(walk.accepted, b.earlier)) > 0 THEN walk.accepted ELSE list_append(walk.accepted, b.chunk_id) END
-  FROM walk JOIN before b ON b.r = walk.r + 1),
-final AS (SELECT unnest(accepted) AS chunk_id FROM (SELECT accepted FROM walk ORDER BY r DESC LIMIT 1)),
+    "p5_found": f"""{DECIDED},
 m AS (SELECT a, b FROM old UNION SELECT a, b FROM new WHERE b IN (SELECT chunk_id FROM final))
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM m""",
+    "p5_duplicates": f"""{DECIDED},
+d AS (SELECT doc_id, seq, i.chunk_id IN (SELECT chunk_id FROM final) AS good FROM incoming_chunks i JOIN firsts USING (chunk_id, seq)),
+t AS (SELECT doc_id, count_if(NOT good) AS duplicates, count_if(good) AS accepted FROM d GROUP BY 1)
+SELECT r.doc_id, r.batch_no, coalesce(t.duplicates, 0) AS duplicates, coalesce(t.accepted, 0) AS accepted FROM ingest_responses r LEFT JOIN t USING (doc_id) WHERE r.duplicates IS NULL""",
     "p6_found": """SELECT DISTINCT capacity_id, doc_id FROM documents, pack_capacity WHERE strlen(text) + 1 > capacity_tokens""",
     "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 q AS (SELECT DISTINCT id, regexp_extract_all(lower(unnest([question, answer])), '[\\p{L}\\p{N}]+') AS w FROM golden_questions),

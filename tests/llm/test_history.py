@@ -1,7 +1,11 @@
+import os
+
+import numpy as np
 import pytest
 
-from loamsift.llm.history import Forest, decide, match_batches, prefix_depth
-from loamsift.llm.neardup import classes, signatures
+from loamsift.llm import runs
+from loamsift.llm.history import BASE, DEPTH, RECALL, TREES, Forest, decide, least_similarity, match_batch, permutations, recall_at, widened
+from loamsift.llm.runs import SortedTable
 
 from .test_neardup import corpus, shingles, variants
 
@@ -28,46 +32,124 @@ def brute(history, incoming):
     return status, pairs
 
 
+def forest_of(spark, history, path=None):
+    f = Forest(spark, path)
+    f.append(spark.createDataFrame(history, "id string, content string"), "id", "content")
+    return f
+
+
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, "seq long, id string, content string")
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_decisions_and_matches_are_those_of_one_by_one(spark, seed):
     rows = corpus(seed, 140)
     history = rows[:50]
     incoming = [(i, k, t) for i, (k, t) in enumerate(rows[50:])]
-    incoming += [(200, "c060", "sent again"), (201, history[0][0], "known key"), (202, "n1", None), (203, "n2", "two words"), (204, None, "no key at all here")]
-    h = spark.createDataFrame(history + history[:3], "id string, content string")
-    b = spark.createDataFrame(incoming, "seq long, id string, content string").withColumnRenamed("seq", "seq").repartition(3)
-    d, m = match_batches(h, b, "id", "content", "seq")
-    status, pairs = brute(history, incoming)
-    assert {r.seq: r.status for r in d.collect()} == status
+    incoming += [(200, "c060", "sent again"), (201, history[0][0], "known key"), (202, "n1", None), (203, "n2", "two words"), (204, None, "no key at all here"), (202, "n1", None)]
+    d, m = match_batch(forest_of(spark, history + history[:3]), batch_of(spark, incoming).repartition(3), "id", "content", "seq")
+    status, pairs = brute(history, incoming[:-1])
+    got = sorted((r.seq, r.status) for r in d.collect())
+    assert got == sorted([*status.items(), (202, "skipped")])
     assert {(r.new, r.old) for r in m.collect()} == pairs
 
 
+def test_batches_in_several_sessions_give_what_one_gives(spark, tmp_path):
+    rows = corpus(6, 160)
+    incoming = [(i, k, t) for i, (k, t) in enumerate(rows[60:])] + [(300, "c100", "sent again in a later batch")]
+    path = str(tmp_path / "forest")
+    forest_of(spark, rows[:60], path)
+    status, pairs = {}, set()
+    for part in (incoming[:40], incoming[40:41], incoming[41:]):
+        opened = Forest.open(spark.newSession(), path)
+        d, m = match_batch(opened, opened.spark.createDataFrame(part, "seq long, id string, content string"), "id", "content", "seq")
+        status |= {r.seq: r.status for r in d.collect()}
+        pairs |= {(r.new, r.old) for r in m.collect()}
+    assert (status, pairs) == brute(rows[:60], incoming)
+    f = Forest.open(spark, path)
+    assert f.sets.rows == len({frozenset(shingles(t)) for k, t in rows[:60]} | {frozenset(shingles(t)) for s, k, t in incoming if status[s] == "accepted" and shingles(t)})
+    f.merge_runs(whole=True)
+    assert len(f.labels.runs) == 1 and f.labels.rows == f.sets.rows * TREES
+
+
 def test_empty_history_and_empty_batch(spark):
-    rows = spark.createDataFrame([(1, "a", "one two three four"), (2, "b", "one two three four")], "seq long, id string, content string")
-    none = spark.createDataFrame([], "id string, content string")
-    d, m = match_batches(none, rows, "id", "content", "seq")
+    rows = [(1, "a", "one two three four"), (2, "b", "one two three four")]
+    f = Forest(spark)
+    d, m = match_batch(f, batch_of(spark, rows), "id", "content", "seq")
     assert {r.seq: r.status for r in d.collect()} == {1: "accepted", 2: "duplicate"}
     assert [(r.new, r.old) for r in m.collect()] == [("b", "a")]
-    d, m = match_batches(rows.select("id", "content"), rows.limit(0), "id", "content", "seq")
-    assert d.count() == 0 and m.count() == 0
-
-
-def test_runs_can_be_merged_and_answer_as_before(spark, tmp_path):
-    rows = corpus(9, 90)
-    cls = [classes(signatures(spark.createDataFrame(part, "id string, content string"), "id", "content"), "id") for part in (rows[:30], rows[30:60], rows[60:])]
-    f = Forest(spark, str(tmp_path / "forest"))
-    f.append(cls[0])
-    f.append(cls[1])
-    before = {(r.a, r.b) for r in f.probe(cls[2], 0.6).collect()}
-    f.merge_runs()
-    assert len(f.runs) == 1
-    assert {(r.a, r.b) for r in f.probe(cls[2], 0.6).collect()} == before and before
-
-
-def test_prefix_is_widened_until_the_recall_is_reached():
-    d = prefix_depth(0.6)
-    assert 1 - (1 - 0.6**d) ** 40 >= 0.9999 > 1 - (1 - 0.6 ** (d + 1)) ** 40
-    assert prefix_depth(0.95) > d
+    before = f.keys.rows
+    d, m = match_batch(f, batch_of(spark, []), "id", "content", "seq")
+    assert d.count() == 0 and m.count() == 0 and f.keys.rows == before
+
+
+def test_extra_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    f = forest_of(spark, [("h", "one two three four")])
+    b = batch_of(spark, [(1, "a", "one two three four")]).withColumns({c: F.lit(1) for c in ("k", "cls", "key", "ord", "n", "status")})
+    d, m = match_batch(f, b, "id", "content", "seq")
+    assert [(r.seq, r.id, r.status) for r in d.collect()] == [(1, "a", "duplicate")] and [(r.new, r.old) for r in m.collect()] == [("a", "h")]
+
+
+def test_prefixes_are_widened_until_each_record_has_its_recall():
+    n = np.array([1, 2, 5, 40, 1000])
+    d = widened(n, 0.6, TREES, RECALL)
+    s = least_similarity(n, 0.6)
+    assert s[0] == 1.0 and s[1] == pytest.approx(2 / 3) and s[-1] == 0.6
+    assert (recall_at(d, s, TREES) >= RECALL).all() and d[0] == DEPTH > d[-1] == BASE
+    longer = d < DEPTH
+    assert (recall_at(d[longer] + 1, s[longer], TREES) < RECALL).all()
+
+
+def test_trees_share_no_value_of_their_first():
+    p = permutations()
+    assert len(set(p[:, :BASE].reshape(-1).tolist())) == TREES * BASE and all(len(set(r)) == DEPTH for r in p.tolist())
+
+
+def table_of(spark, path, rows, parts):
+    t = SortedTable(spark, path, "k long, v string")
+    df = spark.createDataFrame(rows, "k long, v string").repartitionByRange(parts, "k")
+    t.append(df)
+    return t
+
+
+def test_a_range_search_opens_only_the_files_it_needs(spark, tmp_path):
+    rows = [(i // 2, f"v{i}") for i in range(2000)]
+    t = table_of(spark, str(tmp_path), rows, 10)
+    asked = spark.createDataFrame([(300, 302, "x"), (305, 305, "y"), (5000, 6000, "z")], "lo long, hi long, name string")
+    want = sorted((n, f"v{2 * k + j}") for k, n in ((300, "x"), (301, "x"), (302, "x"), (305, "y")) for j in (0, 1))
+    needed = [f for f, lo, hi in t.manifests[0]["files"] if lo <= 305 and hi >= 300]
+    assert len(needed) < 3
+    for f, _, _ in t.manifests[0]["files"]:
+        if f not in needed:
+            os.remove(tmp_path / "run-0" / f)
+    assert sorted((r.name, r.v) for r in t.lookup(asked, ["v"]).collect()) == want
+
+
+def test_runs_without_a_manifest_are_not_there_and_merged_ones_are_one(spark, tmp_path):
+    t = table_of(spark, str(tmp_path), [(i, "a") for i in range(50)], 3)
+    t.append(spark.createDataFrame([(i, "a") for i in range(40, 60)], "k long, v string").coalesce(1))
+    t.append(spark.createDataFrame([(7, "b")], "k long, v string").coalesce(1))
+    os.makedirs(tmp_path / "run-9")
+    again = SortedTable(spark, str(tmp_path), "k long, v string")
+    assert again.runs == [0, 1, 2] and again.rows == 71 and again.stale() == []
+    again.merge(again.runs, ["k", "v"])
+    assert len(again.runs) == 1 and again.rows == 61
+    again.vacuum()
+    asked = spark.createDataFrame([(7, 7)], "lo long, hi long")
+    assert sorted(r.v for r in SortedTable(spark, str(tmp_path), "k long, v string").lookup(asked, ["v"]).collect()) == ["a", "b"]
+
+
+def test_many_files_and_a_hot_label(spark, monkeypatch):
+    monkeypatch.setattr(runs, "TASK_ROWS", 500)
+    history = [(f"h{i:03d}", f"alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu word{i}") for i in range(60)] + corpus(8, 60)
+    incoming = [(1, "n", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "m", history[70][1])]
+    f = forest_of(spark, history)
+    assert len(f.labels.manifests[0]["files"]) > 1
+    d, m = match_batch(f, batch_of(spark, incoming), "id", "content", "seq")
+    assert {(r.new, r.old) for r in m.collect()} == brute(history, incoming)[1]
 
 
 def test_long_chains_are_decided_in_order(spark):
@@ -80,7 +162,7 @@ def test_long_chains_are_decided_in_order(spark):
 def test_every_copy_in_the_history_is_matched(spark):
     history = [(f"h{i:02d}", t) for i, t in enumerate(variants(70))]
     incoming = [(1, "n", "alpha beta gamma delta epsilon zeta eta theta iota")]
-    d, m = match_batches(spark.createDataFrame(history, "id string, content string"), spark.createDataFrame(incoming, "seq long, id string, content string"), "id", "content", "seq")
+    d, m = match_batch(forest_of(spark, history), batch_of(spark, incoming), "id", "content", "seq")
     assert {(r.new, r.old) for r in m.collect()} == brute(history, incoming)[1] and m.count() == 70
 
 

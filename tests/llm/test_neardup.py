@@ -43,7 +43,7 @@ def test_masks_cover_any_two_of_seven():
     for i in range(7):
         for j in range(7):
             assert any(i not in m and j not in m for m in fano_masks())
-    assert all(len(m) == 4 for m in fano_masks())
+    assert all(len(m) == 3 for m in fano_masks()) and len(fano_masks()) == 7
 
 
 def test_shingle_sets_are_those_of_the_words():
@@ -68,7 +68,7 @@ def test_nulls_repeats_short_and_long_texts_and_clashing_columns(spark):
     long = " ".join(f"v{i}" for i in range(30000))
     rows = [("a", "one two three four", 1), ("b", "One two, three FOUR", 2), ("b", "One two, three FOUR", 2), ("c", None, 3), ("d", "", 4), ("e", "one two", 5), ("f", "one two", 6), ("g", long, 7), ("h", long + " more", 8), (None, "one two three four", 9)]
     df = spark.createDataFrame(rows, "id string, content string, cls int").withColumn("n", df_one())
-    got = {(r.id_a, r.id_b) for r in near_duplicate_pairs(df.where("id IS NOT NULL"), "id", "content").collect()}
+    got = {(r.id_a, r.id_b) for r in near_duplicate_pairs(df, "id", "content").collect()}
     assert got == {("a", "b"), ("g", "h")}
     assert near_duplicate_pairs(df.limit(0), "id", "content").count() == 0
 
@@ -84,8 +84,6 @@ def test_large_groups_of_copies_keep_every_link(spark):
     df = spark.createDataFrame(rows, "id string, content string")
     whole = {(r.id_a, r.id_b) for r in near_duplicate_pairs(df, "id", "content").collect()}
     assert whole == brute(rows)
-    star = {(r.id_a, r.id_b) for r in near_duplicate_pairs(df, "id", "content", expand=5).collect()}
-    assert star == {("x00", f"x{i:02d}") for i in range(1, 12)} | {("y", "z"), ("x00", "y"), ("x00", "z")}
     g = {r.id: (r.class_id, r.copies, r.links) for r in near_duplicate_groups(df, "id", "content").collect()}
     assert g["x07"] == ("x00", 12, 1) and g["z"] == ("y", 2, 1)
 
@@ -100,10 +98,3 @@ def test_classes_above_64_members_stand_with_all_their_pairs(spark):
     df = spark.createDataFrame(rows, "id string, content string")
     got = [(r.id_a, r.id_b) for r in near_duplicate_pairs(df, "id", "content").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
-
-
-def test_only_texts_equal_to_the_byte_are_linked_to_their_first(spark):
-    different = [(f"x{i:02d}", t) for i, t in enumerate(variants(12))] + [("y", "alpha beta gamma delta epsilon zeta eta theta iota")]
-    equal = [(f"z{i}", different[0][1]) for i in range(6)]
-    got = {(r.id_a, r.id_b) for r in near_duplicate_pairs(spark.createDataFrame(different + equal, "id string, content string"), "id", "content", expand=5).collect()}
-    assert got == brute(different) | {("x00", f"z{i}") for i in range(6)}
