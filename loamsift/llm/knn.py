@@ -1,37 +1,31 @@
 """The most similar vectors of every vector, by multi-index hashing.
 
 Vectors are turned by learned rotations (iterative quantization: the rotation that brings a sample's
-coordinates closest to their signs) and reduced to the signs, ``rotations`` codes of one bit per dimension one after another. The long
-code is split into substrings of ``SUB`` bits, each with an index of its own. Two codes within a Hamming distance below the number of
-substrings agree on one substring at least (pigeonhole), so probing every index with the substring retrieves every code of
-that radius, and most beyond it. What is retrieved and lies within ``near`` bits on the code's first 256 bits is reranked with the
-floats. Buckets with more than ``BUCKET`` codes are not joined pair by pair but searched in blocks of bounded size, each of which
-yields only the nearest of each vector.
+coordinates closest to their signs) and reduced to the signs, one bit per dimension and rotation. The code is cut into substrings, each with an index of its own, of as many bits as
+the number of vectors has binary digits. Each index is probed with the substring and all its one-bit neighbours: with m substrings that retrieves every code within a
+Hamming distance of 2m - 1 (pigeonhole), and beyond it with the probability from which m follows. What is retrieved is checked on 256 further bits and reranked with the floats. ``operators.hamming`` holds the search.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import written
+from ..operators.hamming import CHECK, near_bits, near_codes, plan
+from .common import Scratch, written
 
-SUB = 16
-ROTATIONS = 12
 SAMPLE = 4096
-CHECK = 256
-SKETCH = [f"s{i}" for i in range(CHECK // 64)]
-BUCKET = 1024
 BLOCK = 1024
+#: Rows that a task holds while it looks for the first members of classes.
+HELD = 1_000_000
+#: The share of pairs at the lowest cosine that the indexes must find.
+RECALL = 0.99
 
 
-def learn_rotations(sample: np.ndarray, count: int = ROTATIONS, steps: int = 20, seed: int = 5) -> np.ndarray:
+def learn_rotations(sample: np.ndarray, count: int, steps: int = 20, seed: int = 5) -> np.ndarray:
     """``count`` orthogonal matrices, dims x (count * dims), each learned from another random start by iterative quantization."""
     d = sample.shape[1] if sample.ndim == 2 else 0
     rng = np.random.default_rng(seed)
@@ -52,29 +46,6 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     return one.dropDuplicates([key])
 
 
-def _matrix(col: pa.Array, dims: int) -> np.ndarray:
-    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def code_keys(vectors: DataFrame, rotations: np.ndarray) -> DataFrame:
-    """(id, key, s0 .. s3): for each vector one key for each substring, and the first 256 bits of its code."""
-    dims, bits = rotations.shape
-    subs = bits // SUB
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
-                signs = _matrix(b.column(1), dims) @ rotations >= 0
-                sub = np.packbits(signs[:, : subs * SUB], axis=1).view(">u2").astype(np.int64) + (np.arange(subs, dtype=np.int64) << SUB)
-                first = np.pad(signs[:, :CHECK], ((0, 0), (0, max(0, CHECK - bits))))
-                sketch = np.packbits(first, axis=1).view(">i8").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), subs)), pa.array(sub.reshape(-1)), *(pa.array(np.repeat(sketch[:, i], subs)) for i in range(CHECK // 64))], names=["id", "key", *SKETCH])
-
-    return vectors.select("id", "v").mapInArrow(run, "id long, key long, " + ", ".join(f"{c} long" for c in SKETCH))
-
-
 def cosine(x: str, y: str):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -117,41 +88,56 @@ def _block_search(query: DataFrame, data: DataFrame, dims: int, k: int, least: f
     return query.groupBy("cell").cogroup(data.groupBy("cell")).applyInPandas(search, "id long, other long, cosine double")
 
 
-def candidate_pairs(vectors: DataFrame, rotations: np.ndarray, k: int, least: float, near: int) -> DataFrame:
-    """(id, other, cosine), both ways: pairs retrieved by the indexes with a cosine of at least ``least``."""
-    dims = rotations.shape[0]
-    keys = code_keys(vectors, rotations)
-    count = keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET)
-    full = written(count, "full")
-    thin = keys.join(full, "key", "left_anti")
-    close = (F.col("x.id") < F.col("y.id")) & (sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH) <= near)
-    pairs = thin.alias("x").hint("merge").join(thin.alias("y"), F.col("x.key") == F.col("y.key")).where(close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def candidate_pairs(vectors: DataFrame, rotations: np.ndarray, rows: int, bits: int, bands: int, least: float) -> DataFrame:
+    """(id, other, cosine), both ways: pairs retrieved by the indexes with a cosine of at least ``least``. The vectors differ from each other."""
+    pairs = near_codes(vectors, None, "id", "v", rotations[:, : CHECK + bits * bands], rows, bits, bands, near_bits(least))
     v = vectors.select("id", "v")
     both = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b").withColumn("cosine", cosine("va", "vb")).where(F.col("cosine") >= least)
-    each = both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))).alias("p")).select("p.*")
-
-    rows = keys.join(full, "key").join(v, "id").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    query = rows.withColumn("o", spread).select(F.concat_ws("/", "key", "block", "o").alias("cell"), "id", "v")
-    data = rows.withColumn("o", spread).select(F.concat_ws("/", "key", "o", "block").alias("cell"), F.col("id").alias("d_id"), F.col("v").alias("d_v"))
-    dense = _block_search(query, data, dims, k, least)
-    return each.unionByName(dense).dropDuplicates(["id", "other"])
-
+    return both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))).alias("p")).select("p.*")
 
-def classes_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors as one: (rep, v), and the members (rep, id, nth) in the order of their keys; nth is NULL beyond k + 1."""
-    w = Window.partitionBy("v").orderBy("id")
-    ranked = vectors.withColumn("rep", F.first("id").over(w)).withColumn("nth", F.row_number().over(w))
-    ranked = written(ranked.select("rep", "id", F.when(F.col("nth") <= k + 1, F.col("nth")).alias("nth"), F.when(F.col("nth") == 1, F.col("v")).alias("v")), "vectors")
-    return ranked.where("v IS NOT NULL").select(F.col("id"), "v"), ranked.select("rep", "id", "nth")
 
+def classes_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Equal vectors as one: (id, v) of the first of each class, all members (rep, id), and the first k + 1 (rep, id) of each class.
 
-def _expand(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    A class is named by the hash of its vector, and its first members are found by an aggregation that starts in each partition, so a large class costs a row for each member and
+    no more.
+    """
+    hashed = vectors.withColumn("h", F.xxhash64("v"))
+    # Of each partition only the first members of a class can be among the first of all.
+    rows = hashed.select("h", "id")
+    few = rows.mapInArrow(_first_of_each(k + 1), "h long, id long").groupBy("h").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
+    heads = few.select("h", F.col("ids")[0].alias("rep"), "ids")
+    reps = hashed.join(heads.select(F.col("h"), F.col("rep").alias("id")), ["h", "id"]).select("id", "v")
+    return reps, rows.join(heads.select("h", "rep"), "h").select("rep", "id"), heads.select("rep", F.explode("ids").alias("id"))
+
+
+def _first_of_each(most: int):
+    """The ``most`` smallest ids of each h of a partition."""
+
+    def run(batches):
+        kept = np.zeros((0, 2), dtype=np.int64)
+        for b in batches:
+            x = np.concatenate([kept, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)])
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            new = np.ones(len(x), dtype=bool)
+            new[1:] = x[1:, 0] != x[:-1, 0]
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            kept = x[np.arange(len(x)) - begin < most]
+            if len(kept) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["h", "id"])
+                kept = kept[:0]
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["h", "id"])
+
+    return run
+
+
+def _expand(near: DataFrame, members: DataFrame, heads: DataFrame, k: int) -> DataFrame:
     """From the nearest classes of each class to the k nearest vectors of each vector."""
-    heads = members.where("nth IS NOT NULL")
-    other = _nearest(near.join(heads.select(F.col("rep").alias("other"), F.col("id").alias("o")), "other").select(F.col("id").alias("rep"), F.col("o").alias("other"), "cosine"), "rep", k).drop("rank")
+    classes = _nearest(near, "id", k).select("id", "other", "cosine")
+    other = _nearest(classes.join(heads.select(F.col("rep").alias("other"), F.col("id").alias("o")), "other").select(F.col("id").alias("rep"), F.col("o").alias("other"), "cosine"), "rep", k).drop("rank")
     alike = heads.select("rep", F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
-    each = members.select("rep", "id").join(other.unionByName(alike), "rep").where(F.col("id") != F.col("other")).select("id", "other", "cosine")
+    each = members.join(other.unionByName(alike), "rep").where(F.col("id") != F.col("other")).select("id", "other", "cosine")
     return _nearest(each, "id", k).select("id", "other", "cosine", "rank")
 
 
@@ -162,18 +148,25 @@ def sample_of(vectors: DataFrame, dims: int, size: int = SAMPLE) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.9, dims: int = 64, rotations: int = ROTATIONS, near: int = 58) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.9, dims: int = 64, recall: float = RECALL) -> DataFrame:
     """(id, other, cosine, rank): of each vector the k nearest others with a cosine of at least ``least``; ties go to the smaller key.
 
-    At a cosine of 0.9 a bit differs with probability 0.144, so one of 48 substrings of 16 bits agrees with probability 0.98, at 0.94 with
-    0.9996; of 256 bits 37 differ at 0.9, with a deviation of 6. Keys are whole numbers. Vectors that are NULL, all zero, not finite or of another length than ``dims`` count for nothing, rows that repeat a key once, an empty table
+    A pair at ``least`` is retrieved with the probability ``recall``, one above it with a higher one; the check on 256 bits lets it pass but for five standard deviations (3e-7). Keys are whole
+    numbers. Vectors that are NULL, all zero, not finite or of another length than ``dims`` count for nothing, rows that repeat a key once, an empty table
     gives an empty result, extra columns are ignored. Equal vectors are searched as one, so a large group of them costs one row.
     """
-    vectors = written(unit_vectors(df.withColumnRenamed(key, "id"), "id", vector, dims), "unit")
-    learned = learn_rotations(sample_of(vectors, dims), rotations)
-    reps, members = classes_of(vectors, k)
-    near_reps = candidate_pairs(reps, learned, k, least, near)
-    return _expand(near_reps, members, k)
+    tables = Scratch(df.sparkSession)
+    vectors = tables.write(unit_vectors(df.withColumnRenamed(key, "id"), "id", vector, dims), "unit")
+    reps, members, heads = classes_of(vectors, k)
+    reps, heads = tables.write(reps, "reps"), tables.write(heads, "heads")
+    members = tables.write(members, "members")
+    rows = reps.count()
+    bits, bands = plan(rows, least, recall)
+    rotations = learn_rotations(sample_of(reps, dims), -(-(CHECK + bits * bands) // dims))
+    near = candidate_pairs(reps, rotations, rows, bits, bands, least)
+    found = written(_expand(near, members, heads, k), "near")
+    tables.drop_all()
+    return found
 
 
 def nearest_of_queries(df: DataFrame, query: DataFrame, key: str, vector: str, k: int = 5, dims: int = 64, least: float = 0.9) -> DataFrame:
@@ -184,7 +177,7 @@ def nearest_of_queries(df: DataFrame, query: DataFrame, key: str, vector: str, k
     """
     vectors = written(unit_vectors(df.withColumnRenamed(key, "id"), "id", vector, dims), "unit")
     asked = query.select(F.col(key).cast("long").alias("id")).distinct()
-    done = written(nearest_vectors(vectors, "id", "v", k, least, dims).join(asked, "id", "left_semi"), "near")
+    done = nearest_vectors(vectors, "id", "v", k, least, dims).join(asked, "id", "left_semi")
     full = done.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("id")
     rest = written(vectors.join(asked, "id", "left_semi").join(full, "id", "left_anti"), "rest")
     n, m = rest.count(), vectors.count()

@@ -38,11 +38,12 @@ def test_neighbours_within_the_radius_are_those_of_brute_force(spark):
     assert len(got & want) >= 0.995 * len(want) and len(got - want) <= 0.005 * len(want)
 
 
-def test_full_buckets_are_searched_in_blocks(spark, monkeypatch):
-    rows = rows_of(clustered(2, 260))
+def test_a_dense_cluster_is_searched_in_blocks(spark, monkeypatch):
+    from loamsift.operators import hamming
+
+    rows = rows_of(np.concatenate([clustered(2, 120), clustered(7, 1, 0) + 0.02 * np.random.default_rng(8).standard_normal((90, 64))]))
     df = spark.createDataFrame(rows, SCHEMA)
-    monkeypatch.setattr(knn, "BUCKET", 4)
-    monkeypatch.setattr(knn, "BLOCK", 3)
+    monkeypatch.setattr(hamming.near_codes, "__defaults__", (25,))
     got = {(r.id, r.other) for r in knn.nearest_vectors(df, "id", "v").collect()}
     want = brute(rows, 5, 0.9)
     assert len(got & want) >= 0.995 * len(want) and len(got - want) <= 0.005 * len(want)
