@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions.tables import written
 
 #: Bits on which retrieved pairs are checked.
-CHECK = 256
+CHECK = 384
 #: Rows of an index that a group holds on average at most.
 GROUP_ROWS = 400_000
 #: Retrieved pairs that are checked at once.
@@ -44,8 +44,8 @@ def plan(rows: int, cosine: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
-def near_bits(cosine: float, deviations: float = 5.0, bits: int = CHECK) -> int:
-    """The distance on ``bits`` bits that a pair of this cosine exceeds with a probability of about 3e-7 (five deviations)."""
+def near_bits(cosine: float, deviations: float = 4.5, bits: int = CHECK) -> int:
+    """The distance on ``bits`` bits of random projections that a pair of this cosine exceeds with a probability of about 3e-6 (four and a half deviations)."""
     p = angle_share(cosine)
     return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
@@ -108,7 +108,7 @@ def _cells(indexed: DataFrame, key: str, group_rows: int) -> DataFrame:
 def near_codes(left: DataFrame, right: DataFrame | None, key: str, vector: str, planes: np.ndarray, rows: int, bits: int, bands: int, near: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b), distinct: keys of vectors that agree in a substring up to one bit and differ in at most ``near`` of ``CHECK`` bits.
 
-    Pairs of ``left`` with ``right``, or within ``left`` where ``right`` is None (in either order, once). ``planes`` has CHECK + bits * bands columns; ``rows``
+    Pairs of ``left`` with ``right``, or within ``left`` where ``right`` is None (in either order, once). ``planes`` has CHECK columns, at random, for the check, and bits * bands for the substrings; ``rows``
     is how many vectors there are. Vectors must be usable and differ from each other (equal ones make a bucket that is searched pair by pair).
     """
     top = min(bits - 1, math.ceil(math.log2(rows / group_rows))) if rows > group_rows else 0
