@@ -3,7 +3,7 @@
 Vectors are turned by learned rotations (iterative quantization: the rotation that brings a sample's
 coordinates closest to their signs) and reduced to the signs, one bit per dimension and rotation. The code is cut into substrings, each with an index of its own, of as many bits as
 the number of vectors has binary digits. Each index is probed with the substring and all its one-bit neighbours: with m substrings that retrieves every code within a
-Hamming distance of 2m - 1 (pigeonhole), and beyond it with the probability from which m follows. What is retrieved is checked on 256 further bits and reranked with the floats. ``operators.hamming`` holds the search.
+Hamming distance of 2m - 1 (pigeonhole), and beyond it with the probability from which m follows. What is retrieved is checked on 384 further bits, signs of random rotations, and reranked with the floats. ``operators.hamming`` holds the search.
 """
 
 from __future__ import annotations
@@ -88,9 +88,16 @@ def _block_search(query: DataFrame, data: DataFrame, dims: int, k: int, least: f
     return query.groupBy("cell").cogroup(data.groupBy("cell")).applyInPandas(search, "id long, other long, cosine double")
 
 
+def random_rotations(dims: int, columns: int, seed: int = 6) -> np.ndarray:
+    """``columns`` unit projections, orthogonal within each rotation. Their signs differ as the angle says, which those of learned rotations don't."""
+    rng = np.random.default_rng(seed)
+    return np.hstack([np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-columns // dims))])[:, :columns]
+
+
 def candidate_pairs(vectors: DataFrame, rotations: np.ndarray, rows: int, bits: int, bands: int, least: float) -> DataFrame:
     """(id, other, cosine), both ways: pairs retrieved by the indexes with a cosine of at least ``least``. The vectors differ from each other."""
-    pairs = near_codes(vectors, None, "id", "v", rotations[:, : CHECK + bits * bands], rows, bits, bands, near_bits(least))
+    planes = np.hstack([random_rotations(rotations.shape[0], CHECK), rotations[:, : bits * bands]])
+    pairs = near_codes(vectors, None, "id", "v", planes, rows, bits, bands, near_bits(least))
     v = vectors.select("id", "v")
     both = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b").withColumn("cosine", cosine("va", "vb")).where(F.col("cosine") >= least)
     return both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))).alias("p")).select("p.*")
@@ -151,7 +158,7 @@ def sample_of(vectors: DataFrame, dims: int, size: int = SAMPLE) -> np.ndarray:
 def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.9, dims: int = 64, recall: float = RECALL) -> DataFrame:
     """(id, other, cosine, rank): of each vector the k nearest others with a cosine of at least ``least``; ties go to the smaller key.
 
-    A pair at ``least`` is retrieved with the probability ``recall``, one above it with a higher one; the check on 256 bits lets it pass but for five standard deviations (3e-7). Keys are whole
+    A pair at ``least`` is retrieved with the probability ``recall``, one above it with a higher one; the check on 384 bits lets it pass but for four and a half standard deviations (3e-6). Keys are whole
     numbers. Vectors that are NULL, all zero, not finite or of another length than ``dims`` count for nothing, rows that repeat a key once, an empty table
     gives an empty result, extra columns are ignored. Equal vectors are searched as one, so a large group of them costs one row.
     """
@@ -162,7 +169,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 5, least: flo
     members = tables.write(members, "members")
     rows = reps.count()
     bits, bands = plan(rows, least, recall)
-    rotations = learn_rotations(sample_of(reps, dims), -(-(CHECK + bits * bands) // dims))
+    rotations = learn_rotations(sample_of(reps, dims), -(-bits * bands // dims))
     near = candidate_pairs(reps, rotations, rows, bits, bands, least)
     found = written(_expand(near, members, heads, k), "near")
     tables.drop_all()
