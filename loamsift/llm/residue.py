@@ -1,11 +1,11 @@
 """Template residue and error-page text, by retrieval of labelled exemplars and TF-IDF containment.
 
-Labelled exemplars of fillers, error pages, script notices and unfilled slots are kept in an inverted index. Document frequencies of their words and word
-pairs are counted over the whole corpus. Of each exemplar the rarest word pairs stand in the index, so many that a passage without any of
-them can't reach the containment asked for; the others needn't be looked up. A passage window (as many sentences of one
-paragraph, or of one of its lines, as the exemplar has) matches if the exemplar's words and word pairs, weighted by inverse document frequency, are contained in it to a high
-degree. Fillers match the other way round: a window of enough words is covered by a filler's vocabulary, and a shorter one of at least three words
-holds no other words and has them mostly in the filler's order. Short exemplars must also make up the passage. Code, inline code, quotations and block quotes are left out before: what is shown there is talked about, not left over.
+Words are read as concepts: a lexicon of general vocabulary in several languages says which words stand for "page", "not", "find", "script" and so on, so that an exemplar is found
+however it is worded. Labelled exemplars (script notices, error messages, filler) are combinations of concepts and stand in an inverted index under their rarest concept in the whole corpus. A passage
+window of one or two sentences is compared with the exemplars that the index gives for it: they must be contained in it, weighted by inverse document
+frequency, and the window in turn must consist mostly of the label's vocabulary (coverage), so that a text about scripts or errors, which has words of its own, is none. Sentences
+with a condition ("if the page is not found ...") describe and don't count. Filler without meaning is seen by its form: the printers' Latin passage, words repeated, rows of keys.
+Unfilled slots are recognised by their syntax, as they have no words to weigh. Code, inline code, quotations and block quotes are left out before: what is shown there is talked about, not left over.
 """
 
 from __future__ import annotations
@@ -24,120 +24,83 @@ from pyspark.sql import types as T
 
 from .common import WORD, slices
 
-CONTAINED = 0.7
-PAIRS_CONTAINED = 0.55
-#: Exemplars of fewer words must make up this share of their passage.
-SHORT, FILLS = 5, 0.6
-FILLER_WORDS, FILLER_COVERS = 6, 0.8
-#: Shorter passages, of so many words at least, must be covered wholly, and this share of their word pairs must be the filler's.
-FILLER_LEAST, FILLER_PAIRS = 3, 0.55
-
-# Labelled exemplars. "N" stands for a number, "X" for a name.
-SCRIPTS = """
-Please turn on JavaScript to read this page.
-Please enable JavaScript to view this page.
-Please enable JavaScript and cookies to continue.
-You need to enable JavaScript to run this app.
-JavaScript is required to view this site.
-This site requires JavaScript to work properly.
-JavaScript is disabled in your browser. Switch it on to continue.
-JavaScript seems to be disabled in your browser.
-JavaScript is not available.
-This application cannot start without JavaScript.
-A browser with scripting support is required for X.
-Your browser does not allow scripting, so nothing can be shown here.
-Your browser does not support JavaScript.
-X needs scripts to run. Enable them and reload.
-You must allow client-side code before the X loads.
-noscript: the viewer for this document depends on JS.
-Checking your browser. This page opens after scripts have run.
-Checking your browser before accessing the site.
-Veuillez activer JavaScript pour afficher cette page.
-JavaScript est désactivé dans votre navigateur.
-Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.
-JavaScript ist in Ihrem Browser deaktiviert.
-Active JavaScript en su navegador para ver el contenido.
-Por favor, habilite JavaScript para continuar.
-JavaScript está desactivado en su navegador.
-Abilita JavaScript per visualizzare questa pagina.
-Ative o JavaScript para ver esta página.
-"""
-ERRORS = """
-The page you asked for could not be found. It may have moved or been removed.
-The page you are looking for does not exist.
-The page you requested cannot be found.
-Sorry, we couldn't find that page.
-Oops! We looked everywhere but this page is gone.
-Oops! Something went wrong.
-Something went wrong on our side. Try again in a few minutes.
-An unexpected error has occurred. Please try again later.
-An unhandled exception occurred while rendering this view.
-No such document on this server.
-The requested URL was not found on this server.
-You do not have permission to see this resource.
-You don't have permission to access this resource.
-We have seen unusual traffic from your network and blocked this request.
-Our systems have detected unusual traffic from your computer network.
-Your session has ended. Sign in again to go on.
-Your session has expired. Please log in again.
-This service is down for maintenance. Please come back later.
-The server is temporarily unable to service your request.
-This site can't be reached.
-Error establishing a database connection.
-Cette page est introuvable ou a été déplacée.
-La page que vous cherchez n'existe pas.
-Une erreur est survenue. Veuillez réessayer plus tard.
-Seite nicht gefunden. Die aufgerufene Adresse gibt es nicht mehr.
-Die angeforderte Seite wurde nicht gefunden.
-Es ist ein Fehler aufgetreten. Bitte versuchen Sie es später erneut.
-La página solicitada no existe o ha cambiado de sitio.
-No se ha encontrado la página.
-Se ha producido un error. Inténtelo de nuevo más tarde.
-"""
-STUBS = """
-Body copy to follow.
-Text goes here.
-Your content here.
-Your text here.
-Add your text here.
-Insert text here.
-Content coming soon.
-Replace this paragraph with your own words.
-Click here to edit this text.
-Sample paragraph for layout only.
-Placeholder text for layout.
-Just a few dummy words so that the box is not empty.
-Section under construction, wording follows.
-This page is under construction.
-This section is intentionally left blank.
-Description to be added later by the X team.
-Enter a short overview of the X here.
-(add text for this step)
-XXX fill in the X XXX
-TODO: write this part.
-TODO: add description.
-TBD
-FIXME
-Title of your page
-Subtitle of your page
-Texte factice pour la mise en page.
-Texte à venir.
-Texto de relleno, sin contenido.
-Texto de ejemplo.
-Dies ist ein Blindtext ohne Inhalt.
-Hier steht Ihr Text.
-Platzhaltertext.
-"""
-FILLERS = """
-Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
-Lorem ipsum tumet quando remis nectar pretia bellis tristum semiat domus valdor ambar polare lutea fulgis silvam cursit ornare vectus actura
-blah blah blah
-asdf qwer asdf jkl
-foo bar baz qux
-test test test
-xxx xxx xxx
-bla bla bla
-"""
+#: The share of an exemplar's weight that a window must hold, and of a window's own words that its label's vocabulary must make up.
+CONTAINED, COVERED = 0.95, 0.65
+
+# The lexicon, from general vocabulary. A star ends a stem; an underscore joins words that follow each other.
+LEXICON = {
+    "SCRIPT": "javascript js ecmascript script scripts scripting noscript skript* client_side_code",
+    "BROWSER": "browser browsers navigateur navegador browsers",
+    "ENABLE": "enable enabl* activate activat* turn_on turned_on turn_it_on switch_on switched_on switch_it_on switch_them_on allow allows allowing unblock aktivier* einschalten erlauben zulassen activer activez activé* autoris* activar active activa activad* activo habilit* permitir permita abilit* attiva* ative ativar",
+    "DISABLED": "disabled off blocked deactivat* turned_off switched_off deaktivier* ausgeschaltet désactiv* desactiv* deshabilit* disabilitat* desativad*",
+    "REQUIRE": "need needs needed require requires required must necessary depends depend relies benötig* erforder* braucht brauchen muss müssen nécessit* requis* requier* nécessaire doit devez requiere requier* necesit* necesari* debe preciso richiede richiest* necessario",
+    "RUN": "run runs running start starts load loads loading work works display displayed show shown view viewing read see use open opens continue proceed render renders laden anzeigen sehen starten fortfahren weiter afficher voir charger continuer ver mostrar cargar continuar funcionar visualizz* visualiz*",
+    "SUPPORT": "support supports supported unterstütz* prend_en_charge compatible soporta admite capable",
+    "CHECK": "checking verifying verify check überprüf* prüfen vérifi* comprob* verific*",
+    "COOKIE": "cookie cookies",
+    "NOT": "not no cannot couldn can_t can_not doesn don isn wasn won hasn haven didn wouldn aren never nothing nowhere unable without none nicht kein keine keinen nichts ohne ne n pas sans aucun* sin ningun* ningún nunca non senza não sem impossible unmöglich imposible",
+    "FIND": "find found locate located exist exists existing such match matches gefunden finden existiert gibt vorhanden trouv* existe existent encontr* trovat* esiste there",
+    "MISSING": "missing gone moved removed deleted vanished introuvable déplacé* supprimé* verschoben gelöscht entfernt eliminad* movido borrad* cambiado inexistent* notfound unavailable_page",
+    "PAGE": "page pages site website webpage url link address document documents file resource article path location app application viewer seite webseite adresse dokument ressource datei document* adresse ressource página página* sitio dirección recurso documento pagina documento aplicación anwendung",
+    "REQUEST": "request requests requested asked looking looked looked_everywhere wanted tried angeforder* aufgerufen* gesuchte* demandé* cherch* recherch* solicit* buscad* busca* richiest* pedid*",
+    "ERROR": "error errors exception failure fault problem trouble oops whoops crash crashed fehler ausnahme erreur erreurs problème fallo errore erro",
+    "OCCUR": "occurred occur occurs happened encountered arose arisen thrown raised unexpected unhandled internal fatal aufgetreten passiert unerwartet* survenu* produit* inattendu* ocurrido producido inesperad*",
+    "WRONG": "wrong went_wrong schief schiefgegangen mal_passé salió_mal",
+    "RETRY": "again later retry reload refresh try back minutes moment shortly soon come erneut später versuchen nochmals neu réessay* ultérieurement tard inténte* intente vuelva intentar riprova novamente",
+    "SERVER": "server servers service services system systems host gateway backend dienst dienste serveur servidor servicio servizio",
+    "DOWN": "unavailable down maintenance overloaded offline unreachable busy outage reached temporarily wartung wartungsarbeiten indisponible mantenimiento disponible verfügbar erreichbar available accessible",
+    "ACCESS": "permission permissions access authorized authorised authorization privileges rights berechtigung* zugriff zugang autorisation droits accès permiso permisos acceso autorizad* permesso accesso",
+    "DENIED": "denied forbidden refused rejected restricted verweigert verboten refusé interdit denegad* prohibid* negato unauthorized unauthorised",
+    "SESSION": "session login sitzung sesión sessione",
+    "EXPIRED": "expired expire ended timed_out abgelaufen expiré* caducad* expirad* terminad* scaduta",
+    "SIGNIN": "sign_in log_in signin login anmelden einloggen connecter reconnect* identif* iniciar inicie",
+    "TRAFFIC": "traffic robot robots bot bots captcha human datenverkehr trafic tráfico network",
+    "UNUSUAL": "unusual suspicious automated ungewöhnlich* inhabituel* inusual* seen detected",
+    "BLOCK": "blocked block banned bloqué* bloquead* gesperrt",
+    "CONNECT": "connect connection connecting establishing established database verbindung datenbank connexion conexión",
+    "WHO": "team author authors editor editors writer maintainer maintainers redaktion autor équipe auteur equipo autor",
+    "TEXT": "text texts part step content contents copy words wording paragraph sentence sentences description body_copy body caption overview summary title subtitle heading section inhalt beschreibung absatz überschrift texte contenu paragraphe titre description texto contenido párrafo descripción título testo conteúdo",
+    "HERE": "here goes go place placed hier steht ici aquí qui aqui",
+    "FOLLOW": "follow follows following soon coming later come added folgt folgen später venir suivre próximamente seguir prossimamente breve",
+    "WRITE": "add insert enter replace write fill fill_in put type edit provide click einfügen ersetzen eingeben hinzufügen ajout* insér* saisi* remplac* añad* insert* escrib* reempla* inserisci",
+    "YOUR": "your own ihr ihren ihre eigenen votre vos su sus tu tuo seu",
+    "DUMMY": "dummy placeholder placeholders filler lipsum blindtext beispieltext platzhalter* fülltext factice fictif remplissage relleno segnaposto",
+    "SAMPLE": "sample mock example exemple ejemplo prueba beispiel esempio",
+    "INTENT": "intentionally left absichtlich gelassen intentionnellement laissé* intencionad*",
+    "VOID": "empty blank vacant leer vide vacío vacía vuot*",
+    "LAYOUT": "layout design template only box mise_en_page maquetación gestaltung nur",
+    "UNFINISHED": "construction unfinished incomplete bau aufbau construction construcción costruzione",
+    "TODO": "todo tbd fixme tba tbc wip xxx",
+}
+# Labelled exemplars as combinations of concepts.
+EXEMPLARS = {
+    "script": "ENABLE SCRIPT; SCRIPT DISABLED; SCRIPT REQUIRE; SCRIPT NOT RUN; SCRIPT NOT SUPPORT; SCRIPT BROWSER NOT; SCRIPT DOWN NOT; SCRIPT PAGE RUN; CHECK BROWSER; BROWSER SCRIPT SUPPORT; ENABLE COOKIE",
+    "error": "PAGE NOT FIND; PAGE MISSING; ERROR OCCUR RUN PAGE; REQUEST NOT FIND; REQUEST MISSING; ERROR OCCUR; WRONG; WRONG RETRY; ERROR RETRY; NOT ACCESS; ACCESS DENIED; REQUEST BLOCK; REQUEST DENIED; TRAFFIC UNUSUAL; SESSION EXPIRED; SIGNIN RETRY; SERVER DOWN; PAGE DOWN NOT; PAGE DOWN RETRY; ERROR CONNECT; NOT CONNECT SERVER; ERROR PAGE; ERROR SERVER",
+    "filler": "TEXT HERE; TEXT FOLLOW; TEXT FOLLOW WHO; DUMMY TEXT LAYOUT VOID; TODO WRITE; WRITE TEXT; WRITE YOUR TEXT; TEXT YOUR; DUMMY TEXT; DUMMY; SAMPLE TEXT LAYOUT; SAMPLE TEXT HERE; TEXT VOID INTENT; PAGE VOID INTENT; DUMMY TEXT NOT; UNFINISHED; TEXT UNFINISHED; TODO; TEXT YOUR PAGE; WRITE HERE",
+}
+# Words that may stand with any of them.
+COMMON = set(
+    "the a an of to and or is are was were be been it its that this these which with for from on in at by as you we i they our may has have had will please sorry your my if so just then them than after before do does did can could would should any all some few something someone side our up us out while here there other short "
+    "der die das den dem des dies ein eine einen einem einer es ist sind war wird werden bitte und oder mit für von auf zu zum zur im in an sie wir ich ihr diese dieser dieses diesen um mehr hat haben "
+    "le la les l un une des du de d et ou est sont être a été avec pour par sur dans en au aux que qu ce cette ces vous nous votre veuillez plus il y "
+    "el los las una unos unas del y o es son ser con para por sobre al que se lo ha han su por_favor favor esta este más ya "
+    "il lo gli di per con su non è si per_favore o os as um uma do da por para com não seu".split()
+)
+# Words that make a condition of a sentence.
+CONDITIONS = set("if when whenever unless whether wenn falls sobald ob si quand lorsque lorsqu cuando quando".split())
+# The printers' Latin passage.
+LATIN = set(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
+FUNCTION = COMMON - LATIN
+# Names that programmers give to nothing, and the rows of keys.
+NAMES = set("foo bar baz qux quux foobar".split())
+ROWS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "qsdfghjklm", "zxcvbnm", "yxcvbnm", "wxcvbn", "1234567890")
+#: Shorter words and passages are no rows of keys and no repetition.
+KEYS, TIMES = 3, 3
+EMPTY: frozenset[str] = frozenset()
+#: Printers' Latin has a word of so many letters, and sentences of so many words have function words in every language of the lexicon.
+PLAIN = 7
 # Syntax of unfilled slots. Those of the first group occur in text by accident hardly ever.
 SLOTS = [
     r"\{\{\{?\s*[#/^>&!]?\s*[A-Za-z_][\w .\-|:'\"()]*\}?\}\}", r"\{%-?\s*\w[^%{}\n]*-?%\}", r"\$\{\s*[A-Za-z_][\w.]*\s*\}", r"#\{\s*[A-Za-z_][\w.]*\s*\}", r"<%[=-]?\s*[A-Za-z_@][^%\n]*%>", r"<\?=?\s*(?:php )?\$?[A-Za-z_][^?\n]*\?>",
@@ -149,6 +112,9 @@ WEAK_SLOTS = [r"(?<![\w{$#%/=])\{[a-z]+(?:_[a-z]+)*\}(?![\w}/])", r"«[a-z]+(?:_
 _SLOT = re.compile("|".join(SLOTS))
 _WEAK = re.compile("|".join(WEAK_SLOTS))
 
+
+#: Stands for what is only shown: a word of its own, of no concept.
+SHOWN = " shownpart "
 _CODE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _HTML_CODE = re.compile(r"<(pre|code|script|style)\b[^>]*>.*?</\1>", re.S | re.I)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
@@ -161,14 +127,14 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def shown_out(text: str) -> str:
-    """The text without what it only shows: code, inline code, quotations, block quotes."""
+    """The text without what it only shows: code and block quotes go, inline code and quotations leave a word behind."""
     t = text.replace("\r\n", "\n").replace("\r", "\n")
     t = _CODE.sub("\n", t)
     if "<" in t:
         t = _HTML_CODE.sub(" ", t)
-    t = _INLINE.sub(" ", t)
+    t = _INLINE.sub(SHOWN, t)
     t = _BLOCK_QUOTE.sub("", t)
-    return _QUOTES.sub(" ", t)
+    return _QUOTES.sub(SHOWN, t)
 
 
 def paragraphs(text: str) -> Iterator[list[str]]:
@@ -194,73 +160,116 @@ def passages(lines: list[str]) -> Iterator[list[list[str]]]:
     """
     if len(lines) > 1:
         joined = " ".join(line.strip() for line in lines)
-        yield [w for w in map(passage_words, _SENTENCE.split(_QUOTES.sub(" ", _INLINE.sub(" ", joined)))) if w]
+        yield [w for w in map(passage_words, _SENTENCE.split(_QUOTES.sub(SHOWN, _INLINE.sub(SHOWN, joined)))) if w]
     for line in lines:
         yield [w for w in map(passage_words, _SENTENCE.split(line)) if w]
 
 
 def passage_words(s: str) -> list[str]:
-    """Lower-cased words; a number counts as ``N``."""
-    return ["N" if w.isdigit() else w for w in WORD.findall(s.lower())]
+    return WORD.findall(s.lower())
+
+
+class Lexicon:
+    """Concepts of words."""
+
+    def __init__(self) -> None:
+        self.whole: dict[str, set[str]] = {}
+        self.stems: dict[str, set[str]] = {}
+        self.joined: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        for concept, line in LEXICON.items():
+            for w in line.split():
+                if "_" in w:
+                    parts = tuple(w.split("_"))
+                    self.joined.setdefault(parts[0], []).append((parts, concept))
+                elif w.endswith("*"):
+                    self.stems.setdefault(w[:-1], set()).add(concept)
+                else:
+                    self.whole.setdefault(w, set()).add(concept)
+        self.lengths = sorted({len(x) for x in self.stems})
+        self.begins = set(self.joined)
+        self.seen: dict[str, frozenset[str]] = {}
+
+    def of(self, w: str) -> frozenset[str]:
+        """The concepts of one word."""
+        got = self.seen.get(w)
+        if got is None:
+            found = set(self.whole.get(w, ()))
+            for n in self.lengths:
+                if n > len(w):
+                    break
+                found |= self.stems.get(w[:n], set())
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            got = self.seen[w] = frozenset(found)
+        return got
+
+    def read(self, words: list[str]) -> list[frozenset[str]]:
+        """The concepts at each place; joined words count where they begin."""
+        seen = self.seen
+        out = [seen[w] if w in seen else self.of(w) for w in words]
+        if not self.begins.isdisjoint(words):
+            for i, w in enumerate(words):
+                for parts, concept in self.joined.get(w, ()):
+                    if tuple(words[i : i + len(parts)]) == parts:
+                        for k in range(i, i + len(parts)):
+                            out[k] = out[k] | {concept}
+        return out
 
 
 class Exemplars:
-    """The labelled exemplars with their words and word pairs."""
+    """The labelled exemplars in an inverted index."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, list[str], int]] = []
-        for label, block in (("script", SCRIPTS), ("error", ERRORS), ("filler", STUBS)):
-            for line in block.strip().split("\n"):
-                w = [x for x in passage_words(re.sub(r"\bX\b", " ", line).replace("XXX", "xxx")) if x]
-                self.rows.append((label, w, len(_SENTENCE.split(line.strip()))))
-        for status in HTTPStatus:
-            if status >= 400:
-                w = passage_words(status.phrase)
-                for before in ([], ["N"], ["error", "N"], ["http", "error", "N"]):
-                    self.rows.append(("error", before + w, 1))
-        runs = [passage_words(line) for line in FILLERS.strip().split("\n")]
-        self.fillers = [set(w) for w in runs]
-        # A short filler may also repeat one of its words, as in "foo foo foo".
-        self.filler_pairs = [set(zip(w, w[1:])) | ({(x, x) for x in w} if len(w) < FILLER_WORDS else set()) for w in runs]
-        self.any_filler_pair = set().union(*self.filler_pairs)
-        self.vocabulary = {x for _, w, _ in self.rows for x in w}
-        self.pairs = {p for _, w, _ in self.rows for p in zip(w, w[1:])}
+        self.lexicon = Lexicon()
+        self.rows = [(label, frozenset(line.split())) for label, block in EXEMPLARS.items() for line in block.split("; ")]
+        self.vocabulary = {label: frozenset(c for k, cs in self.rows if k == label for c in cs) for label in EXEMPLARS}
+        # The names of HTTP errors are notices wherever they make up a passage.
+        self.phrases = {tuple(passage_words(s.phrase)) for s in HTTPStatus if s >= 400}
 
     def index(self, count: Counter, documents: int) -> None:
-        """Weighs words and pairs by how rare they are in the corpus and keeps each exemplar under its rarest pairs."""
-        self.idf = {f: math.log((documents + 1) / (count[f] + 0.5)) for f in (*self.vocabulary, *self.pairs)}
-        self.where: dict[str | tuple[str, str], list[int]] = {}
-        self.weight: list[tuple[float, float]] = []
-        for i, (_, w, _) in enumerate(self.rows):
-            pairs = set(zip(w, w[1:]))
-            total = left = sum(self.idf[p] for p in pairs)
-            self.weight.append((sum(self.idf[x] for x in set(w)), total))
-            for f in sorted(pairs, key=lambda f: (-self.idf[f], f)) or w:
-                self.where.setdefault(f, []).append(i)
-                left -= self.idf[f]
-                if left < PAIRS_CONTAINED * total:
-                    break
-        self.keys = set(self.where)
-        self.filler_words = set().union(*self.fillers)
-
-    def seen_in(self, w: list[str]) -> set:
-        """The index entries that stand in the text."""
-        return self.keys.intersection(zip(w, w[1:])) | self.keys.intersection(w)
+        """Weighs the concepts by how rare they are in the corpus and keeps each exemplar under its rarest."""
+        self.idf = {c: math.log((documents + 1) / (count[c] + 0.5)) + 0.1 for c in LEXICON}
+        self.where: dict[str, list[tuple[str, frozenset[str], float]]] = {}
+        for label, cs in self.rows:
+            self.where.setdefault(max(sorted(cs), key=self.idf.__getitem__), []).append((label, cs, sum(self.idf[c] for c in cs)))
+        self.rarest = set(self.where)
+
+    def label(self, words: list[str], concepts: list[frozenset[str]]) -> str | None:
+        """The label of the exemplar that a window holds and mostly consists of."""
+        here = EMPTY.union(*concepts)
+        hits = [x for c in self.rarest & here for x in self.where[c] if sum(self.idf[y] for y in x[1] & here) >= CONTAINED * x[2]]
+        if not hits or not CONDITIONS.isdisjoint(words):
+            return None
+        for label in dict.fromkeys(h[0] for h in hits):
+            known = self.vocabulary[label]
+            own = [not known.isdisjoint(c) for w, c in zip(words, concepts) if not known.isdisjoint(c) or w not in COMMON and not w.isdigit() and len(w) > 1]
+            if sum(own) >= COVERED * len(own):
+                return label
+        return None
 
 
-def _is_filler(ex: Exemplars, window: list[str]) -> bool:
-    """Whether the words are those of a filler."""
-    n = len(window)
-    if n >= FILLER_WORDS:
-        return any(sum(x in f for x in window) >= FILLER_COVERS * n for f in ex.fillers)
-    if n < FILLER_LEAST:
-        return False
-    return any(f.issuperset(window) and sum(p in pairs for p in zip(window, window[1:])) >= FILLER_PAIRS * (n - 1) for f, pairs in zip(ex.fillers, ex.filler_pairs))
+def is_row_of_keys(w: str) -> bool:
+    return len(w) >= KEYS and any(w in r or w[::-1] in r for r in ROWS)
 
 
-def _windows(paragraph: list[list[str]], n: int) -> Iterator[list[str]]:
-    for i in range(max(1, len(paragraph) - n + 1)):
-        yield [w for s in paragraph[i : i + n] for w in s]
+def without_meaning(words: list[str]) -> bool:
+    """Printers' Latin, one word over and over, rows of keys, names for nothing, and sentences without a single function word of any language."""
+    n = len(words)
+    if n < TIMES:
+        return False
+    function = sum(map(FUNCTION.__contains__, words))
+    if "lorem" in words and "ipsum" in words and function <= 0.1 * n:
+        return True
+    if function > 0.2 * n:
+        return False
+    latin = sum(w in LATIN for w in words)
+    if n >= 2 * TIMES and latin >= 0.8 * n or latin == n and max(map(len, words)) >= PLAIN:
+        return True
+    if n >= PLAIN and not function and all(w.isalpha() and len(w) > 3 for w in words):
+        return True
+    if len(set(words)) * TIMES <= n and all(w.isalpha() and w not in COMMON for w in words):
+        return True
+    return all(is_row_of_keys(w) and not w.isdigit() for w in words) or len(NAMES.intersection(words)) >= TIMES and all(w in NAMES for w in words)
 
 
 def _has_slot(text: str) -> bool:
@@ -272,34 +281,24 @@ def match(ex: Exemplars, text: str | None) -> str | None:
     """The label of the residue in the text, None if there is none: slot, script, error or filler."""
     if not text:
         return None
-    w = passage_words(text)
-    slot = _has_slot(text)
-    filler = sum(map(ex.filler_words.__contains__, w)) >= FILLER_COVERS * FILLER_WORDS or not ex.any_filler_pair.isdisjoint(zip(w, w[1:]))
-    if not slot and not filler and not ex.seen_in(w):
-        return None
     t = shown_out(text)
-    if slot and _has_slot(t):
+    if _has_slot(t):
         return "slot"
-    for paragraph in (p for lines in paragraphs(t) for p in passages(lines) if p):
-        here = {x for s in paragraph for x in s}
-        seen = {i for f in ex.seen_in([x for s in paragraph for x in s]) for i in ex.where[f]}
-        for i in seen:
-            label, w, n = ex.rows[i]
-            total, pairs = ex.weight[i]
-            if sum(ex.idf[x] for x in set(w) & here) < CONTAINED * total:
-                continue
-            for window in _windows(paragraph, n):
-                got = set(window)
-                if sum(ex.idf[x] for x in set(w) & got) < CONTAINED * total:
-                    continue
-                both = set(zip(window, window[1:])) & set(zip(w, w[1:]))
-                if sum(ex.idf[p] for p in both) < PAIRS_CONTAINED * pairs:
-                    continue
-                if len(w) >= SHORT or sum(x in w for x in window) >= FILLS * len(window) and len(window) <= 4 * len(w) and (len(w) > 2 or set(window) == set(w)):
-                    return label
-        if filler:
-            if any(_is_filler(ex, s) for s in paragraph) or _is_filler(ex, [x for s in paragraph for x in s]):
-                return "filler"
+    for lines in paragraphs(t):
+        for sentences in passages(lines):
+            read = [ex.lexicon.read(w) for w in sentences]
+            for i, (w, c) in enumerate(zip(sentences, read)):
+                if without_meaning(w):
+                    return "filler"
+                core = tuple(x for x in w if not x.isdigit() and x not in ("error", "http", "status", "code"))
+                if core in ex.phrases and (len(w) > 1 or len(sentences) == 1 and not lines[0].lstrip().startswith("#")):
+                    return "error"
+                found = ex.label(w, c)
+                if found is None and i:
+                    both = sentences[i - 1] + w
+                    found = "filler" if without_meaning(both) else ex.label(both, read[i - 1] + c)
+                if found:
+                    return found
     return None
 
 
@@ -319,15 +318,12 @@ def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
             for t in b.column(0).to_pylist():
                 n += 1
                 if t:
-                    w = passage_words(t)
-                    count.update(ex.vocabulary.intersection(w))
-                    count.update(ex.pairs.intersection(zip(w, w[1:])))
-        names = [("", n), *((x if isinstance(x, str) else " ".join(x), c) for x, c in count.items())]
+                    count.update(frozenset().union(*map(ex.lexicon.of, set(passage_words(t)))))
+        names = [("", n), *count.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], type=pa.string()), pa.array([c for _, c in names], type=pa.int64())], names=["feature", "n"])
 
     got = {r[0]: r[1] for r in docs.select("text__").mapInArrow(frequencies, "feature string, n long").groupBy("feature").agg(F.sum("n")).collect()}
-    count = Counter({tuple(k.split(" ")) if " " in k else k: v for k, v in got.items()})
-    ex.index(count, got.get("", 0))
+    ex.index(Counter(got), got.get("", 0))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("label", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
