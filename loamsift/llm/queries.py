@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, knn, leak, neardup, packing, pairs, residue, split
+from . import history, knn, languages, leak, neardup, packing, pairs, residue, split
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,8 +113,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that are no proper answers, with their defect."""
-    return pairs.flag_pairs(table(spark, sf_dir, "eval_results"), "result_id", "question", "golden_answer", "generated_answer").distinct()
+    """Answers that are no proper answers, with their defect. The language profiles are trained on a bounded sample of the labelled documents."""
+    profiles = languages.train(table(spark, sf_dir, "documents"), "text", "lang")
+    return pairs.flag_pairs(table(spark, sf_dir, "eval_results"), "result_id", "question", "golden_answer", "generated_answer", profiles).distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
