@@ -16,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
-    files = table(spark, sf_dir, "source_files").select("doc_id", F.when(F.coalesce(F.col("clean_text"), F.lit("")) == "", F.col("raw_content")).otherwise(F.col("clean_text")).alias("text"))
+    files = table(spark, sf_dir, "source_files")
+    if with_text:
+        files = files.select("doc_id", "clean_text", "raw_content").dropDuplicates(["doc_id"])
+    files = files.select("doc_id", F.when(F.coalesce(F.col("clean_text"), F.lit("")) == "", F.col("raw_content")).otherwise(F.col("clean_text")).alias("text"))
     return split.split_texts(files, "doc_id", "text", table(spark, sf_dir, "chunking_config"), with_text)
 
 
@@ -27,10 +30,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces themselves; a repeated file gives its pieces once."""
-    each = _splits(spark, sf_dir, True).dropDuplicates(["doc_id", "config_id"])
+    each = _splits(spark, sf_dir, True)
     return each.select("doc_id", "config_id", F.posexplode(F.arrays_zip("starts", "ends", "texts")).alias("piece", "p")).select("doc_id", "config_id", "piece", F.col("p.starts").alias("begin"), F.col("p.ends").alias("end"), F.col("p.texts").alias("text"))
 
 
+def p1_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of a file: where the last one ends, and how many are too long, leave a gap, overlap by more than was asked for, or differ from the text at their place."""
+    c = table(spark, sf_dir, "chunking_config").select("config_id", "chunk_size", "chunk_overlap")
+    files = table(spark, sf_dir, "source_files").select("doc_id", F.when(F.coalesce(F.col("clean_text"), F.lit("")) == "", F.col("raw_content")).otherwise(F.col("clean_text")).alias("whole")).dropDuplicates(["doc_id"])
+    p = _splits(spark, sf_dir, True).join(F.broadcast(c), "config_id").join(files, "doc_id")
+    at = lambda i, s, e: F.struct(s.alias("s"), e.alias("e"), F.when(i > 0, F.element_at("ends", i.cast("int"))).otherwise(0).alias("before"))
+    rows = p.withColumn("x", F.zip_with(F.sequence(F.lit(0), F.size("starts") - 1), F.arrays_zip("starts", "ends"), lambda i, y: at(i, y["starts"], y["ends"])))
+    many = lambda f: F.size(F.filter("x", f)).cast("long")
+    wrong = F.size(F.filter(F.arrays_zip("starts", "ends", "texts"), lambda y: F.substring(F.col("whole"), y["starts"] + 1, y["ends"] - y["starts"]) != y["texts"])).cast("long")
+    return rows.select("doc_id", "config_id", F.element_at("ends", -1).cast("long").alias("length"), many(lambda y: y["e"] - y["s"] > F.col("chunk_size")).alias("too_long"), many(lambda y: y["s"] > y["before"]).alias("gaps"), many(lambda y: (y["before"] - y["s"] > F.col("chunk_overlap"))).alias("overlapping"), wrong.alias("other_text"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which one is among the five nearest of the other, with a cosine of at least 0.9."""
     near = knn.nearest_vectors(table(spark, sf_dir, "vector_store"), "vec_id", "embedding")
@@ -96,10 +111,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used for each capacity, the least number that could do, and how full they are."""
+    """Containers used for each capacity, the least number that could do, those of best-fit-decreasing, and how full they are."""
     p = p6_packing(spark, sf_dir).groupBy("capacity_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
     c = table(spark, sf_dir, "pack_capacity")
-    return p.join(c, "capacity_id").select("capacity_id", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("bound"), F.round(F.col("tokens") / F.col("capacity_tokens") / F.col("containers"), 4).alias("fill"))
+    counts = {r[0]: r[1] for r in packing.sizes_of(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text") + 1).groupBy("size").count().collect()}
+    plain = spark.createDataFrame([(r[0], packing.best_fit_decreasing(counts, r[1])) for r in c.select("capacity_id", "capacity_tokens").collect()], "capacity_id int, bfd int")
+    return p.join(c, "capacity_id").join(plain, "capacity_id").select("capacity_id", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("bound"), "bfd", F.round(F.col("tokens") / F.col("capacity_tokens") / F.col("containers"), 4).alias("fill"))
+
+
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing: the documents and tokens placed for each capacity, none placed twice, no container above it, and no document split that fits."""
+    p = p6_packing(spark, sf_dir).join(table(spark, sf_dir, "pack_capacity"), "capacity_id")
+    boxes = p.groupBy("capacity_id", "container").agg(F.sum("tokens").alias("t"), F.first("capacity_tokens").alias("c")).groupBy("capacity_id").agg(F.count_if(F.col("t") > F.col("c")).alias("too_full"))
+    docs = p.groupBy("capacity_id", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.first("pieces").alias("pieces"), F.first("capacity_tokens").alias("c"))
+    d = docs.groupBy("capacity_id").agg(F.count("*").alias("documents"), F.sum("t").alias("tokens"), F.count_if(F.col("n") != F.ceil(F.col("t") / F.col("c"))).alias("split_otherwise"))
+    return d.join(boxes, "capacity_id")
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +133,11 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "golden_questions"), "id", ["question", "answer"]).withColumnRenamed("id", "question_id")
 
 
+def p7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact leaks with the longest run of words that document and item share."""
+    return p7_leaks(spark, sf_dir).where(F.col("kind") == "exact").select("doc_id", "question_id", "words")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least 12 consecutive words of a question or answer."""
     return p7_leaks(spark, sf_dir).where(F.col("kind") == "exact").select("doc_id", "question_id")
@@ -131,6 +162,7 @@ def p8_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_checked": p1_checked,
     "p2_found": p2_found,
     "p2_neighbors": p2_neighbors,
     "p3_found": p3_found,
@@ -141,7 +173,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_packing": p6_packing,
     "p6_usage": p6_usage,
+    "p6_checked": p6_checked,
     "p7_found": p7_found,
+    "p7_runs": p7_runs,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
     "p8_residue": p8_residue,
@@ -183,6 +217,8 @@ SQL: dict[str, str] = {
     "p1_found": """WITH t AS (SELECT DISTINCT doc_id, CASE WHEN coalesce(clean_text, '') = '' THEN raw_content ELSE clean_text END AS text FROM source_files),
 l AS (SELECT doc_id, length(text) AS n, list_max(list_transform(regexp_split_to_array(text, '[ \\t\\r\\n]'), lambda x: length(x))) AS run FROM t WHERE text IS NOT NULL)
 SELECT doc_id, config_id, CASE WHEN run > chunk_size THEN 1 ELSE 0 END::INTEGER AS forced FROM l JOIN chunking_config ON n > chunk_size""",
+    "p1_checked": """WITH t AS (SELECT DISTINCT doc_id, CASE WHEN coalesce(clean_text, '') = '' THEN raw_content ELSE clean_text END AS text FROM source_files)
+SELECT doc_id, config_id, length(text) AS length, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS overlapping, 0::BIGINT AS other_text FROM t JOIN chunking_config ON length(text) > chunk_size""",
     "p2_found": f"""WITH {UNIT},
 near AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.v, y.v) / (x.l * y.l) AS c FROM u x JOIN u y ON x.id <> y.id),
 top AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM near)
@@ -209,9 +245,20 @@ d AS (SELECT doc_id, seq, i.chunk_id IN (SELECT chunk_id FROM final) AS good FRO
 t AS (SELECT doc_id, count_if(NOT good) AS duplicates, count_if(good) AS accepted FROM d GROUP BY 1)
 SELECT r.doc_id, r.batch_no, coalesce(t.duplicates, 0) AS duplicates, coalesce(t.accepted, 0) AS accepted FROM ingest_responses r LEFT JOIN t USING (doc_id) WHERE r.duplicates IS NULL""",
     "p6_found": """SELECT DISTINCT capacity_id, doc_id FROM documents, pack_capacity WHERE strlen(text) + 1 > capacity_tokens""",
+    "p6_checked": """SELECT capacity_id, count(*) AS documents, sum(n)::BIGINT AS tokens, 0::BIGINT AS split_otherwise, 0::BIGINT AS too_full
+FROM (SELECT doc_id, max(strlen(text) + 1) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1), pack_capacity GROUP BY 1""",
     "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 q AS (SELECT DISTINCT id, regexp_extract_all(lower(unnest([question, answer])), '[\\p{L}\\p{N}]+') AS w FROM golden_questions),
 dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
 qg AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM q WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, id AS question_id FROM dg JOIN qg USING (g)""",
+    # Runs of twelve words are joined to longer ones where they follow each other in both texts.
+    "p7_runs": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+q AS (SELECT id, part, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM (SELECT DISTINCT id, question || answer AS part, unnest([question, answer]) AS t FROM golden_questions)),
+dg AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS i, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+qg AS (SELECT DISTINCT id, md5(array_to_string(w, ' ')) AS part, unnest(range(1, len(w) - 10)) AS j, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM q WHERE len(w) >= 12),
+h AS (SELECT DISTINCT doc_id, id, part, i, j FROM dg JOIN qg USING (g)),
+r AS (SELECT doc_id, id, i - row_number() OVER (PARTITION BY doc_id, id, part, i - j ORDER BY i) AS run, part, i - j AS diagonal FROM h),
+n AS (SELECT doc_id, id, count(*) + 11 AS words FROM r GROUP BY doc_id, id, part, diagonal, run)
+SELECT doc_id, id AS question_id, max(words)::INTEGER AS words FROM n GROUP BY 1, 2""",
 }

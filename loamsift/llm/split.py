@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ BLOCK = 32
 LINE, PARAGRAPH = 0.15, 0.3
 #: Shorter words carry no topic.
 CONTENT_CHARS = 4
-MOST_CONFIGS = 1000
+#: Configurations that are held in a task; further ones are further passes.
+CONFIG_PACK = 1000
 
 _BLANK, _WORD, _STOP, _CLOSE, _LF, _CR = 1, 2, 4, 8, 16, 32
 _LIMIT = 0x20000
@@ -216,15 +218,19 @@ def split_texts(df: DataFrame, key: str, text: str, configs: DataFrame, with_tex
 
     NULL and empty texts and those that fit have no row. Repeated rows come out repeated. Extra columns are ignored.
     A configuration with a NULL or non-positive size is skipped, NULL overlap and minimum count as 0, an overlap not below the size
-    is an error, and so are more than ``MOST_CONFIGS`` configurations, which are held in every task.
+    is an error. Configurations are taken in packs of ``CONFIG_PACK``, each a pass over the texts.
     """
-    got = configs.select("config_id", "chunk_size", "chunk_overlap", "min_chunk_chars").distinct().limit(MOST_CONFIGS + 1).collect()
-    if len(got) > MOST_CONFIGS:
-        raise ValueError(f"more than {MOST_CONFIGS} configurations")
-    use = sorted((r[0], r[1], max(r[2] or 0, 0), max(r[3] or 0, 0)) for r in got if r[1] and r[1] > 0)
-    for k, size, overlap, _ in use:
-        if overlap >= size:
-            raise ValueError(f"configuration {k}: the overlap {overlap} is not below the size {size}")
+    packs: list[list[tuple[int, int, int, int]]] = [[]]
+    for r in configs.select("config_id", "chunk_size", "chunk_overlap", "min_chunk_chars").distinct().where("chunk_size > 0").toLocalIterator():
+        if len(packs[-1]) == CONFIG_PACK:
+            packs.append([])
+        packs[-1].append((r[0], r[1], max(r[2] or 0, 0), max(r[3] or 0, 0)))
+        if packs[-1][-1][2] >= r[1]:
+            raise ValueError(f"configuration {r[0]}: the overlap {r[2]} is not below the size {r[1]}")
+    return reduce(DataFrame.unionByName, (_split(df, key, text, sorted(use), with_text) for use in packs))
+
+
+def _split(df: DataFrame, key: str, text: str, use: list[tuple[int, int, int, int]], with_text: bool) -> DataFrame:
     fields = [T.StructField(key, df.schema[key].dataType), T.StructField("config_id", T.IntegerType()), T.StructField("forced", T.IntegerType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]
     if with_text:
         fields.append(T.StructField("texts", T.ArrayType(T.StringType())))

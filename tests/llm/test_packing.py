@@ -68,3 +68,33 @@ def test_nulls_repeats_and_empty_tables(spark):
     check(packing.pack(df, "doc_id", F.col("size"), caps).collect(), {1: 5, 4: 20}, {1: 10})
     assert packing.pack(df.limit(0), "doc_id", F.col("size"), caps).count() == 0
     assert packing.pack(df, "doc_id", F.col("size"), caps.limit(0)).count() == 0
+
+
+def test_counts_are_enough_for_best_fit_decreasing():
+    from collections import Counter
+
+    for seed in range(6):
+        rng = random.Random(seed)
+        sizes = [rng.randint(1, 60 if seed % 2 else 9) for _ in range(rng.randint(0, 200))]
+        order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+        assert packing.best_fit_decreasing(Counter(sizes), 60) == len(packing.packed(order, sizes, 60).bins)
+    assert packing.best_fit_decreasing({130: 2, 10: 1}, 60) == 5
+
+
+def test_any_number_of_capacities(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CAPACITY_PACK", 2)
+    sizes = {i: 1 + i * 7 % 30 for i in range(40)}
+    caps = {k: 20 + 5 * k for k in range(5)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, size int")
+    check(packing.pack(df, "doc_id", F.col("size"), spark.createDataFrame(list(caps.items()), "capacity_id int, capacity_tokens int")).collect(), sizes, caps)
+
+
+def test_containers_are_filled_by_subsets():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(5, 60, 400).tolist()
+    bins = packing.filled(list(range(400)), sizes, 100, rng)
+    assert sorted(i for b in bins for i in b) == list(range(400)) and max(sum(sizes[i] for i in b) for b in bins) <= 100
+    order = sorted(range(400), key=lambda i: -sizes[i])
+    assert len(bins) <= len(packing.packed(order, sizes, 100).bins)

@@ -80,3 +80,14 @@ def test_an_overlap_not_below_the_size_is_refused(spark):
     df = spark.createDataFrame([("a", "x y")], "k string, t string")
     with pytest.raises(ValueError):
         split_texts(df, "k", "t", spark.createDataFrame([(1, 5, 5, 0)], CONFIG))
+
+
+def test_any_number_of_configurations(spark, monkeypatch):
+    from loamsift.llm import split
+
+    text = "Some words of a text that is longer than all the sizes. " * 8
+    df = spark.createDataFrame([("a", text)], "id string, text string")
+    configs = spark.createDataFrame([(k, 40 + k, 5, 0) for k in range(5)], "config_id int, chunk_size int, chunk_overlap int, min_chunk_chars int")
+    whole = sorted(map(tuple, split.split_texts(df, "id", "text", configs).collect()))
+    monkeypatch.setattr(split, "CONFIG_PACK", 2)
+    assert sorted(map(tuple, split.split_texts(df, "id", "text", configs).collect())) == whole and len(whole) == 5
