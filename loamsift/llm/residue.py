@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from http import HTTPStatus
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import WORD, slices
 
-#: The share of an exemplar's weight that a window must hold, and of a window's own words that its label's vocabulary must make up.
-CONTAINED, COVERED = 0.95, 0.65
+#: The share of an exemplar's weight that a window must hold, and of a window's own words that its label's vocabulary must make up: of one sentence, of two.
+CONTAINED, COVERED = 0.95, (0.65, 0.7)
 
 # The lexicon, from general vocabulary. A star ends a stem; an underscore joins words that follow each other.
 LEXICON = {
@@ -74,7 +75,7 @@ LEXICON = {
 }
 # Labelled exemplars as combinations of concepts.
 EXEMPLARS = {
-    "script": "ENABLE SCRIPT; SCRIPT DISABLED; SCRIPT REQUIRE; SCRIPT NOT RUN; SCRIPT NOT SUPPORT; SCRIPT BROWSER NOT; SCRIPT DOWN NOT; SCRIPT PAGE RUN; CHECK BROWSER; BROWSER SCRIPT SUPPORT; ENABLE COOKIE",
+    "script": "ENABLE SCRIPT; SCRIPT DISABLED; SCRIPT REQUIRE; SCRIPT NOT RUN; SCRIPT NOT SUPPORT; SCRIPT BROWSER NOT; SCRIPT DOWN NOT; SCRIPT PAGE RUN; CHECK BROWSER; BROWSER SCRIPT SUPPORT; ENABLE COOKIE; ENABLE SCRIPT RETRY",
     "error": "PAGE NOT FIND; PAGE MISSING; ERROR OCCUR RUN PAGE; REQUEST NOT FIND; REQUEST MISSING; ERROR OCCUR; WRONG; WRONG RETRY; ERROR RETRY; NOT ACCESS; ACCESS DENIED; REQUEST BLOCK; REQUEST DENIED; TRAFFIC UNUSUAL; SESSION EXPIRED; SIGNIN RETRY; SERVER DOWN; PAGE DOWN NOT; PAGE DOWN RETRY; ERROR CONNECT; NOT CONNECT SERVER; ERROR PAGE; ERROR SERVER",
     "filler": "TEXT HERE; TEXT FOLLOW; TEXT FOLLOW WHO; DUMMY TEXT LAYOUT VOID; TODO WRITE; WRITE TEXT; WRITE YOUR TEXT; TEXT YOUR; DUMMY TEXT; DUMMY; SAMPLE TEXT LAYOUT; SAMPLE TEXT HERE; TEXT VOID INTENT; PAGE VOID INTENT; DUMMY TEXT NOT; UNFINISHED; TEXT UNFINISHED; TODO; TEXT YOUR PAGE; WRITE HERE",
 }
@@ -84,7 +85,11 @@ COMMON = set(
     "der die das den dem des dies ein eine einen einem einer es ist sind war wird werden bitte und oder mit für von auf zu zum zur im in an sie wir ich ihr diese dieser dieses diesen um mehr hat haben "
     "le la les l un une des du de d et ou est sont être a été avec pour par sur dans en au aux que qu ce cette ces vous nous votre veuillez plus il y "
     "el los las una unos unas del y o es son ser con para por sobre al que se lo ha han su por_favor favor esta este más ya "
-    "il lo gli di per con su non è si per_favore o os as um uma do da por para com não seu".split()
+    "il lo gli di per con su non è si per_favore o os as um uma do da por para com não seu "
+    "most many per about first once only also very over under between each every no because how what where who into again "
+    "über unter nach vor bei aus durch gegen ohne zwischen jede jeder jedes jeden alle nur auch noch schon sehr aber wie was wo wer danach zuerst dann einmal ab kann damit sonst weil nicht als dass sich "
+    "entre sans sous avant après depuis chaque tous toute toutes mais comme où donc puis qui si seule fois ne pas se "
+    "entre sin hasta desde cada todo todos toda pero como donde luego después antes si sola vez no".split()
 )
 # Words that make a condition of a sentence.
 CONDITIONS = set("if when whenever unless whether wenn falls sobald ob si quand lorsque lorsqu cuando quando".split())
@@ -98,7 +103,6 @@ NAMES = set("foo bar baz qux quux foobar".split())
 ROWS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "qsdfghjklm", "zxcvbnm", "yxcvbnm", "wxcvbn", "1234567890")
 #: Shorter words and passages are no rows of keys and no repetition.
 KEYS, TIMES = 3, 3
-EMPTY: frozenset[str] = frozenset()
 #: Printers' Latin has a word of so many letters, and sentences of so many words have function words in every language of the lexicon.
 PLAIN = 7
 # Syntax of unfilled slots. Those of the first group occur in text by accident hardly ever.
@@ -114,7 +118,8 @@ _WEAK = re.compile("|".join(WEAK_SLOTS))
 
 
 #: Stands for what is only shown: a word of its own, of no concept.
-SHOWN = " shownpart "
+SHOWN_WORD = "shownpart"
+SHOWN = f" {SHOWN_WORD} "
 _CODE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _HTML_CODE = re.compile(r"<(pre|code|script|style)\b[^>]*>.*?</\1>", re.S | re.I)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
@@ -169,42 +174,46 @@ def passage_words(s: str) -> list[str]:
     return WORD.findall(s.lower())
 
 
+#: Each concept's bit.
+BITS = {c: 1 << i for i, c in enumerate(LEXICON)}
+
+
 class Lexicon:
-    """Concepts of words."""
+    """Concepts of words, as sets of bits."""
 
     def __init__(self) -> None:
-        self.whole: dict[str, set[str]] = {}
-        self.stems: dict[str, set[str]] = {}
-        self.joined: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        self.whole: dict[str, int] = {}
+        self.stems: dict[str, int] = {}
+        self.joined: dict[str, list[tuple[tuple[str, ...], int]]] = {}
         for concept, line in LEXICON.items():
             for w in line.split():
                 if "_" in w:
                     parts = tuple(w.split("_"))
-                    self.joined.setdefault(parts[0], []).append((parts, concept))
-                elif w.endswith("*"):
-                    self.stems.setdefault(w[:-1], set()).add(concept)
+                    self.joined.setdefault(parts[0], []).append((parts, BITS[concept]))
                 else:
-                    self.whole.setdefault(w, set()).add(concept)
+                    into = self.stems if w.endswith("*") else self.whole
+                    w = w.rstrip("*")
+                    into[w] = into.get(w, 0) | BITS[concept]
         self.lengths = sorted({len(x) for x in self.stems})
         self.begins = set(self.joined)
-        self.seen: dict[str, frozenset[str]] = {}
+        self.seen: dict[str, int] = {}
 
-    def of(self, w: str) -> frozenset[str]:
+    def of(self, w: str) -> int:
         """The concepts of one word."""
         got = self.seen.get(w)
         if got is None:
-            found = set(self.whole.get(w, ()))
+            got = self.whole.get(w, 0)
             for n in self.lengths:
                 if n > len(w):
                     break
-                found |= self.stems.get(w[:n], set())
+                got |= self.stems.get(w[:n], 0)
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            got = self.seen[w] = frozenset(found)
+            self.seen[w] = got
         return got
 
-    def read(self, words: list[str]) -> list[frozenset[str]]:
-        """The concepts at each place; joined words count where they begin."""
+    def read(self, words: list[str]) -> list[int]:
+        """The concepts at each place; joined words count where they begin and after."""
         seen = self.seen
         out = [seen[w] if w in seen else self.of(w) for w in words]
         if not self.begins.isdisjoint(words):
@@ -212,38 +221,54 @@ class Lexicon:
                 for parts, concept in self.joined.get(w, ()):
                     if tuple(words[i : i + len(parts)]) == parts:
                         for k in range(i, i + len(parts)):
-                            out[k] = out[k] | {concept}
+                            out[k] |= concept
         return out
 
 
+def union(concepts: list[int]) -> int:
+    out = 0
+    for c in concepts:
+        out |= c
+    return out
+
+
 class Exemplars:
     """The labelled exemplars in an inverted index."""
 
     def __init__(self) -> None:
         self.lexicon = Lexicon()
-        self.rows = [(label, frozenset(line.split())) for label, block in EXEMPLARS.items() for line in block.split("; ")]
-        self.vocabulary = {label: frozenset(c for k, cs in self.rows if k == label for c in cs) for label in EXEMPLARS}
+        self.rows = [(label, tuple(line.split())) for label, block in EXEMPLARS.items() for line in block.split("; ")]
+        self.vocabulary = {label: union([BITS[c] for k, cs in self.rows if k == label for c in cs]) for label in EXEMPLARS}
         # The names of HTTP errors are notices wherever they make up a passage.
         self.phrases = {tuple(passage_words(s.phrase)) for s in HTTPStatus if s >= 400}
 
     def index(self, count: Counter, documents: int) -> None:
-        """Weighs the concepts by how rare they are in the corpus and keeps each exemplar under its rarest."""
+        """Weighs the concepts by how rare they are in the corpus and keeps each exemplar under its rarest, as the smallest parts of it that weigh enough."""
         self.idf = {c: math.log((documents + 1) / (count[c] + 0.5)) + 0.1 for c in LEXICON}
-        self.where: dict[str, list[tuple[str, frozenset[str], float]]] = {}
+        self.where: dict[int, list[tuple[str, int]]] = {}
         for label, cs in self.rows:
-            self.where.setdefault(max(sorted(cs), key=self.idf.__getitem__), []).append((label, cs, sum(self.idf[c] for c in cs)))
-        self.rarest = set(self.where)
-
-    def label(self, words: list[str], concepts: list[frozenset[str]]) -> str | None:
-        """The label of the exemplar that a window holds and mostly consists of."""
-        here = EMPTY.union(*concepts)
-        hits = [x for c in self.rarest & here for x in self.where[c] if sum(self.idf[y] for y in x[1] & here) >= CONTAINED * x[2]]
+            total = sum(self.idf[c] for c in cs)
+            falling = sorted(cs, key=lambda c: (-self.idf[c], c))
+            enough: list[tuple[str, ...]] = []
+            for n in range(1, len(cs) + 1):
+                for part in combinations(falling, n):
+                    if sum(self.idf[c] for c in part) >= CONTAINED * total and not any(set(e) <= set(part) for e in enough):
+                        enough.append(part)
+            for part in enough:
+                self.where.setdefault(BITS[part[0]], []).append((label, union([BITS[c] for c in part])))
+        self.rarest = union(list(self.where))
+
+    def label(self, words: list[str], concepts: list[int], here: int, sentences: int = 1) -> str | None:
+        """The label of the exemplar that a window, with the concepts ``here``, holds and mostly consists of."""
+        if not here & self.rarest:
+            return None
+        hits = [label for c, rows in self.where.items() if here & c for label, cs in rows if here & cs == cs]
         if not hits or not CONDITIONS.isdisjoint(words):
             return None
-        for label in dict.fromkeys(h[0] for h in hits):
+        for label in dict.fromkeys(hits):
             known = self.vocabulary[label]
-            own = [not known.isdisjoint(c) for w, c in zip(words, concepts) if not known.isdisjoint(c) or w not in COMMON and not w.isdigit() and len(w) > 1]
-            if sum(own) >= COVERED * len(own):
+            own = [c & known != 0 for w, c in zip(words, concepts) if c & known or w not in COMMON and not w.isdigit() and len(w) > 1]
+            if sum(own) >= COVERED[sentences - 1] * len(own):
                 return label
         return None
 
@@ -252,24 +277,24 @@ def is_row_of_keys(w: str) -> bool:
     return len(w) >= KEYS and any(w in r or w[::-1] in r for r in ROWS)
 
 
-def without_meaning(words: list[str]) -> bool:
-    """Printers' Latin, one word over and over, rows of keys, names for nothing, and sentences without a single function word of any language."""
+def without_meaning(words: list[str], whole: bool = True) -> bool:
+    """Printers' Latin, one word over and over, rows of keys, names for nothing, and, of ``whole`` sentences, those without a single function word of any language."""
     n = len(words)
     if n < TIMES:
         return False
     function = sum(map(FUNCTION.__contains__, words))
-    if "lorem" in words and "ipsum" in words and function <= 0.1 * n:
-        return True
     if function > 0.2 * n:
         return False
-    latin = sum(w in LATIN for w in words)
+    if "lorem" in words and "ipsum" in words and function <= 0.1 * n:
+        return True
+    latin = sum(map(LATIN.__contains__, words))
     if n >= 2 * TIMES and latin >= 0.8 * n or latin == n and max(map(len, words)) >= PLAIN:
         return True
-    if n >= PLAIN and not function and all(w.isalpha() and len(w) > 3 for w in words):
+    if whole and n >= PLAIN and not function and all(w.isalpha() and len(w) > 3 and w != SHOWN_WORD for w in words):
         return True
     if len(set(words)) * TIMES <= n and all(w.isalpha() and w not in COMMON for w in words):
         return True
-    return all(is_row_of_keys(w) and not w.isdigit() for w in words) or len(NAMES.intersection(words)) >= TIMES and all(w in NAMES for w in words)
+    return all(is_row_of_keys(w) and not w.isdigit() for w in words) or all(w in NAMES for w in words) and len(NAMES.intersection(words)) >= TIMES
 
 
 def _has_slot(text: str) -> bool:
@@ -285,20 +310,26 @@ def match(ex: Exemplars, text: str | None) -> str | None:
     if _has_slot(t):
         return "slot"
     for lines in paragraphs(t):
-        for sentences in passages(lines):
-            read = [ex.lexicon.read(w) for w in sentences]
-            for i, (w, c) in enumerate(zip(sentences, read)):
-                if without_meaning(w):
+        for nth, sentences in enumerate(passages(lines)):
+            # The lines of a paragraph may be parts of sentences.
+            whole = nth == 0
+            last: tuple[list[str], list[int], int] | None = None
+            for w in sentences:
+                c = ex.lexicon.read(w)
+                here = union(c)
+                if without_meaning(w, whole):
                     return "filler"
-                core = tuple(x for x in w if not x.isdigit() and x not in ("error", "http", "status", "code"))
-                if core in ex.phrases and (len(w) > 1 or len(sentences) == 1 and not lines[0].lstrip().startswith("#")):
-                    return "error"
-                found = ex.label(w, c)
-                if found is None and i:
-                    both = sentences[i - 1] + w
-                    found = "filler" if without_meaning(both) else ex.label(both, read[i - 1] + c)
+                if len(w) <= 8:
+                    core = tuple(x for x in w if not x.isdigit() and x not in ("error", "http", "status", "code"))
+                    if core in ex.phrases and (len(w) > 1 or len(sentences) == 1 and not lines[0].lstrip().startswith("#")):
+                        return "error"
+                found = ex.label(w, c, here)
+                if found is None and last:
+                    both = last[0] + w
+                    found = "filler" if without_meaning(both, whole) else ex.label(both, last[1] + c, last[2] | here, 2)
                 if found:
                     return found
+                last = (w, c, here)
     return None
 
 
@@ -318,7 +349,8 @@ def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
             for t in b.column(0).to_pylist():
                 n += 1
                 if t:
-                    count.update(frozenset().union(*map(ex.lexicon.of, set(passage_words(t)))))
+                    here = union(list(map(ex.lexicon.of, set(passage_words(t)))))
+                    count.update(c for c, bit in BITS.items() if here & bit)
         names = [("", n), *count.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], type=pa.string()), pa.array([c for _, c in names], type=pa.int64())], names=["feature", "n"])
 
