@@ -113,8 +113,9 @@ SLOTS = [
 ]
 # The second group has other uses; there the name must look like a variable.
 WEAK_SLOTS = [r"(?<![\w{$#%/=])\{[a-z]+(?:_[a-z]+)*\}(?![\w}/])", r"«[a-z]+(?:_[a-z]+)*»"]
-_SLOT = re.compile("|".join(SLOTS))
-_WEAK = re.compile("|".join(WEAK_SLOTS))
+#: Each pattern with a text that any match of it holds, which is looked for first.
+_BEGINS = ("{{", "{%", "${", "#{", "<%", "<?", "%(", "*|", "%%", "@@", "[[", "__", "$", "[", "[", "<", " goes here>", "[TB", "<")
+_SLOTS = [*((begin, re.compile(p)) for begin, p in zip(_BEGINS, SLOTS, strict=True)), *((begin, re.compile(p)) for begin, p in zip("{«", WEAK_SLOTS, strict=True))]
 
 
 #: Stands for what is only shown: a word of its own, of no concept.
@@ -299,7 +300,7 @@ def without_meaning(words: list[str], whole: bool = True) -> bool:
 
 def _has_slot(text: str) -> bool:
     plain = html.unescape(text) if "&" in text else text
-    return bool(_SLOT.search(plain) or _WEAK.search(plain))
+    return any(begin in plain and p.search(plain) for begin, p in _SLOTS)
 
 
 def match(ex: Exemplars, text: str | None) -> str | None:
