@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.best import RunningBest
 from ..functions.layout import spread
 
 #: Queries are compared in blocks of so many; every block is a pass over the vectors.
@@ -24,18 +25,20 @@ def _search(vectors: DataFrame, key: str, vector: str, ids: list, matrix: np.nda
     unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
     kind = pa.array(ids, type=to_arrow_type(schema[query_key].dataType))
 
+    key_kind = to_arrow_type(schema[key].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = RunningBest(len(kind), k, key_kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = unit @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
-                m = min(k, s.shape[1])
-                # All that tie with the k-th stay in: the order of ties is settled in the end.
-                least = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-                i, j = np.nonzero(s >= least)
-                yield pa.RecordBatch.from_arrays([kind.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], names=schema.names)
+                s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ unit.T
+                best.offer(b.column(0), s, s)
+        t = best.result()
+        if t is not None:
+            yield pa.RecordBatch.from_arrays([kind.take(t.column("query").combine_chunks()), t.column("key").combine_chunks(), t.column("score").combine_chunks()], names=schema.names)
 
     usable = (F.size(vector) == dims) & ~F.exists(vector, lambda e: e.isNull())
     return vectors.where(usable).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, schema)
