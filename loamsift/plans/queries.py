@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vectors import hash_embedding
 from ..operators import answers as A
 from ..operators import bm25, chunking, dedup, dense, fusion, index, metrics, rerank
 from ..sources import golden
@@ -198,23 +197,75 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.col("raw_content")).alias("text"))
 
 
-@query()
+# Blanks as str.strip sees them in these tables, and the texts of the files.
+BLANKS = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+FILES = "files AS (SELECT doc_id, any_value(CASE WHEN coalesce(clean_text, '') = '' THEN raw_content ELSE clean_text END) AS text FROM source_files GROUP BY 1)"
+
+
+def heading_sql(prefix: str) -> str:
+    """SQL for the last heading among the lines of a text's beginning."""
+    line = f"trim(l, {BLANKS})"
+    return rf"coalesce(list_last(list_transform(list_filter(string_split({prefix}, chr(10)), lambda l: regexp_matches({line}, '^#{{1,6}}\s+.+$')), lambda l: trim(regexp_extract({line}, '^#{{1,6}}\s+(.+)$', 1), {BLANKS}))), 'Introduction')"
+
+
+def _last_of(separator: str, size: int) -> str:
+    """SQL for where the last ``separator`` of the window w begins, if beyond its half."""
+    before = f"length(regexp_extract(w, '(?s)^(.*){separator}', 1))"
+    return f"WHEN regexp_matches(w, '(?s)^.*{separator}') AND {before} > {size / 2} THEN start + {before} + {2 if separator != ' ' and separator != chr(92) + 'n' else 1}"
+
+
+_CUTS = " ".join(_last_of(x, 500) for x in ("\\n\\n", "\\n", "\\. ", "! ", "\\? ", " "))
+
+
+@query(f"""WITH RECURSIVE {FILES}, t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), {BLANKS}) AS t FROM files WHERE length(text) > 0),
+step AS (SELECT doc_id, t, 0 AS start, substr(t, 1, 500) AS w FROM t WHERE length(t) > 0 UNION ALL
+  SELECT doc_id, t, stop - 50, substr(t, stop - 49, 500) FROM (SELECT *, CASE WHEN start + 500 >= length(t) THEN length(t) {_CUTS} ELSE start + 500 END AS stop FROM step) WHERE stop < length(t)),
+cut AS (SELECT *, CASE WHEN start + 500 >= length(t) THEN length(t) {_CUTS} ELSE start + 500 END AS stop FROM step),
+body AS (SELECT doc_id, t, start, trim(substr(t, start + 1, stop - start), {BLANKS}) AS content FROM cut),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS i FROM body WHERE length(content) >= 50)
+SELECT doc_id || '::chunk::' || i AS chunk_id, doc_id, i::INTEGER AS chunk_index, {heading_sql('left(t, start)')} AS section_heading, length(content)::INTEGER AS char_count, start::INTEGER AS char_offset, NULL::INTEGER AS num_sentences, 'fixed' AS chunking_strategy, content FROM n""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(_files(spark, sf_dir), "doc_id", "text", chunking.ChunkingConfig())
 
 
-@query()
+@query(rf"""WITH RECURSIVE {FILES}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM files WHERE length(text) > 0),
+h AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\s+.+$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l),
+s AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY pos) AS t, CASE WHEN section > 0 THEN trim(regexp_extract(arg_min(line, pos), '^#{{1,6}}\s+(.+)$', 1), {BLANKS}) ELSE 'Introduction' END AS heading FROM h GROUP BY 1, 2),
+b AS (SELECT *, list_transform(string_split(t, chr(10) || chr(10)), lambda x: length(x)) AS parts FROM s WHERE trim(t, {BLANKS}) <> ''),
+c AS (SELECT doc_id, section, heading, t, list_transform(range(1, len(parts)), lambda k: list_sum(parts[1:k]) + 2 * (k - 1)) AS breaks FROM b),
+step AS (SELECT *, 0 AS start FROM c UNION ALL SELECT doc_id, section, heading, t, breaks, k - 23 FROM (
+  SELECT *, CASE WHEN coalesce(m, start + 500) - start < 250 THEN start + 500 ELSE coalesce(m, start + 500) END AS k FROM (SELECT *, list_max(list_filter(breaks, lambda x: x <= start + 500 AND x > start)) AS m FROM step WHERE length(t) - start > 500)) WHERE k - 23 < length(t)),
+cut AS (SELECT *, CASE WHEN length(t) - start <= 500 THEN length(t) WHEN coalesce(m, start + 500) - start < 250 THEN start + 500 ELSE coalesce(m, start + 500) END AS k FROM (SELECT *, list_max(list_filter(breaks, lambda x: x <= start + 500 AND x > start)) AS m FROM step)),
+piece AS (SELECT doc_id, section, start, heading, substr(t, start + 1, (k - start)::BIGINT) AS content FROM cut),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, start) - 1 AS i FROM piece WHERE length(content) >= 50 AND trim(content, {BLANKS}) <> '')
+SELECT doc_id || '::chunk::' || i AS chunk_id, doc_id, i::INTEGER AS chunk_index, heading AS section_heading, length(content)::INTEGER AS char_count, NULL::INTEGER AS char_offset, NULL::INTEGER AS num_sentences, 'recursive' AS chunking_strategy, content FROM n""")
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(_files(spark, sf_dir), "doc_id", "text", chunking.ChunkingConfig(strategy="recursive"))
 
 
-def _embed(texts: list[str]) -> list[list[float]]:
-    return [hash_embedding(t, 64) for t in texts]
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """How often each letter stands in a text: vectors that SQL can make, too."""
+    return [[float(t.lower().count(c)) for c in LETTERS] for t in texts]
 
 
-@query()
+@query(rf"""WITH RECURSIVE {FILES}, p AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?]+[.!?]*') AS p, length(regexp_extract(text, '^[.!?]*')) AS lead FROM files WHERE length(text) > 0),
+q AS (SELECT doc_id, text, p, list_transform(range(1, len(p) + 1), lambda i: lead + coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0)) AS pos FROM p),
+u AS (SELECT doc_id, text, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x, unnest(pos) AS pos, unnest(list_concat(p[2:], [NULL])) AS y FROM q),
+s AS (SELECT doc_id, text, pos, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, trim(CASE WHEN y IS NULL OR regexp_matches(y, '^\s') THEN x ELSE regexp_replace(x, '[.!?]+$', '') END, {BLANKS}) AS s FROM u WHERE trim(CASE WHEN y IS NULL OR regexp_matches(y, '^\s') THEN x ELSE regexp_replace(x, '[.!?]+$', '') END, {BLANKS}) <> ''),
+v AS (SELECT *, list_transform(string_split('{' '.join(LETTERS)}', ' '), lambda c: (length(s) - length(replace(lower(s), c, '')))::DOUBLE) AS v FROM s),
+w AS (SELECT doc_id, i, 1 AS g, v AS total, length(s) AS chars FROM v WHERE i = 1 UNION ALL
+  SELECT v.doc_id, v.i, w.g + n::INTEGER, CASE WHEN n THEN v.v ELSE list_transform(range(1, 27), lambda k: w.total[k] + v.v[k]) END, CASE WHEN n THEN length(v.s) ELSE w.chars + 1 + length(v.s) END
+  FROM (SELECT w.*, CASE WHEN list_dot_product(w.total, w.total) * list_dot_product(v.v, v.v) = 0 THEN 0 ELSE list_dot_product(w.total, v.v) / sqrt(list_dot_product(w.total, w.total) * list_dot_product(v.v, v.v)) END < 0.8 AND w.chars >= 50 AS n, v.i AS j FROM w JOIN v ON v.doc_id = w.doc_id AND v.i = w.i + 1) w JOIN v ON v.doc_id = w.doc_id AND v.i = w.j),
+g AS (SELECT v.doc_id, g, min(v.i) AS i, string_agg(s, ' ' ORDER BY v.i) AS t, count(*) AS n, any_value(text) AS text, arg_min(pos, v.i) AS pos FROM w JOIN v ON v.doc_id = w.doc_id AND v.i = w.i GROUP BY 1, 2),
+m AS (SELECT *, sum(CASE WHEN length(t) >= 50 OR g = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY g) - 1 AS k FROM g),
+c AS (SELECT doc_id, k, trim(string_agg(t, ' ' ORDER BY g), {BLANKS}) AS content, sum(n) AS n, any_value(text) AS text, arg_min(pos, g) AS pos FROM m GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM c WHERE length(content) >= 50)
+SELECT doc_id || '::chunk::' || i AS chunk_id, doc_id, k::INTEGER AS chunk_index, {heading_sql('left(text, pos::BIGINT)')} AS section_heading, length(content)::INTEGER AS char_count, NULL::INTEGER AS char_offset, n::INTEGER AS num_sentences, 'semantic' AS chunking_strategy, content FROM r""")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(_files(spark, sf_dir), "doc_id", "text", chunking.ChunkingConfig(strategy="semantic"), _embed)
+    return chunking.chunk(_files(spark, sf_dir), "doc_id", "text", chunking.ChunkingConfig(strategy="semantic"), letter_counts)
 
 
 @query(r"""WITH f AS (SELECT DISTINCT doc_id, CASE WHEN coalesce(clean_text, '') = '' THEN raw_content ELSE clean_text END AS text FROM source_files),
@@ -254,7 +305,9 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.extractive(bm25.topk(d, "doc_id", "text", q, "query_id", "question", 1).join(d.select("doc_id", "text"), "doc_id"), q, "query_id", "text")
 
 
-@query()
+@query(f"""WITH {C}, {bm25_sql("c", "chunk_id", "content")},
+b AS (SELECT query_id, rank, '<context id="' || rank || '">' || chr(10) || 'Reference ' || rank || '. ([Source: ' || coalesce(source_file, 'unknown') || ']' || CASE WHEN length(section_heading) > 0 THEN ' | heading: ' || section_heading ELSE '' END || ')' || chr(10) || trim(coalesce(content, ''), ' ') || chr(10) || '</context>' AS block FROM s JOIN c ON chunk_id = k WHERE rank <= 3)
+SELECT query_id, '{A.INTRO}' || chr(10) || chr(10) || coalesce((SELECT string_agg(block, chr(10) ORDER BY rank) FROM b WHERE b.query_id = q.query_id), '{A.NO_CONTEXT}') AS context FROM q""")
 def grounded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
     ranked = bm25.topk(c, "chunk_id", "content", q, "query_id", "question", 3).join(c.select("chunk_id", "content", "source_file", "section_heading"), "chunk_id")
