@@ -42,16 +42,6 @@ def hash_embedding(text: str, dims: int) -> list[float]:
     return (v / np.linalg.norm(v)).tolist()
 
 
-def mock_embedding(text: str | Column, dims: int = 384) -> Column:
-    """Embeds a text column with ``hash_embedding``; NULL stays NULL."""
-
-    @F.pandas_udf("array<double>")
-    def run(t: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else hash_embedding(x, dims) for x in t], dtype=object)
-
-    return run(text)
-
-
 class Embedder:
     """An embedding backend: ``embed`` takes a list of texts. ``name`` is mock, local or remote."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import confidence_tokens, gap_tokens, sentences
 
 INTRO = "The numbered blocks below are the reference context. Cite a block by its number in brackets."
+# Fixed value: what stands for an empty context.
 NO_CONTEXT = "(No context provided.)"
 SYSTEM = "Answer from the context only, and say so where it does not hold the answer."
 FORMAT = "Cite the blocks that support each statement, as in [1]."
@@ -38,21 +42,24 @@ def messages(ranked: DataFrame, queries: DataFrame, query_key: str, query: str,
 
 
 def generate(rows: DataFrame, messages_column: str, respond: Callable[[list[dict]], str] | None) -> DataFrame:
-    """Adds ``answer`` and ``error``: what ``respond`` makes of the messages; an exception becomes the row's error."""
+    """Adds ``answer``, ``error`` and ``latency_ms``: what ``respond`` makes of the messages and how long it took; an exception becomes the row's error."""
     if respond is None:
         raise RuntimeError("no generator configured")
 
-    @F.pandas_udf("answer string, error string")
+    @F.pandas_udf("answer string, error string, latency_ms double")
     def run(m: pd.Series) -> pd.DataFrame:
         out = []
         for x in m:
+            began = time.perf_counter()
             try:
-                out.append((respond([dict(role=y["role"], content=y["content"]) for y in x]), None))
+                got, error = respond([dict(role=y["role"], content=y["content"]) for y in x]), None
             except Exception as e:
-                out.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["answer", "error"])
+                got, error = None, f"{type(e).__name__}: {e}"
+            out.append((got, error, (time.perf_counter() - began) * 1000))
+        return pd.DataFrame(out, columns=["answer", "error", "latency_ms"])
 
-    return rows.withColumn("r__", run(messages_column)).withColumn("answer", F.col("r__.answer")).withColumn("error", F.col("r__.error")).drop("r__")
+    r = rows.withColumn("r__", run(messages_column))
+    return r.withColumns({c: F.col(f"r__.{c}") for c in ("answer", "error", "latency_ms")}).drop("r__")
 
 
 def extractive(ranked: DataFrame, queries: DataFrame, query_key: str, content: str, most: int = 120) -> DataFrame:
@@ -111,6 +118,24 @@ def completeness(question: str, answer: str) -> Column:
     return F.when(F.coalesce(F.trim(answer), F.lit("")) == "", 0.0).when(gave_up, 0.1).when(F.size(q) <= 0, 1.0).otherwise(share)
 
 
+def completeness_judged(question: str, answer: str, judge: Callable[[str], str]) -> Column:
+    """A judge's score for how completely the answer deals with the question: the ``score`` of the JSON object in its reply, between 0 and 1; 0 where there is none or the judge fails."""
+    prompt = F.concat(F.lit("Does the answer deal with every part of the question? Reply with a JSON object with a score from 0.0 to 1.0 and a short reason.\n\nQuestion: "), F.coalesce(question, F.lit("")), F.lit("\n\nAnswer: "), F.coalesce(answer, F.lit("")))
+
+    @F.pandas_udf("double")
+    def run(p: pd.Series) -> pd.Series:
+        out = []
+        for x in p:
+            try:
+                m = re.search(r"\{.*\}", judge(x) or "", re.S)
+                out.append(min(1.0, max(0.0, float(json.loads(m[0]).get("score", 0.0)))) if m else 0.0)
+            except Exception:
+                out.append(0.0)
+        return pd.Series(out, dtype=float)
+
+    return run(prompt)
+
+
 def chunk_score() -> Column:
     """The score that counts for confidence: rerank, else fused, else dense; the sparse one never."""
     return F.coalesce("rerank_score", "rrf_score", "dense_score")

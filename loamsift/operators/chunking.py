@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.layout import spread
 
+# Fixed value: what is a heading.
 _HEADING = re.compile(r"^#{1,6}\s+(.+)$")
 
 
@@ -129,6 +130,7 @@ def recursive(text: str, c: ChunkingConfig) -> list[tuple]:
     return out
 
 
+# Fixed value: what is a sentence.
 _SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+(?=\s|$))?")
 
 
@@ -168,8 +170,8 @@ def semantic(text: str, c: ChunkingConfig, embed: Callable[[list[str]], list]) -
 STRATEGIES = ("fixed", "recursive", "semantic")
 
 
-def chunk(docs: DataFrame, key: str, text: str, config: ChunkingConfig, embed: Callable[[list[str]], list] | None = None) -> DataFrame:
-    """A row per chunk: chunk_id, key, chunk_index, section_heading, char_count, char_offset, num_sentences, chunking_strategy, content.
+def chunk(docs: DataFrame, key: str, text: str, config: ChunkingConfig, embed: Callable[[list[str]], list] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per chunk: chunk_id, key, chunk_index, section_heading, char_count, char_offset, num_sentences, chunking_strategy, content, and the columns of the document named in ``carry``.
 
     ``chunk_id`` numbers the chunks that come out; ``chunk_index`` of semantic chunks counts groups, so it may have gaps. NULL and empty texts have no chunks.
     """
@@ -181,19 +183,22 @@ def chunk(docs: DataFrame, key: str, text: str, config: ChunkingConfig, embed: C
     schema = T.StructType(
         [T.StructField("chunk_id", T.StringType()), T.StructField(key, docs.schema[key].dataType), T.StructField("chunk_index", T.IntegerType()), T.StructField("section_heading", T.StringType()), T.StructField("char_count", T.IntegerType())]
         + [T.StructField("char_offset", T.IntegerType()), T.StructField("num_sentences", T.IntegerType()), T.StructField("chunking_strategy", T.StringType()), T.StructField("content", T.StringType())]
+        + [docs.schema[c] for c in carry]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 b = batch.slice(at, 200)
-                rows = []
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows, of = [], []
+                for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                     if t:
                         found = semantic(t, config, embed) if config.strategy == "semantic" else (fixed if config.strategy == "fixed" else recursive)(t, config)
-                        rows += [(f"{k}::chunk::{i}", k, x[1], x[4], len(x[0]), x[2], x[3], config.strategy, x[0]) for i, x in enumerate(found)]
-                cols = list(zip(*rows)) if rows else [[]] * len(schema.fields)
+                        rows += [(f"{k}::chunk::{n}", k, x[1], x[4], len(x[0]), x[2], x[3], config.strategy, x[0]) for n, x in enumerate(found)]
+                        of += [i] * len(found)
+                cols = list(zip(*rows)) if rows else [[]] * 9
                 kinds = [pa.string(), b.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=schema.names)
+                more = [b.column(2 + c).take(pa.array(of, type=pa.int64())) for c in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, type=t) for c, t in zip(cols, kinds)), *more], names=schema.names)
 
-    return spread(docs.where(F.length(text) > 0).select(key, text)).mapInArrow(run, schema)
+    return spread(docs.where(F.length(text) > 0).select(key, text, *carry)).mapInArrow(run, schema)

@@ -40,19 +40,39 @@ def sync_status(dense: DataFrame, sparse: DataFrame, key: str) -> DataFrame:
     return d.crossJoin(s).select("dense_count", "sparse_count", (F.col("dense_count") == F.col("sparse_count")).alias("in_sync"))
 
 
+def count(store: DataFrame, key: str = "chunk_id") -> int:
+    """How many chunks the store holds."""
+    return store.select(key).distinct().count()
+
+
 class ChunkStore:
-    """Chunks as Parquet parts below a folder. What is derived from them (postings, statistics) is recomputed, so it can't fall out of step."""
+    """Chunks as Parquet parts below a folder. What is derived from them is rebuilt, so it can't fall out of step.
+
+    The rows are in the folder of the newest version that was written to its end. Deleting writes the next version and then removes the old ones, so that a crash leaves one or the other.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
-        self.spark, self.path, self.schema = spark, f"{path.rstrip('/')}/chunks", schema
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _fs(self):
+        return self._path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, p: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+
+    def _versions(self) -> list[int]:
+        """The versions that are there, ascending; those that weren't written to the end are left out."""
+        fs = self._fs()
+        there = fs.globStatus(self._path(f"{self.path}/chunks-*")) or []
+        names = [(int(s.getPath().getName()[7:]), s.getPath()) for s in there]
+        return sorted(n for n, p in names if fs.exists(self._path(f"{p.toString()}/_SUCCESS")))
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/chunks-{version}"
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], self.schema)
-            raise
+        v = self._versions()
+        return self.spark.read.schema(self.schema).parquet(self._folder(v[-1])) if v else self.spark.createDataFrame([], self.schema)
 
     def add(self, new: DataFrame, key: str = "chunk_id") -> int:
         """Appends the rows with new keys; their number."""
@@ -60,30 +80,22 @@ class ChunkStore:
         try:
             n = rows.count()
             if n:
-                rows.write.mode("append").parquet(self.path)
+                rows.write.mode("append").parquet(self._folder((self._versions() or [0])[-1]))
             return n
         finally:
             rows.unpersist()
 
     def delete(self, doc_id: str) -> int:
-        """Removes a document's rows; their number. The rest is written beside the old files and takes their place."""
+        """Removes a document's rows; their number."""
         old = self.read()
         n = old.where(F.col("doc_id") == doc_id).count()
         if n:
-            kept = f"{self.path}-kept"
-            delete_document(old, doc_id).write.mode("overwrite").parquet(kept)
-            self._replace(kept)
+            before = self._versions()
+            delete_document(old, doc_id).write.mode("overwrite").parquet(self._folder(before[-1] + 1))
+            for v in before:
+                self._fs().delete(self._path(self._folder(v)), True)
         return n
 
     def reset(self) -> None:
-        self._fs().delete(self._path(self.path), True)
-
-    def _path(self, p: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-
-    def _fs(self):
-        return self._path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _replace(self, kept: str) -> None:
-        self._fs().delete(self._path(self.path), True)
-        self._fs().rename(self._path(kept), self._path(self.path))
+        for s in self._fs().globStatus(self._path(f"{self.path}/chunks-*")) or []:
+            self._fs().delete(s.getPath(), True)

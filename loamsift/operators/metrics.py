@@ -74,14 +74,44 @@ def parse_judge(raw: str | None, claims: int | None = None, default: float = 0.0
     return min(1.0, max(0.0, float(m[0]))) if m else default
 
 
-def judged(prompt: str, judge: Callable[[str], str], default: float, claims: str | None = None) -> Column:
-    """The judge's score for a prompt column; ``claims`` names a column with the number of claims."""
+def judged(prompt: Column, judge: Callable[[str], str], default: float, claims: Column | None = None) -> Column:
+    """The judge's score for a prompt; ``claims`` is the number of claims that its reply may list. A judge that fails gives the default."""
 
     @F.pandas_udf("double")
     def run(p: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([parse_judge(judge(x), None if pd.isna(k) else int(k), default) for x, k in zip(p, n)], dtype=float)
+        out = []
+        for x, k in zip(p, n):
+            try:
+                reply = judge(x)
+            except Exception:
+                reply = None
+            out.append(parse_judge(reply, None if pd.isna(k) else int(k), default))
+        return pd.Series(out, dtype=float)
 
-    return run(prompt, F.col(claims) if claims else F.lit(None).cast("int"))
+    return run(prompt, claims if claims is not None else F.lit(None).cast("int"))
+
+
+_ONLY = "Reply with a number between 0.0 and 1.0 and nothing else."
+
+
+def _prompt(task: str, **parts: Column | str) -> Column:
+    """A prompt of a task, named parts and the form of the reply."""
+    text = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.concat(F.lit(task), *(x for name, c in parts.items() for x in (F.lit(f"\n\n{name}:\n"), text(c))), F.lit(f"\n\n{_ONLY}"))
+
+
+def judge_scores(question: str, golden: str, answer: str, context: str, judge: Callable[[str], str]) -> dict[str, Column]:
+    """The three metrics that a judge can give; ``context`` holds the first five chunks. Replies that can't be read count a half, for faithfulness nothing; an answer
+    without a sentence is faithful, and no context is not relevant."""
+    claims = F.size(sentences(F.coalesce(F.col(answer), F.lit(""))))
+    right = _prompt("Grade how well an answer agrees with the expected answer: 1.0 if it is right and complete, 0.0 if it is wrong.", Question=question, Expected=golden, Answer=answer)
+    faithful = _prompt("Grade how far the context supports the statements of an answer: 1.0 if it supports all of them, 0.0 if none.", Context=context, Answer=answer)
+    relevant = _prompt("Grade how far passages bear on a question: 1.0 if all of them do, 0.0 if none.", Question=question, Passages=context)
+    return {
+        "correctness": judged(right, judge, 0.5),
+        "faithfulness": F.when(claims == 0, 1.0).otherwise(judged(faithful, judge, 0.0, claims)),
+        "retrieval_relevance": F.when(F.coalesce(F.col(context), F.lit("")) == "", 0.0).otherwise(judged(relevant, judge, 0.5)),
+    }
 
 
 def long_scores(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,3 +170,31 @@ def report_json(rep: DataFrame) -> DataFrame:
     """One JSON document per strategy with its rows of the report."""
     row = F.struct("category", "metric", "mean", "median", "min", "max", "n")
     return rep.groupBy("strategy").agg(F.to_json(F.struct("strategy", F.sort_array(F.collect_list(row)).alias("scores"))).alias("json"))
+
+
+def comparison(means: DataFrame) -> DataFrame:
+    """(winner, winner_average, runner_up, runner_up_average, summary): the best strategy over all metrics, the second, and in words by how much it leads in correctness and faithfulness.
+
+    A lead is relative; over 0 it is the winner's own score. A single strategy is its own runner-up.
+    """
+    place = overall(means)
+    one = place.where("place = 1").select(F.col("strategy").alias("winner"), F.col("average").alias("winner_average"))
+    two = place.where("place = 2").select(F.col("strategy").alias("runner_up"), F.col("average").alias("runner_up_average"))
+    top = one.join(two, F.lit(True), "left").withColumn("runner_up_average", F.coalesce("runner_up_average", "winner_average")).withColumn("runner_up", F.coalesce("runner_up", "winner"))
+    score = means.where(F.col("metric").isin("correctness", "faithfulness"))
+    of = lambda who: score.select(F.col("strategy").alias(who), "metric", F.col("mean").alias(f"{who}_mean"))
+    each = top.join(of("winner"), "winner").join(of("runner_up"), ["runner_up", "metric"]).where("winner_mean > runner_up_mean")
+    lead = F.when(F.col("runner_up_mean") > 0, (F.col("winner_mean") - F.col("runner_up_mean")) / F.col("runner_up_mean")).otherwise(F.col("winner_mean")) * 100
+    # format_number puts commas into large numbers; leads are small.
+    gains = each.groupBy("winner").agg(F.array_join(F.sort_array(F.collect_list(F.concat("metric", F.lit(" by "), F.format_number(lead, 1), F.lit(" %")))), " and ").alias("gains"))
+    two_digits = lambda c: F.format_number(c, 2)
+    text = F.concat("winner", F.when(F.col("gains").isNotNull(), F.concat(F.lit(" leads "), "runner_up", F.lit(" in "), "gains")).otherwise(F.concat(F.lit(" leads "), "runner_up", F.lit(" on average"))), F.lit(": "), two_digits("winner_average"), F.lit(" to "), two_digits("runner_up_average"))
+    return top.join(gains, "winner", "left").select("winner", "winner_average", "runner_up", "runner_up_average", text.alias("summary"))
+
+
+def comparison_json(rep: DataFrame) -> DataFrame:
+    """One JSON document with every strategy's rows of the report, the winner and the text."""
+    row = F.struct("strategy", F.coalesce("category", F.lit("all")).alias("category"), "metric", "mean", "median", "min", "max", "n")
+    rows = rep.agg(F.sort_array(F.collect_list(row)).alias("scores"))
+    top = comparison(rep.where(F.col("category").isNull()).select("strategy", "metric", "mean"))
+    return top.join(rows, F.lit(True)).select(F.to_json(F.struct("winner", "summary", "scores")).alias("json"))

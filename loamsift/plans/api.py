@@ -13,6 +13,7 @@ from ..functions.vectors import Embedder
 from ..operators import answers as A
 from ..operators import bm25, dedup, dense, fusion, index, metrics, rerank
 from ..operators.chunking import ChunkingConfig, chunk
+from ..sources.golden import select as select_questions
 
 MODES = ("hybrid", "dense", "sparse")
 
@@ -25,8 +26,7 @@ def mode_of(mode: str | None) -> str:
 def index_documents(docs: DataFrame, config: ChunkingConfig, embedder: Embedder) -> DataFrame:
     """Chunks with their embeddings."""
     docs = docs.withColumn("text__", F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.nullif(F.col("raw_content"), F.lit("")), F.array_join(F.transform("sections", lambda s: s["content"]), "\n")))
-    c = chunk(docs, "doc_id", "text__", config, embedder.embed)
-    return c.join(docs.select("doc_id", "source_file"), "doc_id").withColumn("embedding", embedder.column("content"))
+    return chunk(docs, "doc_id", "text__", config, embedder.embed, ("source_file",)).withColumn("embedding", embedder.column("content"))
 
 
 def ingest(new: DataFrame, store: DataFrame, dims: int, threshold: float = 0.95, deduplicate: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -90,21 +90,33 @@ def ask(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int
     return row.select("query_id", "question", F.lit(mode).alias("mode"), "can_answer", F.when(F.col("can_answer"), F.col("answer")).alias("answer"), "confidence", "retrieval", "citation", "completeness", "found", "gaps", "candidates", F.when(~F.col("can_answer"), A.summary("found", "gaps")).alias("summary"), "error")
 
 
-def evaluate(chunks: DataFrame, golden: DataFrame, embedder: Embedder, strategy: str, top_k: int = 5, respond: Callable | None = None) -> DataFrame:
-    """A row per golden question with its answer and the four metrics."""
-    q = golden.select(F.col("id").alias("query_id"), "question", "category", F.col("answer").alias("golden_answer"), "source_sections").dropDuplicates(["query_id"]).withColumn("vector", embedder.column("question"))
+def evaluate(chunks: DataFrame, golden: DataFrame, embedder: Embedder, strategy: str, top_k: int = 5, respond: Callable | None = None, judge: Callable[[str], str] | None = None, citation_judge: Callable[[str, str], str] | None = None, category: str | None = None) -> DataFrame:
+    """A row per golden question, of one category if asked for, with its answer, the four metrics, and how long the answer took.
+
+    With a ``judge`` it gives the first three metrics; without one they are lexical. Citations are verified where there is a ``citation_judge``. A question that failed has its error and no scores.
+    """
+    q = select_questions(golden, category).select(F.col("id").alias("query_id"), "question", "category", F.col("answer").alias("golden_answer"), "source_sections").dropDuplicates(["query_id"]).withColumn("vector", embedder.column("question"))
     q = written(q)
     ranked = written(retrieve(chunks, q, "hybrid", top_k))
     if respond is None:
-        a = A.extractive(ranked, q, "query_id", "content").withColumn("error", F.lit(None).cast("string"))
+        a = A.extractive(ranked, q, "query_id", "content").withColumn("error", F.lit(None).cast("string")).withColumn("latency_ms", F.lit(0.0))
     else:
-        a = written(A.generate(A.messages(ranked, q, "query_id", "question", "content", "source_file", "section_heading"), "messages", respond).select("query_id", "answer", "error"))
-    in_order = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.coalesce(F.col(c), F.lit("")).alias("x")))), lambda y: y["x"]), " ")
-    ctx = ranked.groupBy("query_id").agg(in_order("content").alias("context"), F.concat_ws(" ", in_order("source_file"), in_order("section_heading")).alias("meta"))
+        a = A.generate(A.messages(ranked, q, "query_id", "question", "content", "source_file", "section_heading"), "messages", respond).select("query_id", "answer", "error", "latency_ms")
+    a = written(a)
+    in_order = lambda c, most=10**9: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", F.coalesce(F.col(c), F.lit("")).alias("x"))))), lambda y: y["x"]), " ")
+    ctx = ranked.groupBy("query_id").agg(in_order("content").alias("context"), in_order("content", 5).alias("first_five"), F.concat_ws(" ", in_order("source_file"), in_order("section_heading")).alias("meta"))
     r = q.join(a, "query_id").join(ctx, "query_id", "left")
-    scored = {"correctness": metrics.correctness("category", "golden_answer", "answer"), "faithfulness": metrics.faithfulness("answer", "context"), "retrieval_relevance": metrics.retrieval_relevance("golden_answer", "source_sections", "context", "meta"), "citation_accuracy": metrics.citation_accuracy("category", "answer")}
+    total = accuracy = None
+    if citation_judge is not None:
+        cited = A.verify(A.citations(a, "query_id", "answer"), ranked, "query_id", "content", citation_judge)
+        r = r.join(A.citation_report(cited, "query_id").select("query_id", "total", "accuracy"), "query_id", "left")
+        total, accuracy = F.col("total"), F.col("accuracy")
+    scored = {"correctness": metrics.correctness("category", "golden_answer", "answer"), "faithfulness": metrics.faithfulness("answer", "context"), "retrieval_relevance": metrics.retrieval_relevance("golden_answer", "source_sections", "context", "meta")}
+    if judge is not None:
+        scored = metrics.judge_scores("question", "golden_answer", "answer", "first_five", judge)
+    scored["citation_accuracy"] = metrics.citation_accuracy("category", "answer", total, accuracy)
     failed = F.col("error").isNotNull()
-    return r.select(F.lit(strategy).alias("strategy"), F.col("query_id").alias("question_id"), "category", "question", "golden_answer", F.col("answer").alias("generated_answer"), *(F.when(~failed, c).alias(n) for n, c in scored.items()), "error")
+    return r.select(F.lit(strategy).alias("strategy"), F.col("query_id").alias("question_id"), "category", "question", "golden_answer", F.col("answer").alias("generated_answer"), *(F.when(~failed, c).alias(n) for n, c in scored.items()), "latency_ms", "error")
 
 
 def compare(docs: DataFrame, golden: DataFrame, embedder: Embedder, configs: list[ChunkingConfig], top_k: int = 5) -> dict[str, DataFrame]:
@@ -113,7 +125,7 @@ def compare(docs: DataFrame, golden: DataFrame, embedder: Embedder, configs: lis
     results = written(results)
     rep = metrics.report(results)
     means = metrics.strategy_means(results)
-    return {"results": results, "report": rep, "winners": metrics.winners(means), "ranking": metrics.overall(means), "category_winners": metrics.category_winners(rep)}
+    return {"results": results, "report": rep, "winners": metrics.winners(means), "ranking": metrics.overall(means), "category_winners": metrics.category_winners(rep), "comparison": metrics.comparison(means), "json": metrics.comparison_json(rep)}
 
 
 def found_in_both(a: DataFrame, b: DataFrame) -> DataFrame:

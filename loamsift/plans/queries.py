@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import answers as A
 from ..operators import bm25, chunking, dedup, dense, fusion, index, metrics, rerank
-from ..sources import golden
+from ..sources import golden, loaders
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -464,3 +465,134 @@ def golden_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM i UNION ALL SELECT id, 'duplicate id' FROM golden_questions WHERE trim(coalesce(id, '')) <> '' GROUP BY id HAVING count(*) > 1""")
 def golden_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.validate(table(spark, sf_dir, "golden_questions"))
+
+
+@query("SELECT id, category = 'lookup' AS is_lookup, category = 'multi_hop' AS is_multi_hop, category = 'no_answer' AS is_no_answer, category = 'ambiguous' AS is_ambiguous FROM golden_questions")
+def golden_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.flags(table(spark, sf_dir, "golden_questions")).select("id", "is_lookup", "is_multi_hop", "is_no_answer", "is_ambiguous")
+
+
+@query("SELECT id, question FROM golden_questions WHERE category = 'multi_hop'")
+def golden_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.select(table(spark, sf_dir, "golden_questions"), "multi_hop").select("id", "question")
+
+
+@query(f"""WITH {LONG}, s AS (SELECT strategy, round(sum(mean) / 4, 6) AS average FROM m GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY average DESC, strategy) AS place FROM s),
+one AS (SELECT * FROM p WHERE place = 1), two AS (SELECT * FROM p WHERE place = 2),
+gg AS (SELECT string_agg(x.metric || ' by ' || format('{{:.1f}}', (x.mean - y.mean) / y.mean * 100) || ' %', ' and ' ORDER BY x.metric) AS gains FROM m x, m y WHERE x.metric = y.metric AND x.strategy = (SELECT strategy FROM one) AND y.strategy = (SELECT strategy FROM two) AND x.metric IN ('correctness', 'faithfulness') AND x.mean > y.mean)
+SELECT one.strategy AS winner, one.average AS winner_average, two.strategy AS runner_up, two.average AS runner_up_average,
+  one.strategy || ' leads ' || two.strategy || CASE WHEN gains IS NULL THEN ' on average' ELSE ' in ' || gains END || ': ' || format('{{:.2f}}', one.average) || ' to ' || format('{{:.2f}}', two.average) AS summary FROM one, two, gg""")
+def strategy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.comparison(metrics.strategy_means(results(spark, sf_dir)))
+
+
+@query("SELECT chunk_id, doc_id, coalesce(any_value(section_heading), '') AS section_heading, any_value(char_count) AS char_count, coalesce(any_value(content), '') AS content FROM chunks GROUP BY 1, 2")
+def metadata_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.sanitize(chunks(spark, sf_dir).select("chunk_id", "doc_id", "section_heading", "char_count", "content", F.array("doc_id").alias("list"), F.create_map("doc_id", "doc_id").alias("map")))
+
+
+SHARES = rf"""{R}, n AS (SELECT result_id, n.claim, n.number FROM (SELECT result_id, claim, unnest(regexp_extract_all(claim, '\[(\d+)\]', 1))::INTEGER AS number FROM (SELECT result_id, unnest({sent("generated_answer")}) AS claim FROM r)) n),
+v AS (SELECT result_id, number, len(list_intersect(list_distinct(regexp_extract_all(lower(claim), '[a-z]{{4,}}')), list_distinct(regexp_extract_all(lower(coalesce(golden_answer, '')), '[a-z]{{4,}}')))) >= 3 AS good FROM n JOIN r USING (result_id))"""
+
+
+def shares_words(claim: str, source: str) -> str:
+    """A judge that SQL can be, too: a claim is supported by a source with which it shares three words of at least four letters."""
+    import re
+
+    words = lambda t: set(re.findall("[a-z]{4,}", (t or "").lower()))
+    return "SUPPORTED" if len(words(claim) & words(source)) >= 3 else "UNSUPPORTED"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir)
+    v = A.verify(A.citations(r, "result_id", "generated_answer"), r.select("result_id", F.lit(1).alias("rank"), "golden_answer"), "result_id", "golden_answer", shares_words)
+    return A.citation_report(v, "result_id")
+
+
+@query(f"WITH {SHARES} SELECT result_id, count(*) AS total, count_if(number = 1 AND good) AS supported, count_if(NOT (number = 1 AND good)) AS unsupported, round(count_if(number = 1 AND good) / count(*), 4) AS accuracy FROM v GROUP BY 1")
+def citation_verify_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a judge: the golden answer is block 1."""
+    return _judged(spark, sf_dir)
+
+
+@query(rf"""WITH {SHARES}, t AS (SELECT result_id, round(count_if(number = 1 AND good) / count(*), 4) AS accuracy FROM v GROUP BY 1), a AS (SELECT result_id, category, len(regexp_extract_all(coalesce(generated_answer, ''), '\[\d+\]')) AS n FROM r)
+SELECT result_id, CASE WHEN category = 'no_answer' THEN CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END WHEN n = 0 THEN CASE WHEN category = 'ambiguous' THEN 1.0 ELSE 0.5 END ELSE coalesce(accuracy, 0.5) END::DOUBLE AS score FROM a LEFT JOIN t USING (result_id)""")
+def metric_citation_accuracy_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir).join(_judged(spark, sf_dir), "result_id", "left")
+    return r.select("result_id", metrics.citation_accuracy("category", "generated_answer", F.col("total"), F.col("accuracy")).alias("score"))
+
+
+def grade_by_length(prompt: str) -> str:
+    """A judge that SQL can be, too: replies in several forms, by the length of the answer in the prompt."""
+    answer = prompt.split("\n\nAnswer:\n", 1)[1].rsplit("\n\n", 1)[0] if "\n\nAnswer:\n" in prompt else ""
+    n = len(answer)
+    return (f'{{"score": {n % 13 / 10}}}', f"{n % 10 / 10} I think", "no number at all", "-0.5", ".8", f'{{"grounded": [true, {"true" if n % 2 else "false"}]}}')[n % 6]
+
+
+GRADE = """CASE n % 6 WHEN 0 THEN least(1.0, n % 13 / 10) WHEN 1 THEN n % 10 / 10 WHEN 2 THEN {default} WHEN 3 THEN 0.0 WHEN 4 THEN 0.8 ELSE {listed} END"""
+
+
+@query(f"""WITH {R}, t AS (SELECT result_id, length(coalesce(generated_answer, '')) AS n, coalesce(len({sent("coalesce(generated_answer, '')")}), 0) AS claims FROM r)
+SELECT result_id, round({GRADE.format(default='0.5', listed='(1 + n % 2) / 2')}, 6) AS correctness, round(CASE WHEN claims = 0 THEN 1.0 ELSE {GRADE.format(default='0.0', listed='CASE WHEN claims = 1 THEN 1.0 ELSE (1 + n % 2) / claims END')} END, 6) AS faithfulness FROM t""")
+def judge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir).withColumn("context", F.coalesce("golden_answer", F.lit("")))
+    scores = metrics.judge_scores("question", "golden_answer", "generated_answer", "context", grade_by_length)
+    return r.select("result_id", F.round(scores["correctness"], 6).alias("correctness"), F.round(scores["faithfulness"], 6).alias("faithfulness"))
+
+
+def complete_by_length(prompt: str) -> str:
+    n = len(prompt.split("\n\nAnswer: ", 1)[1])
+    return ("none", f'Here: {{"score": {n % 13 / 10}, "reason": "r"}}', '{"reason": "no score"}', "{not json}")[n % 4]
+
+
+@query(f"WITH {R}, t AS (SELECT result_id, length(coalesce(generated_answer, '')) AS n FROM r) SELECT result_id, CASE WHEN n % 4 = 1 THEN least(1.0, n % 13 / 10) ELSE 0.0 END::DOUBLE AS completeness FROM t")
+def completeness_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("result_id", A.completeness_judged("question", "generated_answer", complete_by_length).alias("completeness"))
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source files as ``binaryFile`` gives them."""
+    f = table(spark, sf_dir, "source_files").dropDuplicates(["doc_id"])
+    raw = F.encode(F.coalesce("raw_content", F.lit("")), "UTF-8")
+    return f.select(F.col("source_path").alias("path"), F.timestamp_micros((F.col("last_modified") * 1000000).cast("long")).alias("modificationTime"), F.octet_length(raw).cast("long").alias("length"), raw.alias("content"))
+
+
+# What the loaders make of a file: line ends, front matter, and sections by the kind of the file.
+LOADED = rf"""f AS (SELECT DISTINCT ON (doc_id) source_path AS path, replace(replace(coalesce(raw_content, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS raw, octet_length(encode(coalesce(raw_content, ''))) AS bytes FROM source_files),
+e AS (SELECT *, lower(regexp_extract(path, '\.[^./]*$')) AS ext FROM f),
+m AS (SELECT *, CASE WHEN ext IN ('.md', '.markdown') AND regexp_matches(raw, '(?s)^---[ \t]*\n(.*?)\n---[ \t]*(\n|$)') THEN trim(regexp_replace(raw, '(?s)^---[ \t]*\n(.*?)\n---[ \t]*(\n|$)', ''), {BLANKS}) ELSE raw END AS text FROM e)"""
+
+
+@query(rf"""WITH {LOADED}, s AS (SELECT path, ext, text, bytes, CASE WHEN ext = '.txt' THEN len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, {BLANKS}) <> ''))
+  WHEN ext IN ('.md', '.markdown') THEN len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^#{{1,6}}\s+.+$'))) + CASE WHEN trim(regexp_extract(chr(10) || text, '(?s)^(.*?)(\n#{{1,6}}\s+[^\n]|$)', 1), {BLANKS}) <> '' THEN 1 ELSE 0 END END AS sections FROM m)
+SELECT left(md5(path), 12) AS doc_id, regexp_extract(path, '[^/]+$') AS source_file, ext AS file_extension, bytes::BIGINT AS file_size_bytes, CASE WHEN ext <> '.html' THEN length(text)::INTEGER END AS chars, CASE WHEN ext <> '.html' THEN sections::INTEGER END AS sections, NULL::VARCHAR AS error FROM s""")
+def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All source files through the loaders; of HTML files SQL doesn't tell the text."""
+    plain = F.col("file_extension") != ".html"
+    d = loaders.parse_files(_as_files(spark, sf_dir))
+    return d.select("doc_id", "source_file", "file_extension", "file_size_bytes", F.when(plain, F.length("clean_text")).alias("chars"), F.when(plain, F.size("sections")).alias("sections"), "error")
+
+
+@query(rf"""WITH {LOADED}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m WHERE ext IN ('.md', '.markdown')),
+h AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\s+.+$') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) AS k FROM l),
+s AS (SELECT path, k, trim(string_agg(line, chr(10) ORDER BY pos), {BLANKS}) AS content, arg_min(line, pos) AS head FROM h GROUP BY 1, 2)
+SELECT left(md5(path), 12) AS doc_id, (row_number() OVER (PARTITION BY path ORDER BY k) - 1)::INTEGER AS chunk_index, CASE WHEN k > 0 THEN trim(regexp_extract(head, '^#{{1,6}}\s+(.+)$', 1), {BLANKS}) END AS section_heading, CASE WHEN k > 0 THEN length(regexp_extract(head, '^(#+)', 1)) ELSE 0 END::INTEGER AS heading_level, length(content)::INTEGER AS char_count FROM s WHERE content <> ''""")
+def load_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of the Markdown files."""
+    d = loaders.parse_files(_as_files(spark, sf_dir)).where(F.col("file_extension").isin(".md", ".markdown"))
+    return loaders.sections(d).select("doc_id", "chunk_index", "section_heading", "heading_level", "char_count")
+
+
+@query(r"""WITH f AS (SELECT DISTINCT ON (doc_id) source_path AS path, front_matter FROM source_files WHERE front_matter IS NOT NULL)
+SELECT left(md5(path), 12) AS doc_id, unnest(map_keys(front_matter)) AS name, unnest(map_values(front_matter)) AS value FROM f""")
+def load_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the loaders read as front matter."""
+    d = loaders.parse_files(_as_files(spark, sf_dir)).where(F.col("file_extension").isin(".md", ".markdown"))
+    return d.select("doc_id", F.explode("metadata").alias("name", "value"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals by the hour, as the stream counts them."""
+    w = ingest.windowed_arrivals(table(spark, sf_dir, "events"), "ts", "event_type")
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")

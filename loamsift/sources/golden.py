@@ -37,6 +37,23 @@ def counts(df: DataFrame) -> DataFrame:
     return each.select("category", F.coalesce("n", F.lit(0)).alias("n")).unionByName(df.agg(F.lit("total").alias("category"), F.count("*").alias("n")))
 
 
+def select(df: DataFrame, category: str | None = None) -> DataFrame:
+    """The questions of a category; all of them without one."""
+    return df if category is None else df.where(F.col("category") == category)
+
+
+def flags(df: DataFrame) -> DataFrame:
+    """The questions with a flag for each category."""
+    return df.withColumns({f"is_{c}": F.coalesce(F.col("category") == c, F.lit(False)) for c in CATEGORIES})
+
+
+def summary(df: DataFrame, name: str = "", version: str = "") -> str:
+    """The set in words: its counts and the documents it covers."""
+    n = {r[0]: r[1] for r in counts(df).collect()}
+    covered = sorted(r[0] for r in df.select(F.explode("source_documents").alias("d")).distinct().collect())
+    return "\n".join([f"{name} {version}".strip() or "Golden questions", f"questions: {n['total']}", *(f"{c}: {n[c]}" for c in CATEGORIES), f"documents: {', '.join(covered)}"])
+
+
 def validate(df: DataFrame, least: int = 50) -> DataFrame:
     """(id, issue): what is wrong with the set; id is NULL for what concerns the whole."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""

@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import written
+
 EXTENSIONS = (".txt", ".md", ".markdown", ".html", ".htm", ".pdf")
 SECTION = T.StructType([T.StructField("content", T.StringType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("section_heading", T.StringType()), T.StructField("heading_level", T.IntegerType()), T.StructField("page_number", T.IntegerType()), T.StructField("char_count", T.IntegerType())])
 DOCUMENT = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("doc_id", "source_path", "source_file", "file_name", "file_extension")]
     + [T.StructField("file_size_bytes", T.LongType()), T.StructField("last_modified", T.DoubleType()), T.StructField("raw_content", T.StringType()), T.StructField("clean_text", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("sections", T.ArrayType(SECTION)), T.StructField("error", T.StringType())]
 )
+# What is a heading, and front matter.
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 _FRONT = re.compile(r"\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\Z)", re.S)
 
@@ -169,6 +172,18 @@ def load_bytes(extension: str, data: bytes) -> tuple[str, str, dict, list]:
     raise ValueError(f"unsupported file type: {extension}")
 
 
+def overridden(meta: dict[str, str]) -> dict:
+    """The columns of a document that its front matter names, as far as their values fit."""
+    out: dict = {}
+    for name, kind in (("source_path", str), ("source_file", str), ("file_name", str), ("file_extension", str), ("file_size_bytes", int), ("last_modified", float)):
+        try:
+            if name in meta:
+                out[name] = kind(meta[name])
+        except ValueError:
+            pass
+    return out
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Documents of files in the schema of ``binaryFile`` (path, modificationTime, length, content). A file that can't be read has its error, not its text."""
 
@@ -185,8 +200,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 try:
                     raw, clean, meta, sections = load_bytes(ext, r["content"])
                     row |= dict(raw_content=raw, clean_text=clean, metadata=meta, sections=[dict(zip(SECTION.names, s)) for s in sections])
-                    if "source_file" in meta:
-                        row["source_file"] = meta["source_file"]
+                    row |= overridden(meta)
                 except Exception as e:
                     row["error"] = f"{type(e).__name__}: {e}"
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
@@ -200,6 +214,20 @@ def load_directory(spark: SparkSession, path: str) -> DataFrame:
     return parse_files(files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*EXTENSIONS)))
 
 
+def discover(spark: SparkSession, root: str, explicit: list[str] | None = None) -> DataFrame:
+    """(path, name): the supported files below a folder in the order of their paths, or those named, and each one's name below the folder."""
+    if explicit:
+        every = spark.createDataFrame([(i, p) for i, p in enumerate(explicit)], "place long, path string")
+        base = F.regexp_replace("path", "^.*/", "")
+        return every.orderBy("place").select("path", F.when(F.col("path").startswith(root.rstrip("/") + "/"), F.substr("path", F.lit(len(root.rstrip("/")) + 2))).otherwise(base).alias("name"))
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+        return spark.createDataFrame([], "path string, name string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    inside = F.substring_index("path", root.rstrip("/") + "/", -1)
+    return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*EXTENSIONS)).select("path", inside.alias("name")).orderBy("path")
+
+
 def load_file(spark: SparkSession, path: str) -> DataFrame:
     if os.path.splitext(path)[1].lower() not in EXTENSIONS:
         raise ValueError(f"unsupported file type: {path}")
@@ -214,6 +242,25 @@ def load_upload(spark: SparkSession, name: str, data: bytes) -> DataFrame:
     return parse_files(one)
 
 
+def save_raw(docs: DataFrame, path: str) -> None:
+    """Writes (doc_id, file_extension, raw_content): a row per document, by extension."""
+    docs.select("doc_id", "file_extension", "raw_content").write.mode("append").partitionBy("file_extension").parquet(path)
+
+
+def save_json(docs: DataFrame, path: str) -> None:
+    """Writes a JSON document per line: doc_id, source_path, metadata, clean_text and the sections."""
+    docs.select("doc_id", "source_path", "metadata", "clean_text", "sections").write.mode("append").json(path)
+
+
+def process_directory(spark: SparkSession, path: str, raw: str, processed: str) -> DataFrame:
+    """Loads a folder and saves what can be read, raw and processed; gives back all documents, with errors."""
+    docs = written(load_directory(spark, path))
+    good = docs.where("error IS NULL")
+    save_raw(good, raw)
+    save_documents(good, processed)
+    return docs
+
+
 def save_documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("append").parquet(path)
 

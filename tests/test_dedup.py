@@ -53,3 +53,27 @@ def test_exact_duplicates_and_the_store(spark, tmp_path):
     s.reset()
     assert s.read().count() == 0
     assert index.sync_status(c, c.limit(0), "chunk_id").first().in_sync is False
+
+
+def test_a_crash_while_deleting_leaves_one_version(spark, tmp_path):
+    c = spark.createDataFrame([("d1::chunk::0", "d1"), ("d2::chunk::0", "d2")], "chunk_id string, doc_id string")
+    s = index.ChunkStore(spark, str(tmp_path), c.schema)
+    s.add(c)
+    # The next version was begun and not written to its end.
+    (tmp_path / "chunks-1").mkdir()
+    assert s.read().count() == 2
+    assert s.delete("d1") == 1 and [r.doc_id for r in s.read().collect()] == ["d2"] and index.count(s.read()) == 1
+    assert s.add(c) == 1 and s.read().count() == 2
+
+
+def test_only_scalars_are_kept(spark):
+    df = spark.createDataFrame([("a", None, 1, [1], None)], "id string, t string, n int, l array<int>, b boolean")
+    assert [tuple(r) for r in index.sanitize(df).collect()] == [("a", "", 1, None)] and index.sanitize(df).columns == ["id", "t", "n", "b"]
+
+
+def test_equal_vectors_are_one_in_the_search(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(40)] + [(100, [0.0, 1.0, 0.0]), (101, None), (102, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, i, v) for i, v in rows], "id int, ord int, v array<double>")
+    got = {r.id: (r.kept, r.duplicate_of) for r in dedup.greedy_duplicates(df, "id", "ord", "v", 3).collect()}
+    assert got[0] == (True, None) and all(got[i] == (False, 0) for i in range(1, 40)) and all(got[i][0] for i in (100, 101, 102))
+    assert dedup.similar_pairs(df, df, "id", "v", 3).where("a < b").count() == 40 * 39 // 2

@@ -16,7 +16,7 @@ def test_scores(spark):
     assert [x[0] for x in c.select(M.citation_accuracy("c", "a", F.col("t"), F.col("k"))).collect()] == [1.0, 0.0, 0.5, 1.0, 0.5, 0.5]
 
 
-@pytest.mark.parametrize("raw, n, want", [('{"grounded": [true, false]}', 2, 0.5), ('{"grounded": [true]}', 2, 0.5), ('{"score": 3}', None, 1.0), ("about 0.4 I think", None, 0.4), ("", None, 0.25), (None, None, 0.25)])
+@pytest.mark.parametrize("raw, n, want", [('{"grounded": [true, false]}', 2, 0.5), ('{"grounded": [true]}', 2, 0.5), ('{"score": 3}', None, 1.0), ("about 0.4 I think", None, 0.4), ("-0.5", None, 0.0), (".8", None, 0.8), ("Score: .7", None, 0.7), ("+0.3", None, 0.3), ("", None, 0.25), (None, None, 0.25)])
 def test_judge_replies(raw, n, want):
     assert M.parse_judge(raw, n, 0.25) == want
 
@@ -47,3 +47,36 @@ def test_golden_sets(spark, tmp_path):
     p.write_text('{"questions": [{"id": "g1", "category": "lookup", "question": "q", "answer": "a", "source_documents": ["d"], "source_sections": ["s"], "notes": null}]}')
     assert golden.read_json(spark, str(p)).first().source_documents == ["d"]
     assert {r.category: r.n for r in golden.counts(golden.read_json(spark, str(p))).collect()} == {"lookup": 1, "multi_hop": 0, "no_answer": 0, "ambiguous": 0, "total": 1}
+
+
+def test_means_half_way_are_rounded_up_on_both_sides(spark):
+    r = results(spark, [("fixed", "lookup", str(i), (v, v, v, v), None) for i, v in enumerate([0.65905, 0.65905, 0.65905])])
+    assert {x.mean for x in M.report(r).collect()} == {0.6591}
+
+
+def test_a_judge_scores(spark):
+    df = spark.createDataFrame([("q", "g", "One fact. Two facts.", "ctx"), ("q", "g", "", ""), ("q", "g", "fails", "ctx")], "q string, g string, a string, c string")
+
+    def judge(prompt):
+        if "fails" in prompt:
+            raise TimeoutError
+        return '{"grounded": [true]}' if "support" in prompt else "0.9"
+
+    rows = df.select(*(c.alias(n) for n, c in M.judge_scores("q", "g", "a", "c", judge).items())).collect()
+    assert [tuple(r) for r in rows] == [(0.9, 0.5, 0.9), (0.9, 1.0, 0.0), (0.5, 0.0, 0.9)]
+
+
+def test_strategies_are_compared_in_words(spark):
+    r = results(spark, [("fixed", "lookup", "q", (0.8, 0.5, 0.7, 0.8), None), ("semantic", "lookup", "q", (0.4, 0.6, 0.0, 0.1), None)])
+    row = M.comparison(M.strategy_means(r)).first()
+    assert (row.winner, row.runner_up) == ("fixed", "semantic") and row.summary == "fixed leads semantic in correctness by 100.0 %: 0.70 to 0.28"
+    assert '"winner":"fixed"' in M.comparison_json(M.report(r)).first().json
+    alone = M.comparison(M.strategy_means(r.where("strategy = 'fixed'"))).first()
+    assert alone.runner_up == "fixed" and alone.summary.startswith("fixed leads fixed on average")
+
+
+def test_golden_selection_flags_and_summary(spark):
+    g = golden.from_rows(spark, [{"id": "a", "category": "lookup", "question": "q", "answer": "x", "source_documents": ["d.md"]}, {"id": "b", "category": "no_answer", "question": "q", "answer": "x"}])
+    assert [r.id for r in golden.select(g, "lookup").collect()] == ["a"] and golden.select(g).count() == 2
+    assert [(r.is_lookup, r.is_no_answer) for r in golden.flags(g).orderBy("id").collect()] == [(True, False), (False, True)]
+    assert "questions: 2" in golden.summary(g, "Set", "v1") and "d.md" in golden.summary(g)

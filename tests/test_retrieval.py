@@ -63,14 +63,14 @@ def test_fusion_by_rank(spark):
 
 
 def candidates(spark, query):
-    texts = ["Nothing of it here", "Configure the API key in settings", "Bananas are yellow", "Authentication needs an API key"]
+    texts = ["Nothing of it here", "Every upload has a size limit", "Bananas are yellow", "Archives may exceed the limit"]
     return spark.createDataFrame([("q", f"c{i + 1}", query, t, i + 1) for i, t in enumerate(texts)], "q string, id string, question string, content string, rank int")
 
 
 def test_lexical_reranking(spark):
-    rows = rerank.lexical(candidates(spark, "how do I configure the API key for authentication"), "q", "question", "content").orderBy("rank").collect()
+    rows = rerank.lexical(candidates(spark, "which upload size limit"), "q", "question", "content").orderBy("rank").collect()
     assert rows[0].id in ("c2", "c4") and [r.rerank_score for r in rows][-1] == 0
-    # configure, api, key of four tokens, each once
+    # upload, size, limit of four tokens, each once
     assert abs(next(r for r in rows if r.id == "c2").rerank_score - (0.75 + 0.3)) < 1e-9
     blank = rerank.lexical(candidates(spark, " "), "q", "question", "content").orderBy("rank").collect()
     assert [r.id for r in blank] == ["c1", "c2", "c3", "c4"] and all(r.rerank_score == 0 for r in blank)
@@ -78,7 +78,7 @@ def test_lexical_reranking(spark):
 
 def test_model_and_judge_reranking_and_the_factory(spark):
     rows = candidates(spark, "x").where("rank <= 3")
-    by = rerank.create_reranker("auto", predict=lambda pairs: [{"Nothing of it here": 0.1, "Configure the API key in settings": 0.9, "Bananas are yellow": 0.5}[c] for _, c in pairs])
+    by = rerank.create_reranker("auto", predict=lambda pairs: [{"Nothing of it here": 0.1, "Every upload has a size limit": 0.9, "Bananas are yellow": 0.5}[c] for _, c in pairs])
     assert [r.id for r in by(rows, "q", "question", "content").orderBy("rank").collect()] == ["c2", "c3", "c1"]
     judge = rerank.create_reranker("llm", judge=lambda q, c: "score 7" if c.startswith("Ban") else "none")
     assert [r.id for r in judge(rows, "q", "question", "content").orderBy("rank").collect()] == ["c3", "c1", "c2"]

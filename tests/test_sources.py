@@ -35,3 +35,53 @@ def test_a_folder(spark, tmp_path):
 def test_uploads(spark):
     a, b = L.load_upload(spark, "note", b"hello").first(), L.load_upload(spark, "note", b"hello").first()
     assert a.doc_id == b.doc_id and a.file_extension == ".txt" and a.clean_text == "hello"
+
+
+def test_discovery_in_order_and_by_name(spark, tmp_path):
+    (tmp_path / "z").mkdir()
+    for name in ("b.md", "z/a.TXT", "c.csv"):
+        (tmp_path / name).write_text("x")
+    root = str(tmp_path)
+    assert [(r.path, r.name) for r in L.discover(spark, root).collect()] == [(f"{root}/b.md", "b.md"), (f"{root}/z/a.TXT", "z/a.TXT")]
+    assert [r.name for r in L.discover(spark, root, [f"{root}/z/a.TXT", "/other/q.md"]).collect()] == ["z/a.TXT", "q.md"]
+    assert L.discover(spark, root + "/missing").count() == 0
+
+
+def test_a_folder_is_saved_raw_and_processed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("---\nsource_file: other.md\nfile_size_bytes: 7\nlast_modified: soon\n---\n# H\ntext")
+    (tmp_path / "in" / "b.txt").write_bytes(b"\xff\xfe")
+    docs = L.process_directory(spark, str(tmp_path / "in"), str(tmp_path / "raw"), str(tmp_path / "done"))
+    rows = {r.file_name: r for r in docs.collect()}
+    assert rows["b.txt"].error and rows["a.md"].source_file == "other.md" and rows["a.md"].file_size_bytes == 7 and rows["a.md"].last_modified > 1e9
+    raw = spark.read.parquet(str(tmp_path / "raw")).collect()
+    assert [(r.doc_id, r.file_extension) for r in raw] == [(rows["a.md"].doc_id, ".md")] and raw[0].raw_content.startswith("---")
+    assert L.load_processed(spark, str(tmp_path / "done")).count() == 1
+    L.save_json(docs.where("error IS NULL"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).first().clean_text.startswith("# H")
+
+
+def test_pdf_pages_become_sections(monkeypatch):
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            return self.text
+
+    class Pdf:
+        pages = [Page("1. Scope\nfirst\n\nsecond part"), Page(None), Page("LAST PAGE\nend")]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda _: Pdf()))
+    raw, text, meta, sections = L.load_bytes(".pdf", b"%PDF")
+    assert meta == {"page_count": "2"} and "--- Page 3 ---" in raw and text.endswith("end")
+    assert [(s[2], s[4]) for s in sections] == [("1. Scope", 1), (None, 1), ("LAST PAGE", 3)]
