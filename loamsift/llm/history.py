@@ -246,8 +246,8 @@ def decide(nodes: DataFrame, edges: DataFrame, gather: int = 100_000) -> DataFra
     return state.select("cls", (F.col("accepted") == 1).alias("accepted"))
 
 
-def match_batch(forest: Forest, batch: DataFrame, key: str, text: str, order: str, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Decides the rows of a new batch, in the order of ``order``, against everything the forest has accepted and the rows accepted before, and adds what is accepted to the forest.
+def match_batch(forest: Forest, batch: DataFrame, key: str, text: str, order: str, recall: float = RECALL, append: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Decides the rows of a new batch, in the order of ``order``, against everything the forest has accepted and the rows accepted before, and adds what is accepted to the forest (but not without ``append``, for a forest that no other batch comes to).
 
     Returns the decisions (order, key, status: accepted, duplicate or skipped) and the matches (new, old, similarity, order) of
     each duplicate with every accepted record that reaches the threshold. A row whose key was seen before, in this batch or an earlier one, is
@@ -296,10 +296,11 @@ def match_batch(forest: Forest, batch: DataFrame, key: str, text: str, order: st
     void = rows.where(F.col("key").isNull() | F.col("ord").isNull()).select("key", "ord", F.lit("skipped").alias("status"))
     decided.unionByName(void).select(F.col("ord").alias(order), F.col("key").alias(key), "status").write.parquet(f"{out}/decisions")
 
-    if not first.isEmpty():
+    if append and not first.isEmpty():
         forest._add_keys(first.select("key"))
-    if not accepted.isEmpty():
+    if append and not accepted.isEmpty():
         forest._add(accepted.select("cls", F.col("rep").alias("key")), cls.join(accepted.select("cls"), "cls"))
-    forest.merge_runs()
+    if append:
+        forest.merge_runs()
     tables.drop_all()
     return spark.read.parquet(f"{out}/decisions"), spark.read.parquet(f"{out}/matches")

@@ -77,8 +77,8 @@ def _forest(spark: SparkSession, sf_dir: str) -> history.Forest:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming chunks with the accepted chunks that they repeat; all that comes in is one batch."""
-    _, m = history.match_batch(_forest(spark, sf_dir), table(spark, sf_dir, "incoming_chunks"), "chunk_id", "content", "seq")
+    """Incoming chunks with the accepted chunks that they repeat; all that comes in is one batch, the last one to this forest."""
+    _, m = history.match_batch(_forest(spark, sf_dir), table(spark, sf_dir, "incoming_chunks"), "chunk_id", "content", "seq", append=False)
     return m.select(F.least("new", "old").alias("chunk_a"), F.greatest("new", "old").alias("chunk_b")).distinct()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of a file on average at most, and the least for which another core is used.
-FILE_ROWS, TASK_ROWS = 4_000_000, 100_000
+FILE_ROWS, TASK_ROWS = 4_000_000, 500_000
 ROW_GROUP_BYTES = 1 << 20
 #: Rows, and about how many bytes, that a search puts out at once.
 STEP, STEP_BYTES = 100_000, 32 << 20
@@ -79,7 +79,7 @@ class SortedTable:
         """Writes the rows as a run. With ``in_place`` each partition of ``df`` is sorted by ``k`` and has a range of its own already."""
         k = self.next
         folder = f"{self.path}/run-{k}"
-        (df if in_place else df.sortWithinPartitions("k")).select(*self.schema.names).write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
+        (df if in_place else df.sortWithinPartitions("k")).select(*self.schema.names).write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.enable.dictionary", "false").parquet(folder)
         fs, root = filesystem(folder)
         names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.base_name.endswith(".parquet"))
 
