@@ -50,6 +50,19 @@ def near_bits(cosine: float, deviations: float = 4.5, bits: int = CHECK) -> int:
     return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
+def near_bits_of_part(near: int, deviations: float = 4.5) -> int:
+    """The distance on the first 64 of the bits checked that a pair at the limit exceeds with a probability of about 3e-6; looked at first, as it rules out nearly all."""
+    # ``near`` lies 4.5 deviations above the mean, so the mean is a little lower; taking ``near`` for the mean would let more pass, never fewer.
+    lowest, highest = 0.0, near / CHECK
+    for _ in range(50):
+        p = (lowest + highest) / 2
+        if CHECK * p + deviations * math.sqrt(CHECK * p * (1 - p)) < near:
+            lowest = p
+        else:
+            highest = p
+    return math.ceil(64 * highest + deviations * math.sqrt(64 * highest * (1 - highest)))
+
+
 def _codes(df: DataFrame, key: str, vector: str, planes: np.ndarray, bits: int, bands: int, top: int) -> DataFrame:
     """(key, side, part, code, guest, sketch): a row for each substring, and one as a guest for each of its first ``top`` bits."""
     dims = planes.shape[0]
@@ -124,23 +137,27 @@ def near_codes(left: DataFrame, right: DataFrame | None, key: str, vector: str,
     cells = rows > group_rows
     indexed = _cells(indexed, key, group_rows) if cells else indexed.withColumns({c: F.lit(0).cast("long") for c in ("lo", "hi", "block")})
 
+    first = near_bits_of_part(near)
+
     def search(table: pa.Table) -> pa.Table:
-        code, guest, side = (table.column(c).to_numpy() for c in ("code", "guest", "side"))
+        code, guest = table.column("code").to_numpy(), table.column("guest").to_numpy()
+        # All that belongs to a row lies in the order of the codes, guests last.
         order = np.lexsort((code, guest))
-        home = order[: int((~guest).sum())]
-        away = order[len(home) :]
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, CHECK // 64)
-        c = code[home]
+        n = int((~guest).sum())
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, CHECK // 64)[order]
+        head = np.ascontiguousarray(sketch[:, 0])
+        code, side, block = (table.column(k).to_numpy()[order] for k in ("code", "side", "block"))
+        cross = table.column("lo")[0] != table.column("hi")[0]
+        c = code[:n]
         found: list[np.ndarray] = []
-        block, lo, hi = (table.column(k).to_numpy() for k in ("block", "lo", "hi"))
 
         def keep(x: np.ndarray, y: np.ndarray) -> None:
+            ok = np.bitwise_count(head[x] ^ head[y]) <= first
             if two:
-                ok = side[x] != side[y]
-                x, y = x[ok], y[ok]
-            if lo[0] != hi[0]:
-                ok = block[x] != block[y]
-                x, y = x[ok], y[ok]
+                ok &= side[x] != side[y]
+            if cross:
+                ok &= block[x] != block[y]
+            x, y = x[ok], y[ok]
             ok = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= near
             x, y = x[ok], y[ok]
             if two:
@@ -148,19 +165,19 @@ def near_codes(left: DataFrame, right: DataFrame | None, key: str, vector: str,
             found.append(np.stack([x, y]))
 
         for i, j in _pairs(c, c, True):
-            keep(home[i], home[j])
+            keep(i, j)
         for bit in range(low):
             zero = np.nonzero((c >> bit & 1) == 0)[0]
             for i, j in _pairs(c, c[zero] | (1 << bit), False):
-                keep(home[zero[i]], home[j])
-        if len(away):
+                keep(zero[i], j)
+        if n < len(code):
             part = int(table.column("part")[0].as_py()) & ((1 << top) - 1)
-            moved = (code[away] & ((1 << low) - 1)) | (part << low)
+            moved = (code[n:] & ((1 << low) - 1)) | (part << low)
             for i, j in _pairs(c, moved, False):
-                keep(away[i], home[j])
+                keep(n + i, j)
         got = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
         keys = table.column(key).combine_chunks()
-        return pa.table([keys.take(pa.array(got[0])), keys.take(pa.array(got[1]))], names=["a", "b"])
+        return pa.table([keys.take(pa.array(order[got[0]])), keys.take(pa.array(order[got[1]]))], names=["a", "b"])
 
     pairs = indexed.groupBy("part", "lo", "hi").applyInArrow(search, schema)
     return pairs.distinct() if two else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
