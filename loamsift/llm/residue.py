@@ -109,7 +109,7 @@ PLAIN = 7
 SLOTS = [
     r"\{\{\{?\s*[#/^>&!]?\s*[A-Za-z_][\w .\-|:'\"()]*\}?\}\}", r"\{%-?\s*\w[^%{}\n]*-?%\}", r"\$\{\s*[A-Za-z_][\w.]*\s*\}", r"#\{\s*[A-Za-z_][\w.]*\s*\}", r"<%[=-]?\s*[A-Za-z_@][^%\n]*%>", r"<\?=?\s*(?:php )?\$?[A-Za-z_][^?\n]*\?>",
     r"%\([A-Za-z_]\w*\)[sdf]", r"\*\|[A-Z_:]+\|\*", r"%%[A-Za-z_]\w*%%", r"@@[A-Za-z_]\w*@@", r"\[\[[a-z_][\w.]*\]\]", r"(?<![\w_])__[A-Z][A-Z_]+__(?![\w_])", r"(?<!\w)\$[A-Za-z_]+\$(?!\w)",
-    r"\[(?:INSERT|ENTER|ADD)\b[^\]\n]{0,60}\]", r"\[(?:insert|enter|add|your) [^\]\n]{1,60}\](?!\()", r"<(?:insert|your|enter) [^>\n]{1,60}>", r"<[^<>\n]{1,60} goes here>", r"\[TB[DCA]\b[^\]\n]{0,60}\]", r"<[A-Z][A-Z_]{2,}>",
+    r"\[(?:INSERT|ENTER|ADD)\b[^\]\n]*\]", r"\[(?:insert|enter|add|your) [^\]\n]+\](?!\()", r"<(?:insert|your|enter) [^>\n]+>", r"<[^<>\n]+ goes here>", r"\[TB[DCA]\b[^\]\n]*\]", r"<[A-Z][A-Z_]{2,}>",
 ]
 # The second group has other uses; there the name must look like a variable.
 WEAK_SLOTS = [r"(?<![\w{$#%/=])\{[a-z]+(?:_[a-z]+)*\}(?![\w}/])", r"«[a-z]+(?:_[a-z]+)*»"]
@@ -124,7 +124,7 @@ SHOWN = f" {SHOWN_WORD} "
 _CODE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _HTML_CODE = re.compile(r"<(pre|code|script|style)\b[^>]*>.*?</\1>", re.S | re.I)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
-_QUOTES = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«\s[^»\n]{1,300}\s»|«[^»\n]* [^»\n]*»")
+_QUOTES = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«\s[^»\n]+\s»|«[^»\n]* [^»\n]*»")
 _BLOCK_QUOTE = re.compile(r"^ {0,3}>.*$", re.M)
 #: Lines that are a block of their own, and such as begin one.
 _ALONE = re.compile(r"\s*(?:#{1,6}(?:\s|$)|\||(?:[-*_]\s*){3,}$|=+\s*$|-+\s*$)")
