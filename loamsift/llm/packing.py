@@ -23,14 +23,15 @@ from .common import written
 SHARD_ITEMS = 2000
 ISLANDS = 2
 EPOCHS = 2
-CHILDREN = 16
-POPULATION = 6
+#: An island's epoch ends after so many children, or after so many in a row that didn't better its best packing.
+CHILDREN, PATIENCE = 40, 5
+POPULATION = 4
 #: Containers filled less than this are opened again: in the second pass all that have room left, in the third what each group of it couldn't fill.
 REOPEN = (1.0, 1.0, 0.97)
 #: Capacities that one pass over the sizes packs for.
 CAPACITY_PACK = 200
 #: First items that are tried for a triple.
-TRIES = 24
+TRIES = 8
 
 
 def best_fit(items: list[int], sizes: list[int], capacity: int, bins: list[list[int]], room: list[tuple[int, int]]) -> None:
@@ -163,14 +164,17 @@ def breed(sizes: list[int], capacity: int, seeds: list[list[int]], rng: np.rando
     while len(population) < POPULATION and min(len(p.bins) for p in population) > bound:
         population.append(Packing(filled(falling, sizes, capacity, rng), sizes, capacity))
     population.sort(key=Packing.rank)
+    idle = 0
     for _ in range(children):
-        if len(population[0].bins) <= bound or len(population) < 2:
+        if len(population[0].bins) <= bound or len(population) < 2 or idle >= PATIENCE:
             break
+        before = population[0].rank()
         a, b = rng.choice(len(population), 2, replace=False)
         child = crossover(population[min(a, b)], population[max(a, b)], sizes, capacity, rng)
         population.append(child)
         population.sort(key=Packing.rank)
         population.pop()
+        idle = 0 if population[0].rank() < before else idle + 1
     return population
 
 
