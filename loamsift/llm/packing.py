@@ -224,10 +224,15 @@ def pack_items(items: DataFrame, shards: int, islands: int = ISLANDS, epochs: in
     kind = f"items array<{items.schema['item'].dataType.simpleString()}>"
     rows = items.groupBy("capacity_id", "capacity", "shard").agg(F.sort_array(F.collect_list(F.struct("item", "size", "start"))).alias("r"))
     seeds = F.when(F.exists("r.start", lambda s: s.isNotNull()), F.array(F.col("r.start"))).otherwise(F.array().cast("array<array<int>>"))
-    state = rows.select("capacity_id", "capacity", "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("r.item").alias("items"), F.col("r.size").alias("sizes"), seeds.alias("genomes"))
+    state = rows.select("capacity_id", "capacity", "shard", F.lit(0).alias("island"), F.col("r.item").alias("items"), F.col("r.size").alias("sizes"), seeds.alias("genomes"))
+    first = written(_evolve(state.repartition(max(1, shards), "capacity_id", "shard"), kind, 0), "epoch-0")
+    # A shard that is at its bound needs no islands.
+    bound = F.ceil(F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x) / F.col("capacity"))
+    state = first.where(F.col("used") > bound).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     state = state.repartition(max(1, shards * islands), "capacity_id", "shard", "island")
-    for epoch in range(epochs):
-        state = written(_evolve(state if epoch == 0 else _migrate(state, islands), kind, epoch), f"epoch-{epoch}")
+    for epoch in range(1, epochs + 1):
+        state = written(_evolve(state if epoch == 1 else _migrate(state, islands), kind, epoch), f"epoch-{epoch}")
+    state = first.where(F.col("used") <= bound).unionByName(state)
     best = state.groupBy("capacity_id", "capacity", "shard").agg(F.min_by(F.struct("items", "sizes", F.col("genomes")[0].alias("bins")), F.struct("used", -F.col("fit"), "island")).alias("b"))
     each = best.select("capacity_id", "capacity", "shard", F.explode(F.arrays_zip(F.col("b.items").alias("item"), F.col("b.sizes").alias("size"), F.col("b.bins").alias("bin"))).alias("x")).select("capacity_id", "capacity", "shard", "x.bin", "x.item", "x.size")
     fill = each.groupBy("capacity_id", "shard", "bin").agg(F.sum("size").alias("fill"))
