@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -71,11 +72,26 @@ def _local(model: str):
     return embed
 
 
+def by_request(request, batch: int = 100, pause: float = 0.05):
+    """Embeds through ``request``, which takes at most ``batch`` texts and gives (index, vector) pairs in any order, or vectors in order; waits ``pause`` seconds between requests."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for i in range(0, len(texts), batch):
+            if i:
+                time.sleep(pause)
+            got = list(request(texts[i : i + batch]))
+            out += [v for _, v in sorted(got, key=lambda x: x[0])] if got and isinstance(got[0], tuple) else got
+        return out
+
+    return embed
+
+
 def create_embedder(env: dict[str, str], use_mock: bool | None = None, remote=None, model: str = "all-MiniLM-L6-v2", dims: int = 384) -> Embedder:
     """Mock if asked for or if LOCAL_EMBEDDINGS is off, remote with a real OPENAI_API_KEY and a client, else the local model."""
     if use_mock or env.get("LOCAL_EMBEDDINGS", "true").strip().lower() in ("false", "0", "no"):
         return Embedder("mock", lambda texts: [hash_embedding(t, dims) for t in texts], dims)
     key = env.get("OPENAI_API_KEY", "")
     if use_mock is None and key.startswith("sk-") and not key.startswith("sk-or-") and remote is not None:
-        return Embedder("remote", lambda texts: [v for i in range(0, len(texts), 100) for v in remote(texts[i : i + 100])])
+        return Embedder("remote", by_request(remote))
     return Embedder("local", _local(model), dims)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -202,3 +202,26 @@ def chunk(docs: DataFrame, key: str, text: str, config: ChunkingConfig, embed: C
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, type=t) for c, t in zip(cols, kinds)), *more], names=schema.names)
 
     return spread(docs.where(F.length(text) > 0).select(key, text, *carry)).mapInArrow(run, schema)
+
+
+class ChunkingService:
+    """A chunker with a current configuration, which can be changed to another strategy or set aside for one call."""
+
+    def __init__(self, config: ChunkingConfig | None = None, embed: Callable[[list[str]], list] | None = None) -> None:
+        self.config, self.embed = config or ChunkingConfig(), embed
+
+    @staticmethod
+    def available_strategies() -> tuple[str, ...]:
+        return STRATEGIES
+
+    def set_strategy(self, strategy: str) -> None:
+        if strategy not in STRATEGIES:
+            raise ValueError(f"unknown strategy {strategy}; there are {', '.join(STRATEGIES)}")
+        self.config = replace(self.config, strategy=strategy)
+
+    def chunk(self, docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+        return chunk(docs, key, text, self.config, self.embed, carry)
+
+    def re_chunk(self, docs: DataFrame, key: str, text: str, strategy: str, carry: tuple[str, ...] = ()) -> DataFrame:
+        """The documents by another strategy; the current one stays."""
+        return chunk(docs, key, text, replace(self.config, strategy=strategy), self.embed, carry)

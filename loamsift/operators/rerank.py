@@ -54,6 +54,12 @@ def by_judge(rows: DataFrame, query_key: str, query: str, content: str, judge: C
     return reordered(rows.withColumn("reply__", reply), query_key, score).drop("reply__")
 
 
+def limited(reranker: Callable[[DataFrame, str, str, str], DataFrame], rows: DataFrame, query_key: str, query: str, content: str, top_k: int | None = 10) -> DataFrame:
+    """The best ``top_k`` of each query after reranking; all of them for 0 or None."""
+    ranked = reranker(rows, query_key, query, content)
+    return ranked.where(F.col("rank") <= top_k) if top_k else ranked
+
+
 def create_reranker(kind: str = "auto", predict: Callable | None = None, judge: Callable | None = None) -> Callable[[DataFrame, str, str, str], DataFrame]:
     """lexical, cross_encoder, llm, or auto: the cross-encoder where there is one, else lexical. What is missing falls back to lexical."""
     if kind not in ("auto", "lexical", "cross_encoder", "llm"):

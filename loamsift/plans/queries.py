@@ -596,3 +596,23 @@ def windowed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals by the hour, as the stream counts them."""
     w = ingest.windowed_arrivals(table(spark, sf_dir, "events"), "ts", "event_type")
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', 'text')} SELECT query_id, coalesce(left(replace(trim(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g')), chr(10), ' '), 200) || ' [1]', '{A.DECLINE.replace(chr(39), chr(39) * 2)}') AS answer FROM q LEFT JOIN (SELECT * FROM s WHERE rank = 1) USING (query_id) LEFT JOIN documents ON doc_id = k")
+def default_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stub of the comparison: 200 characters of the best document."""
+    d, q = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    return A.extractive(bm25.topk(d, "doc_id", "text", q, "query_id", "question", 1).join(d.select("doc_id", "text"), "doc_id"), q, "query_id", "text", 200)
+
+
+@query(f"WITH {C}, {bm25_sql('c', 'chunk_id', 'content')}, {lexical_sql('s')} SELECT query_id, k AS chunk_id, round(score, 6) AS rerank_score, rank::INTEGER AS rank FROM ranked WHERE rank <= 3")
+def rerank_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = questions(spark, sf_dir), chunks(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
+    few = bm25.topk(c, "chunk_id", "content", q, "query_id", "question", 20).join(c.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+    return rerank.limited(rerank.lexical, few, "query_id", "question", "content", 3).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@query(f"WITH {C} SELECT doc_id, count(*) AS n FROM c GROUP BY 1")
+def chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks each document has in the store."""
+    return index.list_documents(chunks(spark, sf_dir)).select("doc_id", F.col("chunk_count").alias("n"))

@@ -99,3 +99,37 @@ def test_embeddings(spark):
     assert create_embedder({"OPENAI_API_KEY": "sk-or-abc"}, remote=lambda t: t).name == "local"
     c = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>").select(F.round(cosine("a", "b"), 4).alias("c")).collect()
     assert [r.c for r in c] == [0.7071, 0.0, 0.0, 0.0]
+
+
+def test_reranking_is_limited_or_not(spark):
+    rows = candidates(spark, "which upload size limit")
+    for k, n in ((2, 2), (0, 4), (None, 4)):
+        assert rerank.limited(rerank.lexical, rows, "q", "question", "content", k).count() == n
+
+
+def test_remote_vectors_come_in_the_order_of_the_texts():
+    from loamsift.functions.vectors import by_request
+
+    sizes = []
+
+    def request(texts):
+        sizes.append(len(texts))
+        return [(i, [float(t)]) for i, t in reversed(list(enumerate(texts)))]
+
+    assert by_request(request, 3, 0)([str(i) for i in range(7)]) == [[float(i)] for i in range(7)] and sizes == [3, 3, 1]
+
+
+def test_an_index_can_be_stored_and_opened(spark, tmp_path):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox", "blue fox fox", None, "green"])], "id int, t string")
+    bm25.SparseIndex.build(df, "id", "t", str(tmp_path / "index"))
+    index = bm25.SparseIndex(spark, str(tmp_path / "index"))
+    q = spark.createDataFrame([("a", "fox"), ("b", "green")], "qid string, q string")
+    got = {(r.qid, r["rank"]): r.id for r in bm25.search(index, "id", q, "qid", "q", 2).collect()}
+    assert (index.n, index.avgdl) == (4, 1.5) and got["a", 1] in (0, 1) and got["b", 1] == 3 and len(got) == 4
+
+
+def test_copies_do_not_crowd_the_best(spark):
+    df = spark.createDataFrame([(i, "same text") for i in range(3000)] + [(9000, "same text text")], "id int, t string").repartition(4)
+    q = spark.createDataFrame([("a", "text")], "qid string, q string")
+    ids = [r.id for r in bm25.topk(df, "id", "t", q, "qid", "q", 3).orderBy("rank").collect()]
+    assert set(ids) <= {9000, 0, 1, 2} and len(ids) == 3
