@@ -616,3 +616,24 @@ def rerank_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chunks each document has in the store."""
     return index.list_documents(chunks(spark, sf_dir)).select("doc_id", F.col("chunk_count").alias("n"))
+
+
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of each question by the sparse index and the lexical reranker."""
+    q, c = questions(spark, sf_dir), chunks(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
+    few = bm25.topk(c, "chunk_id", "content", q, "query_id", "question", 20).join(c.select("chunk_id", "content", "source_file"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+    none = F.lit(None).cast("double")
+    return rerank.lexical(few, "query_id", "question", "content").where("rank <= 10").withColumn("rrf_score", none).withColumn("dense_score", none)
+
+
+@query(f"WITH {C}, {bm25_sql('c', 'chunk_id', 'content')}, {lexical_sql('s')} SELECT query_id, round(greatest(0.0, least(1.0, avg(score))), 6) AS confidence FROM ranked WHERE rank <= 10 GROUP BY 1")
+def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reranked(spark, sf_dir).groupBy("query_id").agg(F.round(A.retrieval_confidence(A.chunk_score()), 6).alias("confidence"))
+
+
+@query(rf"""WITH {C}, {bm25_sql('c', 'chunk_id', 'content')}, {lexical_sql('s')},
+found AS (SELECT query_id, rank, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g'), ' ') AS t, source_file FROM ranked JOIN c ON chunk_id = k WHERE rank <= 4)
+SELECT query_id, string_agg(left(t, 120) || CASE WHEN length(t) > 120 THEN '...' ELSE '' END || CASE WHEN length(source_file) > 0 THEN ' (from ' || source_file || ')' ELSE '' END, chr(10) ORDER BY rank) AS found FROM found GROUP BY 1""")
+def decline_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a declined answer tells that was found."""
+    return A.findings(_reranked(spark, sf_dir), "query_id", "content", "source_file").select("query_id", F.array_join("found", "\n").alias("found"))
