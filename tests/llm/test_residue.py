@@ -65,8 +65,8 @@ def test_the_index_holds_every_exemplar_under_its_rarest_concept():
     assert all(part != BITS["FIND"] for _, part in ex.where[BITS["FIND"]])
 
 
-# Wordings of the same kinds of residue that stand in no test table.
-HELD_OUT = {
+# Further wordings of the same kinds of residue; two of them stand in the test tables, too.
+FURTHER = {
     "script": ["We're sorry but this site doesn't work properly without JavaScript enabled.", "You must enable scripting in your browser to continue.", "JavaScript must be enabled in order for you to use this application.", "Your browser has JavaScript turned off.", "Ihr Browser unterstützt kein JavaScript.", "Cette application nécessite JavaScript.", "Su navegador no soporta JavaScript.", "Verifying your browser before proceeding."],
     "error": ["We can't find the page you requested.", "That address does not exist any more.", "The document has been removed.", "Access denied.", "You are not authorized to view this page.", "Your login has timed out.", "Service temporarily unavailable.", "Ein unerwarteter Fehler ist aufgetreten.", "La page demandée n'existe plus.", "No tiene permiso para ver esta página.", "Die Sitzung ist abgelaufen.", "504 Gateway Timeout", "Oops, an error occurred."],
     "filler": ["Insert your description here.", "Placeholder text", "This page is intentionally left blank.", "Content to follow.", "Ihr Text steht hier.", "Votre texte ici.", "Añada su texto aquí.", "TBD", "Site under construction.", "qwerty asdf zxcv"],
@@ -81,10 +81,10 @@ OWN_WORDS = [
 ]
 
 
-@pytest.mark.parametrize("label", sorted(HELD_OUT))
-def test_wordings_that_stand_nowhere_are_found(label):
-    got = labels(*HELD_OUT[label])
-    assert sum(g == label for g in got) >= 0.9 * len(got), [t for t, g in zip(HELD_OUT[label], got) if g != label]
+@pytest.mark.parametrize("label", sorted(FURTHER))
+def test_further_wordings_are_found(label):
+    got = labels(*FURTHER[label])
+    assert sum(g == label for g in got) >= 0.9 * len(got), [t for t, g in zip(FURTHER[label], got) if g != label]
 
 
 def test_texts_about_pages_and_errors_are_none():
